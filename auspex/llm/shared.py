@@ -1,0 +1,48 @@
+"""Intermediate tables in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        found = tempfile.mkdtemp(prefix="auspex-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/auspex/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks that it ran, and a
+    table that several later steps read is computed once.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """A column name for each of ``names`` that ``df`` doesn't have yet (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        free = f"_{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out[name] = free
+    return out
