@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import mixing, quality
+from auspex.llm import bpe, chat, mixing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op5_exact_topk": topk.op5_exact_topk,
     "op6_mixing": mixing.op6_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_topk": topk.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
