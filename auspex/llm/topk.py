@@ -45,6 +45,9 @@ CHUNK = 8
 #: The first depth in the lists; each next one is twice as deep.
 FIRST_DEPTH = 64
 
+#: The score of no candidate; its negative is a long too.
+NONE = -(2**63) + 1
+
 PACKED = "part long, dims int, ids binary, vectors binary"
 
 
@@ -79,7 +82,7 @@ class Best:
     """The k best (score, id) of each query so far."""
 
     def __init__(self, n: int):
-        self.score = np.full((n, K), np.iinfo(np.int64).min)
+        self.score = np.full((n, K), NONE)
         self.id = np.full((n, K), np.iinfo(np.int64).max)
 
     def kth(self) -> np.ndarray:
@@ -87,7 +90,7 @@ class Best:
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Scores of the queries ``rows`` against candidates ``ids`` (ascending); ``own``: the queries' ids."""
-        scores = np.where(ids[None, :] == own[rows, None], np.iinfo(np.int64).min, scores)
+        scores = np.where(ids[None, :] == own[rows, None], NONE, scores)
         better = np.flatnonzero(scores.max(1) >= self.kth()[rows])
         for r in better.tolist():
             row, s = rows[r], scores[r]
@@ -97,7 +100,7 @@ class Best:
                 at = np.concatenate([above, np.flatnonzero(s == least)[: K - len(above)]])
             else:
                 at = np.arange(len(s))
-            at = at[s[at] > np.iinfo(np.int64).min]
+            at = at[s[at] > NONE]
             all_s, all_i = np.concatenate([self.score[row], s[at]]), np.concatenate([self.id[row], ids[at]])
             order = np.lexsort((all_i, -all_s))[:K]
             self.score[row], self.id[row] = all_s[order], all_i[order]
@@ -150,7 +153,7 @@ def top_k(vectors: DataFrame, is_query) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             if best is not None:
-                at, col = np.nonzero(best.score > np.iinfo(np.int64).min)
+                at, col = np.nonzero(best.score > NONE)
                 yield pa.RecordBatch.from_pydict({"query_id": own[at], "query_hash": hashes[at], "vec_id": best.id[at, col], "score": best.score[at, col]})
 
         for batch in batches:
@@ -181,8 +184,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same result, scored in full.
 ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % {QUERY_EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= {K}"""
