@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import bpe, chat, mixing, quality, topk
+from auspex.llm import bpe, chat, mixing, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op3_warc": warc.op3_warc,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_mixing": mixing.op6_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
