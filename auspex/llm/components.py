@@ -1,0 +1,47 @@
+"""Connected components by alternating large-star and small-star rounds.
+
+Each round is two aggregations and two joins on the edges; nothing is collected
+but two sums that tell whether the edges changed.  Rounds are written to the
+shared folder, so a lost executor costs the tasks that it ran.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from auspex.llm.shared import materialize
+
+MAX_ROUNDS = 60
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """For each node the least of itself and its neighbours."""
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(_least(both), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = _least(down)
+    linked = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) of all nodes of ``edges`` (a, b)."""
+    edges = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    for _ in range(MAX_ROUNDS):
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+        edges = materialize(_small_star(_large_star(edges)).where(F.col("a") != F.col("b")).distinct(), "edges")
+    else:
+        raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
