@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import bpe, chat, mixing, neardup, quality, topk, warc
+from auspex.llm import bpe, chat, mixing, neardup, passages, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_warc": warc.op3_warc,
+    "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_mixing": mixing.op6_mixing,
     "op8_jaccard_join": neardup.op8_jaccard_join,
