@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import bpe, chat, mixing, neardup, passages, quality, topk, warc
+from auspex.llm import bpe, chat, langid, mixing, neardup, passages, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language_id": langid.op7_language_id,
     "op8_jaccard_join": neardup.op8_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,

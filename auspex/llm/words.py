@@ -145,3 +145,8 @@ def repeated(keys: np.ndarray) -> np.ndarray:
         return np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(again, keys), len(again) - 1)
     return again[at] == keys
+
+
+def prefix_of(x: np.ndarray) -> np.ndarray:
+    """Prefix sums of floats, n + 1 of them."""
+    return np.concatenate([np.zeros(1), np.cumsum(x)])
