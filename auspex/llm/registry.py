@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import bpe, chat, langid, mixing, neardup, passages, quality, topk, warc
+from auspex.llm import bpe, chat, langid, licenses, mixing, neardup, passages, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_warc": warc.op3_warc,
     "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
