@@ -142,43 +142,54 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def ties(members: DataFrame, part: str, leader: float, tie: float) -> DataFrame:
-    """(a, b) of each class and the leaders below its node and part that it may share partners with.
+    """(a, b) of each class below a node: b is the least one of those it is tied to, by way of leaders.
 
-    With a pair at distance 0.2 at most and a leader at 0.25 at most from one of
-    the two, the other is within 0.45 of it.
+    A class is tied to every leader that a partner of it could be near: with a pair at distance 0.2 at most and a leader at 0.25 at most from one of
+    the two, the other is within 0.45 of it.  A class has one row, however many
+    the node has.
     """
     by = ["prefix", part]
     dealt = members.repartition(*by).sortWithinPartitions(*by, "label", "set")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, prefix = [], [], []
+        rows: list[tuple[bytes, bytes, int, bool]] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "prefix": pa.array(prefix, pa.int64())})
-            for x in (a, b, prefix):
-                x.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["a", "b", "prefix", "leads"])
+            rows.clear()
             return batch
 
         for group in _groups(batches, by):
             sig, sets, node = _matrix(group), group.column("set").to_pylist(), group.column("prefix")[0].as_py()
-            leaders, at = np.empty((0, HASHES), sig.dtype), []
-            for k, own in enumerate(sets):
-                alike = (leaders == sig[k]).mean(1) if at else np.zeros(0)
-                for j in np.flatnonzero(alike >= tie).tolist():
-                    a.append(own)
-                    b.append(sets[at[j]])
-                    prefix.append(node)
+            leaders, joined, leads, member_of = np.empty_like(sig), [], np.zeros(len(sets), bool), []
+
+            def root(j: int) -> int:
+                while joined[j] != j:
+                    joined[j] = j = joined[joined[j]]
+                return j
+
+            for k in range(len(sets)):
+                alike = (leaders[: len(joined)] == sig[k]).mean(1) if joined else np.zeros(0)
+                tied_to = np.flatnonzero(alike >= tie).tolist()
                 if not (alike >= leader).any():
-                    at.append(k)
-                    leaders = np.concatenate([leaders, sig[k : k + 1]])
-                    a.append(own)
-                    b.append(own)
-                    prefix.append(node)
-            if len(a) > 20_000:
+                    leads[k] = True
+                    leaders[len(joined)] = sig[k]
+                    tied_to.append(len(joined))
+                    joined.append(len(joined))
+                roots = {root(j) for j in tied_to}
+                for j in roots:
+                    joined[j] = min(roots)
+                member_of.append(tied_to[0])
+            least: dict[int, bytes] = {}
+            for k, j in enumerate(member_of):
+                r = root(j)
+                least[r] = min(least.get(r, sets[k]), sets[k])
+            rows += [(sets[k], least[root(j)], node, bool(leads[k])) for k, j in enumerate(member_of)]
+            if len(rows) > 20_000:
                 yield out()
         yield out()
 
-    return dealt.mapInArrow(run, "a binary, b binary, prefix long")
+    return dealt.mapInArrow(run, "a binary, b binary, prefix long, leads boolean")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -196,7 +207,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     if large.isEmpty():
         return components(tied.select("a", "b"))
     tied = materialize(tied, "ties")
-    leaders = tied.where("a = b").select("prefix", F.col("a").alias("set")).join(large, ["prefix", "set"]).withColumn("part", F.lit(0).cast("long"))
+    leaders = tied.where("leads").select("prefix", F.col("a").alias("set")).join(large, ["prefix", "set"]).withColumn("part", F.lit(0).cast("long"))
     return components(tied.select("a", "b").unionByName(ties(leaders, "part", 2.0, PART_TIE).select("a", "b")))
 
 
