@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auspex.operators import detect
+from auspex.plans import duck
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "package_score_independent"
+
+QUERIES["all_findings"] = detect.corpus_findings
+ORACLES["all_findings"] = f"{duck.FINDINGS} SELECT * FROM found"
