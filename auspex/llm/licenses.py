@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
-from auspex.llm.shared import materialize
+from auspex.sources.shared import materialize
 
 MIN_COSINE = 0.7
 #: Base names of licence files.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from auspex.llm.shared import materialize
+from auspex.sources.shared import materialize
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auspex.llm import words as W
-from auspex.llm.components import components
-from auspex.llm.shared import materialize
+from auspex.operators.components import components
+from auspex.sources.shared import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auspex.llm.shared import materialize, new_path
+from auspex.sources.shared import materialize, new_path
 
 CRLF = "\r\n"
 END = CRLF * 2

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auspex.llm.shared import materialize
+from auspex.sources.shared import materialize
 
 MAX_ROUNDS = 60
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auspex.llm import bpe, mixing, neardup, passages, quality
-from auspex.llm.shared import materialize
+from auspex.sources.shared import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
