@@ -16,6 +16,7 @@ from auspex.functions import text as X
 from auspex.functions import values as V
 from auspex.operators.rules import DECODER_SIGNS, LINE_RULES, literals
 from auspex.sources import corpus
+from auspex.sources.shared import materialize
 
 FINDING = ("package_name", "file_path", "line", "col", "code_point", "category", "severity", "description", "confidence")
 KEY = ("package_name", "file_path")
@@ -62,9 +63,13 @@ def finding(line: Column, category: str, severity: Column | str, description: st
 
 
 def _exploded(df: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
-    """A row for each test that holds: the single-pass evaluation of many rules."""
-    hits = F.filter(F.array(*(F.when(test, row) for test, row in tests)), lambda x: x.isNotNull())
-    return _rows(df.withColumn("f", F.explode(hits)))
+    """A row for each test that holds: the single-pass evaluation of many rules.
+
+    The outer form infers no filter on the array: such a filter would evaluate all
+    tests a second time, and as a constraint of a union it is costly to optimize.
+    """
+    hits = F.array_compact(F.array(*(F.when(test, row) for test, row in tests)))
+    return _rows(df.withColumn("f", F.explode_outer(hits)).where("f IS NOT NULL"))
 
 
 def line_findings(ready: DataFrame) -> DataFrame:
@@ -122,6 +127,11 @@ def _quoted(keys: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(f"{q}{k}{q}" for k in keys for q in "\"'")
 
 
+def either(signs: dict[str, str]) -> str:
+    """One pattern for all signs: a filter on the flags themselves would double the plan's constraints with each flag."""
+    return "|".join(f"(?:{p})" for p in signs.values())
+
+
 def _signals(items: tuple[str, ...]) -> Column:
     """How many of the literals the line has."""
     return X.count_of(F.col("text").contains(i) for i in items)
@@ -157,8 +167,8 @@ def file_signs(ready: DataFrame) -> DataFrame:
 
     Lines without a sign are filtered before the aggregation, so little is shuffled.
     """
-    lines = ready.select(*KEY, "plain_source", "n_invisible", F.posexplode("lines").alias("pos", "text"))
-    flagged = lines.select(*KEY, "plain_source", "n_invisible", "pos", "text", *(F.col("text").rlike(p).alias(k) for k, p in FILE_SIGNS.items())).where(" or ".join(FILE_SIGNS))
+    lines = ready.select(*KEY, "plain_source", "n_invisible", F.posexplode("lines").alias("pos", "text")).where(F.col("text").rlike(either(FILE_SIGNS)))
+    flagged = lines.select(*KEY, "plain_source", "n_invisible", "pos", "text", *(F.col("text").rlike(p).alias(k) for k, p in FILE_SIGNS.items()))
     counts = {"n_high": _signals(_quoted(V.HIGH_EXFIL_KEYS)), "n_keys": _signals(_quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS)), **{f"g{k}": _signals(g) for k, g in enumerate(SOCKET_GROUPS)}}
     return flagged.groupBy(*KEY).agg(F.bool_or("plain_source").alias("plain_source"), F.max("n_invisible").alias("n_invisible"), *(F.min(F.when(F.col(k), F.col("pos") + 1)).alias(k) for k in FILE_SIGNS), *(F.sum(c).alias(k) for k, c in counts.items()))
 
@@ -214,7 +224,7 @@ SIGNS = {"locale": V.LOCALE, "exit0": V.EXIT_ZERO, "ci": V.CI_CHECK, "delay": "|
 def window_findings(ready: DataFrame) -> DataFrame:
     """Rules on a line and those near it: range frames over the lines with a sign."""
     lines = ready.where("plain_source").select(*KEY, F.posexplode("lines").alias("pos", "text")).withColumn("line", (F.col("pos") + 1).cast("long"))
-    flagged = lines.select(*KEY, "line", *(F.col("text").rlike(p).alias(k) for k, p in SIGNS.items())).where(" or ".join(SIGNS))
+    flagged = lines.where(F.col("text").rlike(either(SIGNS))).select(*KEY, "line", *(F.col("text").rlike(p).alias(k) for k, p in SIGNS.items()))
     by_line = Win.partitionBy(*KEY).orderBy("line")
     within = lambda sign, a, b: F.coalesce(F.bool_or(sign).over(by_line.rangeBetween(a, b)), F.lit(False))
     near = flagged.withColumns({"exit_follows": within("exit0", 1, 5), "ci_before": within("ci", -10, -1), "exit_near": within("exit", -15, 15), "xor_near": within("char_code", 0, 4)})
@@ -236,4 +246,5 @@ def all_findings(files: DataFrame) -> DataFrame:
 
 
 def corpus_findings(spark, sf_dir: str) -> DataFrame:
-    return all_findings(corpus.files(spark, sf_dir))
+    """The findings of the corpus view as a table of their own, which reports, scores and correlations read."""
+    return materialize(all_findings(corpus.files(spark, sf_dir)), "findings")
