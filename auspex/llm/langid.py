@@ -8,7 +8,7 @@ are runs of words from several texts, so the transitions are those of code-switc
 text.
 
 The model is fitted on a bounded sample: the ``SAMPLE`` labelled texts of at most
-``SAMPLE_CHARS`` characters with the smallest hashes.  Prediction takes whole texts:
+``SAMPLE_CHARS`` characters with the smallest hashes, copies taken once.  Prediction takes whole texts:
 a chain is cut in chunks whose transfer matrices are multiplied first, which is
 exact and makes the number of numpy steps independent of a text's length.
 
@@ -246,9 +246,15 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
 
 
 def train(docs: DataFrame, lang: str = "lang") -> Model:
-    """The model from the sample of ``docs`` (text and ``lang``)."""
+    """The model from the sample of ``docs`` (text and ``lang``).
+
+    Texts below a hash that about four samples are below come to the driver's choice,
+    each once, so what tasks send to it doesn't grow with the input or with copies.
+    """
     labelled = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = labelled.select("text", lang, F.xxhash64("text").alias("h")).orderBy("h", lang).limit(SAMPLE).collect()
+    share = min(1.0, 4 * SAMPLE / max(1, labelled.count()))
+    low = labelled.select("text", lang, F.xxhash64("text").alias("h")).where(F.shiftrightunsigned("h", 11) <= int(share * 2**53))
+    rows = low.dropDuplicates(["h", lang]).orderBy("h", lang).limit(SAMPLE).collect()
     return fit([r["text"] for r in rows], [r[lang] for r in rows])
 
 
