@@ -218,7 +218,7 @@ def package_score_tiered(spark, sf_dir):
     return scoring.tiered_scores(detect.corpus_findings(spark, sf_dir))
 
 
-_RISK = "points * (CASE ecosystem WHEN 'npm' THEN 1.0 WHEN 'pypi' THEN 1.2 ELSE 1.5 END) * (CASE package_type WHEN 'library' THEN 1.0 WHEN 'cli' THEN 1.3 ELSE 1.5 END) * (CASE WHEN age_days < 7 THEN 1.5 WHEN age_days < 30 THEN 1.2 ELSE 1 END) * (CASE WHEN known_publisher THEN 0.8 ELSE 1 END)"
+_RISK = "points::DOUBLE * (CASE ecosystem WHEN 'npm' THEN 1.0 WHEN 'pypi' THEN 1.2 ELSE 1.5 END) * (CASE package_type WHEN 'library' THEN 1.0 WHEN 'cli' THEN 1.3 ELSE 1.5 END) * (CASE WHEN age_days < 7 THEN 1.5 WHEN age_days < 30 THEN 1.2 ELSE 1 END) * (CASE WHEN known_publisher THEN 0.8 ELSE 1 END)"
 
 
 @query("package_risk", f"{UNIQUE}, {CONTEXT_SQL}, p AS (SELECT package_name, sum({_lookup('severity', V.RISK_POINTS, 1)})::BIGINT AS points FROM uniq GROUP BY 1), r AS (SELECT package_name, points, round({_RISK}, 6) AS risk FROM p JOIN ctx USING (package_name)) SELECT *, CASE WHEN risk >= 100 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' WHEN risk >= 10 THEN 'low' ELSE 'info' END AS level FROM r")
@@ -243,7 +243,7 @@ CHAINS = f"""{UNIQUE},
 flag AS (SELECT package_name, file_path, bool_or(category IN ('stegano_payload', 'invisible_character', 'stego_pattern')) AS stego, bool_or(category IN ('decoder_function', 'stego_pattern')) AS decoder, bool_or(regexp_matches(description, {q(correlate.EXECUTES)})) AS ex,
   bool_or(category = 'encrypted_payload') AS enc, bool_or(category = 'header_c2') AS header, bool_or(category = 'blockchain_c2') AS chain, bool_or(category IN ('locale_geofencing', 'time_delay_sandbox_evasion')) AS geo, count(*) AS n_steps, [{", ".join(map(q, V.SEVERITIES))}][max({RANK})] AS severity FROM uniq GROUP BY 1, 2),
 kinds AS (SELECT *, CASE WHEN stego AND decoder AND ex THEN 'stego' WHEN enc AND ex THEN 'encrypted_exec' WHEN header THEN 'header_c2' WHEN chain THEN 'blockchain_c2' WHEN geo THEN 'geofenced_exec' END AS kind FROM flag),
-chains AS (SELECT package_name, file_path, kind, CASE WHEN kind IN ('stego', 'header_c2') THEN 0.95 WHEN kind = 'encrypted_exec' THEN 0.75 WHEN kind = 'blockchain_c2' THEN 0.9 WHEN ex THEN 0.85 ELSE 0.7 END AS confidence, n_steps, severity FROM kinds WHERE kind IS NOT NULL)"""
+chains AS (SELECT package_name, file_path, kind, (CASE WHEN kind IN ('stego', 'header_c2') THEN 0.95 WHEN kind = 'encrypted_exec' THEN 0.75 WHEN kind = 'blockchain_c2' THEN 0.9 WHEN ex THEN 0.85 ELSE 0.7 END)::DOUBLE AS confidence, n_steps, severity FROM kinds WHERE kind IS NOT NULL)"""
 
 
 def _chains(spark, sf_dir):
