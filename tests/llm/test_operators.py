@@ -210,3 +210,15 @@ def test_pipeline(spark, small, empty):
     kept = [r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()]
     assert {6, 7, 13, 11} <= set(kept) and not {0, 1, 2, 15} & set(kept) and not {8, 9} & set(kept)
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_passage_of_frequent_blocks(spark, tmp_path):
+    """Two texts share 70 words in a row; smaller-hash texts have each half of them."""
+    halves = prose(21, 35), prose(22, 35)
+    texts = [prose(100 + k, 50) + " " + halves[k % 2] + " " + prose(300 + k, 50) for k in range(80)]
+    texts += [prose(500 + k, 50) + " " + " ".join(halves) + " " + prose(600 + k, 50) for k in range(6)]
+    spark.createDataFrame([(k, t, None, None, len(t), "", 0) for k, t in enumerate(texts)], DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = rows(spark, "op4_substring_dedup", str(tmp_path))
+    whole = {r["doc_id"] for r in found if r["kind"] == "passage" and r["end"] - r["begin"] >= 70}
+    sources = {r["source_doc_id"] for r in found}
+    assert all(k >= 80 for k in whole | sources) and len(sources) == 1 and whole | sources == set(range(80, 86))
