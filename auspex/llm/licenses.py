@@ -2,8 +2,10 @@
 
 The vocabulary is that of the templates.  Its document frequencies come from all
 files; a word outside of it weighs like one that no file has.  Every line of a file
-is compared, and a licence file also as a whole; the vectors are sparse (line,
-term) counts in numpy.  A file without a licence of its own gets that of
+is compared, windows of consecutive lines that have a line with a ``SIGN``, as
+headers are wrapped, and a licence file also as a whole; the vectors are sparse (line,
+term) counts in numpy.  Comment marks are no terms.  An SPDX line gives its
+expression, with cosine 1.  A file without a licence of its own gets that of
 the nearest directory above it that has a licence file, by joins on paths.
 
 Defined cases: a null or empty text has no licence of its own; a null path is in no
@@ -15,7 +17,11 @@ named like a result are replaced.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 from collections.abc import Iterable, Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,12 @@ MIN_COSINE = 0.7
 #: Base names of licence files.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense)(\.(txt|md))?$"
 
+#: Windows of so many lines are compared.
+WINDOWS = (2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 28, 32)
+#: What a line of a window has to have; each template has one of them.
+SIGN = re.compile(rb"(?i)licen[cs]|permission|copyright|warrant|redistribut|public domain")
+SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)")
+
 #: The customary one-line notices of public licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -44,7 +56,19 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    # the standard headers and short texts
+    ("GPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("GPL-2.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("LGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("LGPL-2.1", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("MIT", 'MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'),
 )
+#: Licences that have their full text in ``licence_texts``.
+FULL_TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -65,10 +89,17 @@ def terms(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, W.span_hashes(low, starts, np.flatnonzero(ends) + 1)
 
 
+@functools.cache
+def templates() -> tuple[tuple[str, str], ...]:
+    folder = resources.files("auspex.llm") / "licence_texts"
+    return (*TEMPLATES, *((name, (folder / f"{name}.txt").read_text()) for name in FULL_TEXTS))
+
+
+@functools.cache
 def vocabulary() -> tuple[np.ndarray, list[np.ndarray]]:
     """The sorted hashes of all templates' terms, and the terms of each template as places in them."""
     each = []
-    for _, text in TEMPLATES:
+    for _, text in templates():
         data = np.frombuffer(text.encode(), np.uint8)
         each.append(terms(data, np.array([0, len(data)]))[1])
     known = np.unique(np.concatenate(each))
@@ -131,6 +162,22 @@ def best_template(data: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tupl
     return best, cosine[np.arange(n), best]
 
 
+def line_windows(data: np.ndarray, lines: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of WINDOWS the bytes of the windows with a sign, their bounds, and the text of each."""
+    signs = np.array([m.start() for m in SIGN.finditer(data.tobytes())], np.int64)
+    n = len(lines) - 1
+    signed = np.unique(np.searchsorted(lines, signs, "right") - 1)
+    text_of = np.searchsorted(at, lines[:-1], "right") - 1
+    for size in WINDOWS:
+        start = np.unique((signed[:, None] - np.arange(size)).ravel())
+        start = start[(start >= 0) & (start + size <= n)]
+        start = start[text_of[start] == text_of[start + size - 1]]
+        # in blocks, as windows overlap
+        for k in range(0, len(start), 4096):
+            some = start[k : k + 4096]
+            yield np.concatenate([data[lines[i] : lines[i + size]] for i in some]), np.concatenate([[0], np.cumsum(lines[some + size] - lines[some])]), text_of[some]
+
+
 def own_licences(files: DataFrame, idf: np.ndarray) -> DataFrame:
     """``files`` (path, text) without the text, with is_licence_file, own_licence and cosine."""
     new = {"is_licence_file": T.BooleanType(), "own_licence": T.StringType(), "cosine": T.DoubleType()}
@@ -144,17 +191,22 @@ def own_licences(files: DataFrame, idf: np.ndarray) -> DataFrame:
             whole = part.column("is_licence_file").to_numpy(zero_copy_only=False)
             lines = np.unique(np.concatenate([at, np.flatnonzero(data == 10) + 1]))
             licence, cosine = np.full(part.num_rows, None, object), np.zeros(part.num_rows)
-            for bounds in (lines, np.unique(at)) if whole.any() else (lines,):
-                if len(bounds) < 2:
-                    continue
-                best, score = best_template(data, bounds, idf)
-                text_of = np.searchsorted(at, bounds[:-1], "right") - 1
-                order = np.lexsort((best, -score, text_of))
-                for k in order[np.unique(text_of[order], return_index=True)[1]].tolist():
-                    text = text_of[k]
-                    if score[k] > cosine[text] and (bounds is lines or whole[text]):
-                        cosine[text] = score[k]
-                        licence[text] = TEMPLATES[best[k]][0] if score[k] >= MIN_COSINE else None
+            if len(lines) > 1:
+                text_of = lambda bounds: np.searchsorted(at, bounds[:-1], "right") - 1
+                compared = [(data, lines, text_of(lines))]
+                if whole.any():
+                    compared.append((data, np.unique(at), text_of(np.unique(at))))
+                for k, (some, bounds, texts) in enumerate(itertools.chain(compared, line_windows(data, lines, at))):
+                    best, score = best_template(some, bounds, idf)
+                    order = np.lexsort((best, -score, texts))
+                    for j in order[np.unique(texts[order], return_index=True)[1]].tolist():
+                        text = texts[j]
+                        if score[j] > cosine[text] and (k != 1 or len(compared) == 1 or whole[text]):
+                            cosine[text] = score[j]
+                            licence[text] = templates()[best[j]][0] if score[j] >= MIN_COSINE else None
+                for m in reversed(list(SPDX.finditer(data.tobytes()))):  # the first of a text wins
+                    text = int(np.searchsorted(at, m.start(), "right")) - 1
+                    cosine[text], licence[text] = 1.0, b" ".join(m[1].split()).decode()
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("is_licence_file"), pa.array(licence, pa.string()), pa.array(np.round(cosine, 6))], names)
 
     return source.mapInArrow(run, T.StructType([*files.select(keep).schema.fields, *(T.StructField(k, v) for k, v in new.items())]))

@@ -236,3 +236,25 @@ def test_changed_passages(spark, tmp_path):
     spark.createDataFrame([(k, t, None, None, len(t), "", 0) for k, t in enumerate(texts)], DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     found = Counter(min(r["doc_id"], r["source_doc_id"]) for r in rows(spark, "op4_substring_dedup", str(tmp_path)) if abs(r["doc_id"] - r["source_doc_id"]) == 1)
     assert len(found) >= 57 and set(found.values()) == {1}
+
+
+def test_wrapped_licence_headers(spark):
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }
+"""
+    mit = """# Permission is hereby granted, free of charge, to any person obtaining
+# a copy of this software and associated documentation files (the "Software"),
+# to deal in the Software without restriction, including without limitation
+# the rights to use, copy, modify, merge, publish, distribute, sublicense,
+# and/or sell copies of the Software, and to permit persons to whom the
+# Software is furnished to do so, subject to the following conditions:
+x = 1
+"""
+    want = {"a.c": (gpl, "GPL-3.0"), "b.py": (mit, "MIT"), "c.js": ("// SPDX-License-Identifier: MIT OR Apache-2.0\nx\n", "MIT OR Apache-2.0"), "d.txt": ("plain words\nin two lines\n", None)}
+    found = licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in want.items()], "path string, text string")).collect()
+    assert {r["path"]: r["licence"] for r in found} == {p: x for p, (_, x) in want.items()}
