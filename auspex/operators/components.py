@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auspex.sources.shared import materialize
+from auspex.sources.shared import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -41,7 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        edges = materialize(_small_star(_large_star(edges)).where(F.col("a") != F.col("b")).distinct(), "edges")
+        after = materialize(_small_star(_large_star(edges)).where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(edges)
+        edges = after
     else:
         raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

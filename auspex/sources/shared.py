@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables in the folder that the whole cluster shares, and joins that spread hot keys."""
 
 from __future__ import annotations
 
@@ -6,15 +6,23 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one of so many rows is heavy; there are fewer heavy keys than that.
+HEAVY = 1024
+#: Inputs of less than so many bytes a core are dealt anew before costly work on their rows.
+SPREAD_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
+    """The folder in ``spark.checkpoint.dir``.  Without one, a session on a single machine (tests) gets its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="auspex-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -28,11 +36,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, and a
-    table that several later steps read is computed once.
+    table that several later steps read is computed once.  Tables stay until their
+    folder is cleared, but for those that ``discard`` removes.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.table_path)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def input_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, which tell whether it has changed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.listStatus(where)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
+
+def once(spark: SparkSession, name: str, path: str, make) -> DataFrame:
+    """The table that ``make`` gives for the input at ``path``, written once a session for each state of it."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), name, input_state(spark, path))
+    if key not in _ONCE:
+        _ONCE[key] = materialize(make(), name)
+    return _ONCE[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it is too small to have a split for each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def join_keyed(rows: DataFrame, dims: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``dims`` for their ``key`` (one a key), which also tells how many rows the key has.
+
+    Heavy keys, fewer than HEAVY, are broadcast, so their rows stay where they are;
+    the rows of the others are shuffled, and no task gets many of one key.
+    """
+    total = dims.agg(F.sum(count)).first()[0] or 0
+    heavy, light = dims.where(F.col(count) * HEAVY > total), dims.where(F.col(count) * HEAVY <= total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return rows.join(F.broadcast(heavy), key).select(*rest.columns).unionByName(rest)
 
 
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
