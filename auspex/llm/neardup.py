@@ -2,23 +2,32 @@
 
 Documents whose sets of word 5-grams are equal are one class.  The signature of a
 class gives each of ``TREES`` trees a label of ``LABEL`` hashes; in a tree, classes
-sorted by label form a prefix trie.  From the whole label on, the prefix that two
-classes must share is shortened until a pair at the threshold meets in some tree
-with the target recall; classes below one node of that depth are candidates.
-
-1. Below each node, classes are compared by signature with the node's leaders
-   (those not much like an earlier leader), so a node of n near copies costs n
-   comparisons.  A class is tied to every leader that a partner of it could be
-   near; the ties' components hold all candidate pairs.
-2. Each component is verified exactly: its sets of 5-grams meet in one task, those
-   of a large component in tasks for each two blocks of it.  A task puts out the
-   number of links of each class and a spanning tie, never the pairs.
+sorted by label form a prefix trie.
+
+1. Classes that share a node with another one at the least depth are dealt by that
+   node and sorted by label; the trie is walked from whole labels upwards.  Below a
+   node, a class much like a leader follows it and stops there: whoever meets the
+   class under a shorter prefix meets its leader too, so the class has its recall.
+   Classes without one go on under a prefix that is one hash shorter, until a pair at
+   the threshold has met in some tree with ``TARGET_RECALL``.  Leaders are tied to
+   the leaders that a partner of theirs could follow.
+2. The ties' components hold all candidate pairs.  Each is verified exactly: the
+   5-grams of its classes, made once and kept as a table, meet in a task for each two
+   blocks of it.  A task puts out the number of links of each class and a spanning
+   tie, never the pairs.
 3. The components of the verified ties are the near-duplicate classes.
 
+A node of more than ``NODE_ROWS`` classes is walked in parts of about that size, and
+the leaders of its parts meet in tasks for each two blocks of them, under the same
+rule.  Rows of very frequent sets don't move (``join_keyed``).
+
 Defined cases: a text with fewer than five words is one 5-gram, all its words; a
 null text, an empty one and one without words have the empty set, and those are
 copies of each other; a null doc_id comes last when the smallest is chosen; equal
-rows are one class; extra columns take no part.
+rows are one class, of which ``keep_one`` keeps one; a very long text is one slice
+of its task's work, and its hashes (8 bytes a word) are held at once; an empty table
+gives an empty result; extra columns take no part and are carried by ``keep_one``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,21 +40,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auspex.llm import words as W
+from auspex.llm.rows import identity, own_names
 from auspex.operators.components import components
-from auspex.sources.shared import materialize
+from auspex.sources.shared import join_keyed, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, LABEL = 20, 6
+TREES, LABEL = 20, 7
 TARGET_RECALL = 0.999
-#: By signature: a class this like no leader becomes one; ties go to leaders this like it.
-LEADER, TIE = 0.75, 0.4
-#: Leaders of the parts of a large node are tied if this alike.
-PART_TIE = 0.1
+#: By signature: a class this like a leader follows it.
+LEADER = 0.8
+#: Leaders this alike are tied: partners at distance 0.2, each at 0.2 from its leader, have leaders at 0.6 at most; the rest is for the estimate's error.
+TIE = 0.3
 #: Classes below a node that one task compares.
 NODE_ROWS = 4096
 #: Classes of a component in a block.
-BLOCK = 256
+BLOCK = 512
 
 HASHES = TREES * LABEL
 _A = W.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -100,22 +110,22 @@ def signatures(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, ``row`` (a hash of id and text), ``set`` (of shingles), ``sig`` and n_shingles of each document."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row"), F.col(text).alias("text"))
+    """doc_id, ``row`` (identity of id and text), ``set`` (of shingles), ``sig``, its hashes' low bytes as ``sketch``, and n_shingles of each document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity("doc_id", text).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches, "text"):
             keys, at = shingles(part.column("text"))
             sig = signatures(keys, at)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "row": part.column("row"), "set": pa.array(set_keys(keys, at), pa.binary()), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "n_shingles": np.diff(at).astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "row": part.column("row"), "set": pa.array(set_keys(keys, at), pa.binary()), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "sketch": pa.array([s.tobytes() for s in (sig & 0xFF).astype(np.uint8)], pa.binary()), "n_shingles": np.diff(at).astype(np.int64)})
 
-    return slim.mapInArrow(run, "doc_id long, row long, set binary, sig binary, n_shingles long")
+    return slim.mapInArrow(run, "doc_id long, row binary, set binary, sig binary, sketch binary, n_shingles long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """A row per distinct set, with the representative: the row of the smallest doc_id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("rep")
-    return rows.groupBy("set").agg(first, F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"))
+    return rows.groupBy("set").agg(first, F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"))
 
 
 def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -137,78 +147,125 @@ def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, HASHES)
+def _matrix(table: pa.Table, column: str, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind).reshape(-1, width)
+
+
+def _find(root: list[int], k: int) -> int:
+    while root[k] != k:
+        root[k] = k = root[root[k]]
+    return k
+
+
+def _tie(root: list[int], a: int, b: int) -> None:
+    a, b = _find(root, a), _find(root, b)
+    root[max(a, b)] = min(a, b)
+
+
+def walk(labels: np.ndarray, sketch: np.ndarray, floor: int) -> tuple[np.ndarray, list[int]]:
+    """Which classes of a trie (sorted labels) are leaders in the end, and a class that each is tied to (root of a forest of ties)."""
+    n = len(labels)
+    common = np.concatenate([[0], np.cumprod(labels[1:] == labels[:-1], 1).sum(1)])  # hashes that a label shares with the one before
+    root, leads, followed = list(range(n)), np.ones(n, bool), np.zeros(n, bool)
+    child = np.arange(n)
+    for depth_ in range(labels.shape[1], floor - 1, -1):
+        node = np.cumsum(common < depth_)
+        open_ = np.flatnonzero(leads)
+        cuts = np.flatnonzero(np.diff(node[open_])) + 1
+        for below in np.split(open_, cuts):
+            if len(below) < 2 or child[below[0]] == child[below[-1]]:
+                continue
+            met: list[int] = []
+            for k in below.tolist():
+                if met:
+                    alike = (sketch[met] == sketch[k]).mean(1)
+                    alike[child[met] == child[k]] = 0.0  # those of one child have met below
+                    best = int(alike.argmax())
+                    if alike[best] >= LEADER and not followed[k]:
+                        leads[k], followed[met[best]] = False, True
+                        _tie(root, k, met[best])
+                        continue
+                    for j in np.flatnonzero(alike >= TIE).tolist():
+                        _tie(root, k, met[j])
+                met.append(k)
+        child = node
+    return leads, root
+
+
+TIED = "a binary, b binary, prefix long, leads boolean"
+
+
+class _Rows:
+    """Rows of TIED, put out in batches."""
+
+    def __init__(self):
+        self.rows: list[tuple[bytes, bytes, int, bool]] = []
+
+    def add(self, sets: list[bytes], root: list[int], prefix: int, leads: np.ndarray) -> None:
+        least: dict[int, bytes] = {}
+        for k, s in enumerate(sets):
+            r = _find(root, k)
+            least[r] = min(least.get(r, s), s)
+        self.rows += [(s, least[_find(root, k)], prefix, bool(leads[k])) for k, s in enumerate(sets)]
+
+    def batch(self) -> pa.RecordBatch:
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+        out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], t) for k, t in enumerate(types)], ["a", "b", "prefix", "leads"])
+        self.rows.clear()
+        return out
+
+
+def ties(members: DataFrame, floor: int) -> DataFrame:
+    """TIED for each class below each node of the least depth (or a part of it): b is the least class it is tied to."""
+    by = ["prefix", "part"]
+    dealt = members.repartition(*by).sortWithinPartitions(*by, "label", "set")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows()
+        for group in _groups(batches, by):
+            leads, root = walk(_matrix(group, "label", ">u4", LABEL), _matrix(group, "sketch", "u1", HASHES), floor)
+            out.add(group.column("set").to_pylist(), root, group.column("prefix")[0].as_py(), leads)
+            if len(out.rows) > 20_000:
+                yield out.batch()
+        yield out.batch()
 
-def ties(members: DataFrame, part: str, leader: float, tie: float) -> DataFrame:
-    """(a, b) of each class below a node: b is the least one of those it is tied to, by way of leaders.
+    return dealt.mapInArrow(run, TIED)
 
-    A class is tied to every leader that a partner of it could be near: with a pair at distance 0.2 at most and a leader at 0.25 at most from one of
-    the two, the other is within 0.45 of it.  A class has one row, however many
-    the node has.
-    """
-    by = ["prefix", part]
-    dealt = members.repartition(*by).sortWithinPartitions(*by, "label", "set")
+
+def leader_ties(leaders: DataFrame, node_rows: int) -> DataFrame:
+    """TIED for the leaders (prefix, set, sketch) of nodes that were walked in parts; they meet in blocks, two in a task."""
+    counts = leaders.groupBy("prefix").agg(F.ceil(F.count("*") / node_rows).alias("parts"))
+    placed = leaders.join(counts, "prefix").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    by = ["prefix", "i", "j"]
+    dealt = placed.select("prefix", "set", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition(*by).sortWithinPartitions(*by, "set")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[bytes, bytes, int, bool]] = []
+        out = _Rows()
+        for group in _groups(batches, by):
+            sketch = _matrix(group, "sketch", "u1", HASHES)
+            root = list(range(len(sketch)))
+            for k in range(1, len(sketch)):
+                for j in np.flatnonzero((sketch[:k] == sketch[k]).mean(1) >= TIE).tolist():
+                    _tie(root, k, j)
+            out.add(group.column("set").to_pylist(), root, group.column("prefix")[0].as_py(), np.ones(len(sketch), bool))
+            yield out.batch()
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["a", "b", "prefix", "leads"])
-            rows.clear()
-            return batch
+    return dealt.mapInArrow(run, TIED)
 
-        for group in _groups(batches, by):
-            sig, sets, node = _matrix(group), group.column("set").to_pylist(), group.column("prefix")[0].as_py()
-            leaders, joined, leads, member_of = np.empty_like(sig), [], np.zeros(len(sets), bool), []
-
-            def root(j: int) -> int:
-                while joined[j] != j:
-                    joined[j] = j = joined[joined[j]]
-                return j
-
-            for k in range(len(sets)):
-                alike = (leaders[: len(joined)] == sig[k]).mean(1) if joined else np.zeros(0)
-                tied_to = np.flatnonzero(alike >= tie).tolist()
-                if not (alike >= leader).any():
-                    leads[k] = True
-                    leaders[len(joined)] = sig[k]
-                    tied_to.append(len(joined))
-                    joined.append(len(joined))
-                roots = {root(j) for j in tied_to}
-                for j in roots:
-                    joined[j] = min(roots)
-                member_of.append(tied_to[0])
-            least: dict[int, bytes] = {}
-            for k, j in enumerate(member_of):
-                r = root(j)
-                least[r] = min(least.get(r, sets[k]), sets[k])
-            rows += [(sets[k], least[root(j)], node, bool(leads[k])) for k, j in enumerate(member_of)]
-            if len(rows) > 20_000:
-                yield out()
-        yield out()
-
-    return dealt.mapInArrow(run, "a binary, b binary, prefix long, leads boolean")
-
-
-def candidate_groups(classes: DataFrame) -> DataFrame:
+
+def candidate_groups(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """node (a set), root of all classes that may have a partner."""
-    d = depth()
-    prefixes = F.array(*(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * LABEL * t, 4 * d)) for t in range(TREES)))
+    floor = depth()
+    prefixes = F.array(*(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * LABEL * t, 4 * floor)) for t in range(TREES)))
     entries = classes.where("n_shingles > 0").select("set", F.posexplode(prefixes).alias("tree", "prefix"))
     shared = entries.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    below = entries.join(shared, "prefix").join(classes.select("set", "sig"), "set")
+    below = entries.join(shared, "prefix").join(classes.select("set", "sig", "sketch"), "set")
     label = F.expr(f"substring(sig, 1 + {4 * LABEL} * tree, {4 * LABEL})")
-    parts = F.ceil(F.col("n") / NODE_ROWS)
-    members = materialize(below.select("prefix", "set", "sig", label.alias("label"), F.pmod(F.xxhash64("set"), parts).alias("part"), (parts > 1).alias("large")), "forest")
-    tied = ties(members, "part", LEADER, TIE)
-    large = members.where("large")
-    if large.isEmpty():
-        return components(tied.select("a", "b"))
-    tied = materialize(tied, "ties")
-    leaders = tied.where("leads").select("prefix", F.col("a").alias("set")).join(large, ["prefix", "set"]).withColumn("part", F.lit(0).cast("long"))
-    return components(tied.select("a", "b").unionByName(ties(leaders, "part", 2.0, PART_TIE).select("a", "b")))
+    parts = F.ceil(F.col("n") / node_rows)
+    members = materialize(below.select("prefix", "set", "sketch", label.alias("label"), F.pmod(F.xxhash64("set"), parts).alias("part"), (parts > 1).alias("large")), "forest")
+    tied = materialize(ties(members, floor), "ties")
+    leaders = tied.where("leads").select("prefix", F.col("a").alias("set")).join(members.where("large"), ["prefix", "set"]).select("prefix", "set", "sketch")
+    return components(tied.unionByName(leader_ties(leaders, node_rows)).select("a", "b"))
 
 
 def link_matrix(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -243,16 +300,24 @@ def _spanning(links: np.ndarray) -> np.ndarray:
         label = best
 
 
-def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """(a, b, n) for each class in a group: a tie to the least class it is connected with, and its links there."""
     size = groups.groupBy("root").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK)
+    parts = F.ceil(F.col("n") / block)
     members = groups.join(size.where("n > 1"), "root").join(classes.select(F.col("set").alias("node"), F.col("rep.row").alias("row")), "node")
     members = members.select("node", "root", "row", F.pmod(F.xxhash64("node"), parts).alias("own"), parts.alias("parts"))
-    texts = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col(text).alias("text"))
-    met = texts.join(members, "row").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    texts = docs.select(identity("doc_id", text).alias("row"), F.col(text).alias("text"))
+
+    def hash_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.slices(batches, "text"):
+            keys, at = shingles(part.column("text"))
+            rest = [part.column(c) for c in ("node", "root", "own", "parts")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "root", "own", "parts", "keys"])
+
+    sets = materialize(texts.join(members, "row").select("node", "root", "own", "parts", "text").mapInArrow(hash_, "node binary, root binary, own long, parts long, keys binary"), "shingles")
     by = ["root", "i", "j"]
-    met = met.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text").repartition(*by).sortWithinPartitions(*by, "node")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "keys").repartition(*by).sortWithinPartitions(*by, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, by):
@@ -260,8 +325,8 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str =
             one = [k for k in range(len(nodes)) if k == 0 or nodes[k] != nodes[k - 1]]  # equal rows come twice
             group = group.take(pa.array(one))
             nodes, own = [nodes[k] for k in one], group.column("own").to_numpy()
-            keys, at = shingles(group.column("text"))
-            links = link_matrix(keys, at)
+            each = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
+            links = link_matrix(np.concatenate(each), W.prefix(np.array(list(map(len, each)))))
             if group.column("i")[0].as_py() != group.column("j")[0].as_py():
                 links &= own[:, None] != own[None, :]  # pairs in one block have a task of their own
             root, count = _spanning(links), links.sum(1)
@@ -271,27 +336,28 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str =
     return met.mapInArrow(run, "a binary, b binary, n long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", node_rows: int = NODE_ROWS, block: int = BLOCK) -> DataFrame:
     """A row per document: doc_id, row, copy_of (smallest id with its set), class_id and class_row (smallest id
     of its near-duplicate class, and that row), n_links (other sets with a similarity of THRESHOLD or more)."""
     rows = materialize(hashed(docs, text), "sets")
     classes = materialize(classes_of(rows), "classes")
-    found = materialize(verified(candidate_groups(classes), classes, docs, text), "links")
+    found = materialize(verified(candidate_groups(classes, node_rows), classes, docs, text, block), "links")
     links = found.groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("n_links"))
     near = components(found.select("a", "b")).withColumnRenamed("node", "set")
-    reps = classes.select("set", "rep")
+    reps = classes.select("set", "rep", "n_rows")
     least = near.join(reps, "set").groupBy("root").agg(F.min("rep").alias("class_rep"))
     known = near.join(least, "root").join(links, "set", "left").select("set", "class_rep", "n_links")
-    full = reps.join(known, "set", "left").select("set", F.col("rep.doc_id").alias("copy_of"), F.coalesce("class_rep", "rep").alias("of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "row", "set").join(full, "set").select("doc_id", "row", "copy_of", F.col("of.doc_id").alias("class_id"), F.col("of.row").alias("class_row"), "n_links")
+    full = reps.join(known, "set", "left").select("set", "n_rows", F.col("rep.doc_id").alias("copy_of"), F.coalesce("class_rep", "rep").alias("of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = join_keyed(rows.select("doc_id", "row", "set"), materialize(full, "near"), "set", "n_rows")
+    return placed.select("doc_id", "row", "copy_of", F.col("of.doc_id").alias("class_id"), F.col("of.row").alias("class_row"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class, that of the smallest doc_id, with the columns of ``docs``."""
     reps = near_duplicates(docs).select(F.col("class_row").alias("_row")).distinct()
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns})
-    kept = renamed.withColumn("_row", F.xxhash64("_own_doc_id", "_own_text")).join(reps, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
+    own = own_names(docs)
+    kept = docs.withColumnsRenamed(own).withColumn("_row", identity(own["doc_id"], own["text"])).join(reps, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
