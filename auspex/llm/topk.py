@@ -1,24 +1,32 @@
-"""Exact top-k search by Fagin's threshold algorithm.
-
-Candidates are packed in blocks, queries in groups, and each group meets every
-block.  A block has, for each dimension, the list of its vectors sorted by that
-component; a group walks all lists from both ends in lockstep.  Vectors that come
-into sight are scored in full; the threshold of a query is the score that a
-vector could have whose components are those at the lists' present depth.  A
-query is done with a block as soon as its k-th best score, carried from block to
-block, is above the threshold.  With equal scores the smaller id is better, so a
-threshold that equals the k-th score doesn't stop the search.
+"""Top-k search by Fagin's threshold algorithm over blocks of alike vectors.
+
+Vectors are dealt to cells by the nearest of ``PIVOTS`` pivots, and cells are cut in
+blocks.  A block has, for each dimension, the list of its vectors sorted by that
+component, made once.  A query walks all lists of a block from both ends in lockstep;
+vectors that come into sight are scored in full, and the threshold is the score that
+a vector could have whose components are those at the lists' present depth.  It is
+done with the block as soon as its k-th best score is above the threshold.  With
+equal scores the smaller id is better, so a threshold that equals the k-th score
+doesn't stop the search.
+
+A query begins with a block of its own cell.  With the k-th score from there, the
+threshold at depth 0 and the distance of a block's vectors from their mean tell
+which other blocks it has to visit; it goes to those only.  Nothing is left
+out: where vectors have no structure, all blocks are visited and scored.
 
 Scores are exact integers: components are floor(256 * x) of x as a double; sums
-are made in float64 where they fit 53 bits and in int64 elsewhere.
+are made in float64 where they fit 53 bits, else in int64, else in Python's integers.
 
-A task holds one query group and one block at a time.  Groups meet blocks by an
-equi-join on the group and a chunk of blocks, so no side is broadcast.
+A task holds one block and at most ``GROUP`` queries at a time.  Blocks and queries
+meet by equi-joins on the block; the blocks' bounds meet groups of queries in chunks,
+so no side is broadcast.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite
 component take no part, nor do rows without an id; vectors of another length than
 the query's aren't candidates of it; rows that share an id are separate
-candidates (never of a query with that id), and equal rows are one query.
+candidates (never of a query with that id), and equal rows are one query; components
+beyond the ends of a long are cut to 2^62 and scores to the ends of a long; an empty
+table gives an empty result; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -37,18 +46,16 @@ from auspex.sources.shared import materialize
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
-#: Queries in a group and vectors in a block, about.
-GROUP = 2048
-BLOCK = 8192
-#: Blocks that one task takes for a group, one after the other.
-CHUNK = 8
+#: Cells; their pivots are the vectors of the smallest hashes.
+PIVOTS = 64
+#: Vectors in a block, about; queries that a task takes at a time; blocks whose bounds a task takes at a time.
+BLOCK, GROUP, BOUNDS = 4096, 2048, 1024
 #: The first depth in the lists; each next one is twice as deep.
 FIRST_DEPTH = 64
 
 #: The score of no candidate; its negative is a long too.
 NONE = -(2**63) + 1
-
-PACKED = "part long, dims int, ids binary, vectors binary"
+LEAST, MOST = NONE + 1, 2**63 - 1
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -56,37 +63,93 @@ def quantized(vectors: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fine = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(whole, F.lit(False)))
-    return fine.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("q"))
+    end = F.lit(2.0**62)
+    return fine.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.greatest(F.least(v * SCALE, end), -end)).cast("long")).alias("q"))
+
 
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows with ``q`` of one length, and their matrix."""
+    lists = batch.column("q")
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        yield at, lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
 
-def packed(rows: DataFrame, part, parts: int) -> DataFrame:
-    """Rows with one part and one length of ``q`` as one packed row (two or more where the batches of a task end)."""
-    dealt = rows.select(part.alias("part"), F.size("q").alias("dims"), "vec_id", "q").repartition(parts, "part").sortWithinPartitions("part", "dims", "vec_id")
+
+def celled(rows: DataFrame) -> DataFrame:
+    """``rows`` with dims and cell, the number of the nearest pivot of that length (-1 without one)."""
+    sample = rows.withColumn("_h", F.xxhash64("vec_id", "q")).orderBy("_h", "vec_id").limit(PIVOTS).collect()
+    pivots: dict[int, list[list[int]]] = {}
+    for r in sample:
+        pivots.setdefault(len(r["q"]), []).append(r["q"])
+    matrices = {n: np.array(p, np.float64) for n, p in pivots.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, dims = (batch.column(c).to_numpy() for c in ("part", "dims"))
-            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(dims) != 0)) + 1
-            edges = [0, *cuts.tolist(), len(part)]
-            flat = batch.column("q")
+            dims, cell = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, -1, np.int32)
+            for at, x in by_length(batch):
+                dims[at] = x.shape[1]
+                if x.shape[1] in matrices:
+                    p = matrices[x.shape[1]]
+                    cell[at] = ((p**2).sum(1) - 2 * (x.astype(np.float64) @ p.T)).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("q"), pa.array(dims), pa.array(cell)], ["vec_id", "q", "dims", "cell"])
+
+    return rows.mapInArrow(run, "vec_id long, q array<long>, dims int, cell int")
+
+
+BLOCKS = "block long, dims int, cell int, ids binary, vectors binary, lists binary, mean binary, radius double"
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """BLOCKS of all rows: ids (ascending), vectors, and for each dimension the places of the vectors by that component."""
+    parts = rows.groupBy("dims", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a cell: PIVOTS of one length, one of each other
+    by = ["dims", "cell", "part"]
+    dealt = rows.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), F.col("parts"))).repartition(*by).sortWithinPartitions(*by, "vec_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:  # a block ends where a batch does
+            keys = [batch.column(c).to_numpy() for c in by]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], 0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if b > a:
-                    ids = batch.column("vec_id").slice(a, b - a).to_numpy()
-                    vectors = flat.slice(a, b - a).flatten().to_numpy()
-                    yield pa.RecordBatch.from_pydict({"part": [int(part[a])], "dims": pa.array([int(dims[a])], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+                    dims = int(keys[0][a])
+                    x = batch.column("q").slice(a, b - a).flatten().to_numpy().reshape(-1, dims)
+                    mean = x.mean(0)
+                    row = {
+                        "block": [number], "dims": [dims], "cell": [int(keys[1][a])], "ids": [batch.column("vec_id").slice(a, b - a).to_numpy().tobytes()], "vectors": [x.tobytes()],
+                        "lists": [np.argsort(x, 0, kind="stable").astype(np.int32).tobytes()], "mean": [mean.tobytes()], "radius": [float(np.sqrt(((x - mean) ** 2).sum(1).max()))],
+                    }
+                    yield pa.RecordBatch.from_pydict(row, BLOCK_SCHEMA)
+                    number += 1
 
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.mapInArrow(run, BLOCKS)
+
+
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("lists", pa.binary()), ("mean", pa.binary()), ("radius", pa.float64())])
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products (queries x vectors) as longs, cut to their ends."""
+    span = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * queries.shape[1]
+    if span >= 2**63:
+        exact = queries.astype(object) @ vectors.T.astype(object)
+        return np.clip(exact, LEAST, MOST).astype(np.int64)
+    kind = np.float32 if span < 2**24 else np.float64 if span < 2**53 else np.int64
+    return (queries.astype(kind) @ vectors.T.astype(kind)).astype(np.int64)
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far, none below ``least``."""
 
-    def __init__(self, n: int):
-        self.score = np.full((n, K), NONE)
-        self.id = np.full((n, K), np.iinfo(np.int64).max)
+    def __init__(self, least: np.ndarray):
+        self.least = least
+        self.score = np.full((len(least), K), NONE)
+        self.id = np.full((len(least), K), np.iinfo(np.int64).max)
 
     def kth(self) -> np.ndarray:
-        return self.score[:, -1]
+        return np.maximum(self.score[:, -1], self.least)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Scores of the queries ``rows`` against candidates ``ids`` (ascending); ``own``: the queries' ids."""
@@ -106,29 +169,30 @@ class Best:
             self.score[row], self.id[row] = all_s[order], all_i[order]
 
 
-def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> int:
+#: What rounding in a bound may take away; it is far above the error of sums of float64.
+SLACK = 1 + 1e-9
+
+
+def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, best: Best) -> int:
     """Search one block for all queries; returns how many of its scores were computed."""
     n = len(ids)
-    span = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
-    kind = np.float32 if span < 2**24 else np.float64 if span < 2**53 else np.int64
-    q, v = queries.astype(kind), vectors.astype(kind)
-    order = np.argsort(vectors, 0, kind="stable")  # the sorted list of each dimension, ascending
-    lists = np.take_along_axis(vectors, order, 0)
     positive, negative = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    dims = np.arange(queries.shape[1])
     seen, active, depth, scored = np.zeros(n, bool), np.arange(len(queries)), 0, 0
     while depth < n and len(active):
-        bound = positive[active] @ lists[n - 1 - depth].astype(np.float64) + negative[active] @ lists[depth].astype(np.float64)
-        active = active[(best.kth()[active] <= bound) | (bound >= 2**53)]
+        high, low = vectors[lists[n - 1 - depth], dims].astype(np.float64), vectors[lists[depth], dims].astype(np.float64)
+        bound = positive[active] @ high + negative[active] @ low
+        active = active[best.kth()[active] <= bound + np.abs(bound) * (SLACK - 1) + 1]
         if not len(active):
             break
         deeper = min(n, max(FIRST_DEPTH, 2 * depth))
         sight = np.zeros(n, bool)
-        sight[order[depth:deeper].ravel()] = True
-        sight[order[n - deeper : n - depth].ravel()] = True
+        sight[lists[depth:deeper].ravel()] = True
+        sight[lists[n - deeper : n - depth].ravel()] = True
         new = np.flatnonzero(sight & ~seen)
         seen[new] = True
         if len(new):
-            best.add(active, (q[active] @ v[new].T).astype(np.int64), ids[new], own)
+            best.add(active, products(queries[active], vectors[new]), ids[new], own)
             scored += len(active) * len(new)
         if seen.all():
             break
@@ -136,45 +200,123 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray,
     return scored
 
 
-def top_k(vectors: DataFrame, is_query) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector where ``is_query``, the K best of all others."""
-    rows = materialize(quantized(vectors), "vectors")
-    queries = rows.where(is_query).distinct()
-    n, n_queries = rows.count(), queries.count()
-    groups, blocks = max(1, -(-n_queries // GROUP)), max(1, -(-n // BLOCK))
-    chunks = max(1, -(-blocks // CHUNK))
-    spread = lambda parts: F.pmod(F.xxhash64("vec_id", "q"), F.lit(parts))
-    group_rows = packed(queries, spread(groups), groups).withColumnRenamed("part", "grp").withColumn("side", F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("block", F.lit(-1).cast("long"))
-    block_rows = packed(rows, spread(blocks), blocks).withColumnRenamed("part", "block").withColumn("side", F.lit(1)).withColumn("chunk", (F.col("block") % chunks).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = group_rows.unionByName(block_rows).repartition(groups * chunks, "grp", "chunk").sortWithinPartitions("grp", "chunk", "dims", "side", "block")
+HITS = "query_id long, query_hash long, vec_id long, score long, scored long"
+
+
+def search(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """HITS of each query (query_id, query_hash, q, least) in the ``block`` it asks for; a row without vec_id has the number of scores computed."""
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    given = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id", "query_hash"), F.col("parts")))
+    null = lambda kind: F.lit(None).cast(kind)
+    left = given.select("block", "part", F.lit(0).alias("side"), "dims", "ids", "vectors", "lists", null("long").alias("query_id"), null("long").alias("query_hash"), null("array<long>").alias("q"), null("long").alias("least"))
+    right = placed.select("block", "part", F.lit(1).alias("side"), null("int").alias("dims"), *(null("binary").alias(c) for c in ("ids", "vectors", "lists")), "query_id", "query_hash", "q", "least")
+    met = left.unionByName(right).repartition("block", "part").sortWithinPartitions("block", "part", "side")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, best, q, own = None, [], None, None, None
+        block, waiting = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            if best is not None:
+            if waiting:
+                ids, x, lists = block
+                own, hashes, least = (np.array([w[k] for w in waiting], np.int64) for k in (0, 1, 3))
+                q = np.array([w[2] for w in waiting], np.int64)
+                best = Best(least)
+                scored = threshold_search(q, own, x, ids, lists, best)
                 at, col = np.nonzero(best.score > NONE)
-                yield pa.RecordBatch.from_pydict({"query_id": own[at], "query_hash": hashes[at], "vec_id": best.id[at, col], "score": best.score[at, col]})
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": pa.array([*own[at].tolist(), None], pa.int64()), "query_hash": pa.array([*hashes[at].tolist(), None], pa.int64()), "vec_id": pa.array([*best.id[at, col].tolist(), None], pa.int64()),
+                    "score": pa.array([*best.score[at, col].tolist(), None], pa.int64()), "scored": pa.array([*[0] * len(at), scored], pa.int64()),
+                })
+                waiting.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"])
-                if key != (row["grp"], row["chunk"], row["dims"]):
-                    yield from out()
-                    key, parts, best = (row["grp"], row["chunk"], row["dims"]), [], None
                 if row["side"] == 0:
-                    parts.append((ids, x))
-                elif parts:
-                    if best is None:
-                        own, q = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                        hashes = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "big", signed=True) for v in q])
-                        best = Best(len(own))
-                    threshold_search(q, own, x, ids, best)
+                    yield from out()
+                    n = row["dims"]
+                    block = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, n), np.frombuffer(row["lists"], np.int32).reshape(-1, n)
+                else:
+                    waiting.append((row["query_id"], row["query_hash"], row["q"], row["least"]))
         yield from out()
 
-    found = met.mapInArrow(run, "query_id long, query_hash long, vec_id long, score long")
+    return met.mapInArrow(run, HITS)
+
+
+def to_visit(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, query_hash, block) of the blocks but the first that may hold a score of ``least`` or more, by the blocks' bounds."""
+    n, n_blocks = queries.count(), blocks.count()
+    groups, chunks = max(1, -(-n // GROUP)), max(1, -(-n_blocks // BOUNDS))
+    asked = queries.select(F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), "dims", "block", "query_id", "query_hash", "least", "q")
+
+    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, lists = np.frombuffer(r["vectors"], np.int64).reshape(-1, r["dims"]), np.frombuffer(r["lists"], np.int32).reshape(-1, r["dims"])
+                at = np.arange(r["dims"])
+                low, high = x[lists[0], at].astype(np.float64), x[lists[-1], at].astype(np.float64)
+                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "dims": pa.array([r["dims"]], pa.int32()), "low": [low.tobytes()], "high": [high.tobytes()], "mean": [r["mean"]], "radius": [r["radius"]]})
+
+    bounds = blocks.select("block", "dims", "vectors", "lists", "mean", "radius").mapInArrow(edges, "block long, dims int, low binary, high binary, mean binary, radius double")
+    told = bounds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"), "dims", "block", "low", "high", "mean", "radius")
+    met = told.unionByName(asked, allowMissingColumns=True).repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "dims", "side", "block")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, matrix = None, [], None
+        for batch in batches:
+            found: dict[str, list] = {"query_id": [], "query_hash": [], "block": []}
+            for r in batch.to_pylist():
+                if (r["grp"], r["chunk"], r["dims"]) != key:
+                    key, held, matrix = (r["grp"], r["chunk"], r["dims"]), [], None
+                if r["side"] == 0:
+                    held.append((r["block"], *(np.frombuffer(r[c], np.float64) for c in ("low", "high", "mean")), r["radius"]))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    matrix = [np.stack([h[k] for h in held]) for k in (1, 2, 3)] + [np.array([h[4] for h in held]), np.array([h[0] for h in held])]
+                low, high, mean, radius, numbers = matrix
+                q = np.array(r["q"], np.float64)
+                box, ball = high @ np.maximum(q, 0) + low @ np.minimum(q, 0), mean @ q + radius * np.sqrt(q @ q)
+                bound = np.minimum(box + np.abs(box) * (SLACK - 1), ball + (np.abs(ball) + radius * np.sqrt(q @ q)) * (SLACK - 1)) + 1
+                visit = numbers[(bound >= r["least"]) & (numbers != r["block"])].tolist()
+                found["query_id"] += [r["query_id"]] * len(visit)
+                found["query_hash"] += [r["query_hash"]] * len(visit)
+                found["block"] += visit
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
+
+    return met.mapInArrow(run, "query_id long, query_hash long, block long")
+
+
+def _best(hits: DataFrame) -> DataFrame:
     rank = F.row_number().over(Win.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+    return hits.where("vec_id is not null").withColumn("rank", rank).where(F.col("rank") <= K)
+
+
+def all_hits(vectors: DataFrame, is_query) -> DataFrame:
+    """HITS of all queries, rows of ``vectors`` where ``is_query``, in all blocks that they visit."""
+    rows = materialize(celled(materialize(quantized(vectors), "vectors")), "cells")
+    blocks = materialize(blocks_of(rows), "blocks")
+
+    def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [int.from_bytes(hashlib.blake2b(np.array(q, np.int64).tobytes(), digest_size=8).digest(), "big", signed=True) for q in batch.column("q").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], [*batch.schema.names, "query_hash"])
+
+    queries = rows.where(is_query).distinct().mapInArrow(key, "vec_id long, q array<long>, dims int, cell int, query_hash long").withColumnRenamed("vec_id", "query_id")
+    first = blocks.groupBy("dims", "cell").agg(F.min("block").alias("block"))
+    begun = materialize(queries.join(first, ["dims", "cell"]).withColumn("least", F.lit(NONE)), "queries")
+    near = materialize(search(begun, blocks), "near-hits")
+    kth = _best(near).where(F.col("rank") == K).select("query_id", "query_hash", F.col("score").alias("kth"))
+    known = begun.join(kth, ["query_id", "query_hash"], "left").withColumn("least", F.coalesce("kth", "least")).drop("kth")
+    known = materialize(known, "bounded-queries")
+    far = to_visit(known, blocks).join(known.select("query_id", "query_hash", "q", "least"), ["query_id", "query_hash"])
+    return near.unionByName(search(materialize(far, "visits"), blocks))
+
+
+def top_k(vectors: DataFrame, is_query) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vector where ``is_query``, the K best of all others."""
+    return _best(all_hits(vectors, is_query)).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
