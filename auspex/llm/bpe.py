@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A slice of the corpus is split by the tokenizer's pattern; its distinct pieces
+The corpus is encoded in slices of ``SLICE_BYTES``, as the distinct pieces of all of it
+would have to be joined back to every place they have; what a worker knows of pieces
+it keeps from slice to slice.  A slice is split by the tokenizer's pattern; its distinct pieces
 stand in one flat array of byte tokens.  An inverted index from the rank of a
 token pair to the positions that have it is walked in rank order: all occurrences
 of a pair, in all pieces, are merged at once in numpy, and only their left and
 right neighbours get new pairs.  The pieces' ids are then gathered for each text.
 
 Defined cases: a null text is the empty text (no ids); a very long text makes a
-slice of its own; equal rows get equal ids; other columns are passed on.
+slice of its own; equal rows get equal ids; an empty table gives an empty result;
+other columns are passed on, and those named like a result are replaced.
 The tokens are bytes, so decoding gives back every text exactly.
 """
 
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
+from auspex.llm.rows import carried
 
 #: Texts of so many bytes are encoded together.
 SLICE_BYTES = 8 << 20
@@ -158,14 +162,25 @@ def _with_single(pieces, sizes, tok, kept, odd, ranks):
 
 
 def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
-    """The ids of one piece: the leftmost pair of the least rank is merged until none is left."""
+    """The ids of one piece: the leftmost pair of the least rank is merged until none is left, by a heap of pairs."""
     ids = [int(ranks.of_byte[b]) for b in piece]
-    while len(ids) > 1:
-        best, k = min((ranks.pair.get(a << 32 | b, int(NO_RANK)), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
-        if best == NO_RANK:
-            break
-        ids[k : k + 2] = [best]
-    return ids
+    n = len(ids)
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    alive = [True] * n
+    heap = [(r, k) for k in range(n - 1) if (r := ranks.pair.get(ids[k] << 32 | ids[k + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, k = heapq.heappop(heap)
+        j = after[k]
+        if not alive[k] or j < 0 or ranks.pair.get(ids[k] << 32 | ids[j]) != rank:
+            continue  # one of the pair was merged meanwhile
+        ids[k], alive[j], after[k] = rank, False, after[j]
+        if after[k] >= 0:
+            before[after[k]] = k
+        for left in (before[k], k):
+            if left >= 0 and after[left] >= 0 and (r := ranks.pair.get(ids[left] << 32 | ids[after[left]])) is not None:
+                heapq.heappush(heap, (r, left))
+    return [x for x, a in zip(ids, alive, strict=True) if a]
 
 
 class Numbers(dict):
@@ -228,13 +243,9 @@ def decode(ids: pa.Array, path: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), pa.scalar(b"", pa.binary()))
 
 
-def _carried(df: DataFrame, *out: str) -> list[str]:
-    return [c for c in df.columns if c.lower() not in {o.lower() for o in out}]
-
-
 def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``text``, a list of ints; a column of that name is replaced."""
-    keep = _carried(docs, out)
+    keep = carried(docs, out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -249,7 +260,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
 def with_digests(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """Number of ids, digest of the ids and of the decoded bytes in place of ``ids``."""
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
-    keep = _carried(encoded, ids, *new)
+    keep = carried(encoded, ids, *new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = ranks_of(path).decimal

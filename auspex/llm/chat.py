@@ -18,7 +18,7 @@ and line feeds are escaped too, since a line feed ends the role.
 Defined cases: a null role or text is empty; turns are ordered by turn (null
 first), then role, then text, so ties are in a fixed order; repeated rows are
 repeated turns; a null conv_id is one conversation; extra columns take no part;
-an empty table gives an empty result.
+a very long text makes a piece of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
+from auspex.sources.shared import materialize
 
 #: A piece is closed once it has so many bytes.
 PIECE_BYTES = 1 << 20
+#: Pieces of one conversation that a task holds until it knows where the conversation ends.
+HELD_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -126,18 +129,22 @@ def _pieces(part: pa.RecordBatch, template: Template) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), turn.take(pa.array(first)), formatted.cast(pa.binary()), lists, pa.array(np.diff(bounds))], PIECES.names)
 
 
-def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataFrame:
-    """PIECES of all conversations; ``seq`` orders the pieces of one."""
+def ranged(turns: DataFrame) -> DataFrame:
+    """The turns in ranges of conversation and turn, sorted."""
     order = ["conv_id", "turn"]
     # the columns get names of their own, as extra ones may clash with them
     slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order, "role", "text")
+    return slim.repartitionByRange(*order).sortWithinPartitions(*order, "role", "text")
+
+
+def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataFrame:
+    """PIECES of all conversations; ``seq`` orders the pieces of one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches, "text"):
             yield _pieces(part, template)
 
-    return ranged.mapInArrow(run, PIECES).withColumn("seq", F.monotonically_increasing_id())
+    return ranged(turns).mapInArrow(run, PIECES).withColumn("seq", F.monotonically_increasing_id())
 
 
 def parse(formatted: bytes, template: Template = CHATML) -> tuple[list[str], list[str]]:
@@ -155,8 +162,40 @@ DIGESTS = T.StructType([
 ])
 
 
+class Reader:
+    """DIGESTS of conversations whose pieces come one after the other, parsed from formatted text and loss spans."""
+
+    def __init__(self, template: Template):
+        self.template, self.now, self.rows = template, None, []
+
+    def add(self, conv: int | None, formatted: bytes, spans: list[int]) -> None:
+        now = self.now
+        if now is None or now["id"] != conv:
+            self.close()
+            now = self.now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0}
+        roles, texts = parse(formatted, self.template)
+        for role, text in zip(roles, texts, strict=True):
+            now["turns"].update(f"{role}\n{text}\n".encode())
+        masked = self.template.unescape(pa.array([formatted[a:b].decode() for a, b in zip(spans[::2], spans[1::2], strict=True)], pa.string())).to_pylist()
+        for text in masked:
+            now["loss"].update(text.encode())
+            now["chars"] += len(text)
+        now["n"] += len(roles)
+        now["all"] += len(formatted.decode())
+
+    def close(self) -> None:
+        if (now := self.now) is not None:
+            self.rows.append((now["id"], now["n"], now["turns"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["all"]))
+        self.now = None
+
+    def flush(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, r, strict=True)) for r in self.rows], OUT)
+        self.rows.clear()
+        return out
+
+
 def read_back(pieces: DataFrame, template: Template = CHATML) -> DataFrame:
-    """DIGESTS of each conversation, parsed from its formatted text and loss spans.
+    """DIGESTS of each conversation of ``pieces``.
 
     A digest runs through a conversation from its start to its end, so its pieces
     stream through one task in order, one at a time.
@@ -164,43 +203,84 @@ def read_back(pieces: DataFrame, template: Template = CHATML) -> DataFrame:
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def close() -> None:
-            if now is not None:
-                rows.append((now["id"], now["n"], now["turns"].hexdigest(), now["chars"], now["loss"].hexdigest(), now["all"]))
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, r, strict=True)) for r in rows], OUT)
-            rows.clear()
-            return out
-
+        reader = Reader(template)
         for batch in batches:
             for conv, formatted, spans in zip(batch.column("conv_id").to_pylist(), batch.column("formatted"), batch.column("loss_spans").to_pylist(), strict=True):
-                if now is None or now["id"] != conv:
-                    close()
-                    now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0}
-                whole = formatted.as_py()
-                roles, texts = parse(whole, template)
-                for role, text in zip(roles, texts, strict=True):
-                    now["turns"].update(f"{role}\n{text}\n".encode())
-                masked = template.unescape(pa.array([whole[a:b].decode() for a, b in zip(spans[::2], spans[1::2], strict=True)], pa.string())).to_pylist()
-                for text in masked:
-                    now["loss"].update(text.encode())
-                    now["chars"] += len(text)
-                now["n"] += len(roles)
-                now["all"] += len(whole.decode())
-            yield flush()
-        close()
-        yield flush()
+                reader.add(conv, formatted.as_py(), spans)
+            yield reader.flush()
+        reader.close()
+        yield reader.flush()
 
     return ordered.mapInArrow(run, DIGESTS)
 
 
+def formatted_digests(turns: DataFrame, template: Template = CHATML) -> DataFrame:
+    """DIGESTS of all conversations, formatted and read back where they are.
+
+    Only the first and the last conversation of a range may go on in another one; the
+    pieces of these are shuffled by conversation, the others aren't shuffled again.
+    """
+    names = [*DIGESTS.names, "formatted", "loss_spans"]
+    schema = T.StructType([*DIGESTS.fields, PIECES["formatted"], PIECES["loss_spans"]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, first, opened = Reader(template), None, False
+        held: list[tuple] = []  # pieces of the present conversation, as long as they are few: it may be the last
+
+        def edges(pieces: list[tuple]) -> pa.RecordBatch:
+            nulls = [pa.nulls(len(pieces), t) for t in OUT.types[1:]]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), *nulls, pa.array([p[1] for p in pieces], pa.binary()), pa.array([p[2] for p in pieces], pa.list_(pa.int64()))], names)
+
+        def digests() -> pa.RecordBatch:
+            out = reader.flush()
+            return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary()), pa.nulls(out.num_rows, pa.list_(pa.int64()))], names)
+
+        for part in W.slices(batches, "text"):
+            pieces = _pieces(part, template)
+            for conv, formatted, spans in zip(pieces.column("conv_id").to_pylist(), pieces.column("formatted"), pieces.column("loss_spans").to_pylist(), strict=True):
+                if not opened:
+                    opened, first = True, conv
+                if conv == first:
+                    yield edges([(conv, formatted.as_py(), spans)])
+                    continue
+                if held and held[0][0] != conv:
+                    for p in held:
+                        reader.add(*p)
+                    reader.close()
+                    held = []
+                held.append((conv, formatted.as_py(), spans))
+                if sum(len(p[1]) for p in held) > HELD_BYTES:  # read back like one that goes on elsewhere
+                    yield edges(held)
+                    held, first = [], conv
+            yield digests()
+        if held:
+            yield edges(held)
+
+    found = materialize(ranged(turns).mapInArrow(run, schema).withColumn("seq", F.monotonically_increasing_id()), "digests")
+    rest = found.where("formatted IS NOT NULL").select("conv_id", "formatted", "loss_spans", "seq")
+    return found.where("formatted IS NULL").select(*DIGESTS.names).unionByName(read_back(rest, template))
+
+
 OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(planted)))
+    return formatted_digests(turns.unionByName(planted))
+
+
+def _escaped(column: str) -> str:
+    """DuckDB: the length that escaping adds, a backslash for each control string."""
+    return f"len(regexp_extract_all({column}, '{CHATML.pattern(False)}'))"
+
+
+#: The same digests from the turns themselves; roles of the table hold no backslash or line feed.
+ORACLE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, role, txt, role, txt FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) AS p(k, role, txt))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  sum(CASE WHEN role = '{CHATML.loss_role}' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = '{CHATML.loss_role}'), '')) AS loss_sha256,
+  sum({len(CHATML.begin) + len(CHATML.after_role) + len(CHATML.end)} + length(role) + {_escaped("role")} + length(text) + {_escaped("text")})::BIGINT AS formatted_chars
+FROM t GROUP BY 1"""

@@ -7,14 +7,17 @@ language is the one with the largest sum, its score the mean.  Training sequence
 are runs of words from several texts, so the transitions are those of code-switched
 text.
 
-The model is fitted on a bounded sample: the ``SAMPLE`` labelled texts of at most
-``SAMPLE_CHARS`` characters with the smallest hashes, copies taken once.  Prediction takes whole texts:
+The model is fitted on a bounded sample, by language: of each, the labelled texts of at
+most ``SAMPLE_CHARS`` characters with the smallest hashes, copies taken once, its share
+of ``SAMPLE`` texts but ``SAMPLE_LEAST`` at least.  Prediction takes whole texts:
 a chain is cut in chunks whose transfer matrices are multiplied first, which is
 exact and makes the number of numpy steps independent of a text's length.
 
 Defined cases: a null text, an empty one or one without letters is ``und`` with
 score 0; with no labelled text all are ``und``; ties go to the first language in
-code-point order; rows are predicted one by one; extra columns take no part.
+code-point order; rows are predicted one by one; a very long text is one slice of its
+task's work; an empty table gives an empty result; extra columns take no part, and
+of those kept, the ones named like a result (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
+from auspex.llm.rows import carried
+from auspex.sources.shared import fresh
 
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+SAMPLE, SAMPLE_LEAST, SAMPLE_CHARS = 1500, 50, 20_000
 LEXICON_COUNT = 4
 BITS = 16
 NGRAMS, AFFIXES = 4, 3
@@ -246,28 +252,38 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
 
 
 def train(docs: DataFrame, lang: str = "lang") -> Model:
-    """The model from the sample of ``docs`` (text and ``lang``).
+    """The model from the sample of ``docs`` (text and ``lang``), in which every language has its part.
 
-    Texts below a hash that about four samples are below come to the driver's choice,
-    each once, so what tasks send to it doesn't grow with the input or with copies.
+    Of a language, texts below a hash that about four samples are below come to the
+    driver's choice, each once, so what tasks send to it doesn't grow with the input
+    or with copies; it grows with the number of languages.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    share = min(1.0, 4 * SAMPLE / max(1, labelled.count()))
-    low = labelled.select("text", lang, F.xxhash64("text").alias("h")).where(F.shiftrightunsigned("h", 11) <= int(share * 2**53))
-    rows = low.dropDuplicates(["h", lang]).orderBy("h", lang).limit(SAMPLE).collect()
+    counts = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return fit([], [])
+    size = max(SAMPLE_LEAST, SAMPLE // len(counts))
+    shares = [(x, int(min(1.0, 4 * size / n) * 2**53)) for x, n in counts.items()]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(shares, "_lang string, _bound long"))  # a row a language
+    low = labelled.select("text", lang, F.xxhash64("text").alias("h")).join(bound, F.col(lang) == F.col("_lang")).where(F.shiftrightunsigned("h", 11) <= F.col("_bound"))
+    first = F.row_number().over(Win.partitionBy(lang).orderBy("h"))
+    rows = low.dropDuplicates(["h", lang]).withColumn("_n", first).where(F.col("_n") <= size).orderBy("h", lang).select("text", lang).collect()
     return fit([r["text"] for r in rows], [r[lang] for r in rows])
 
 
 def with_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs``, and lang_pred, score and n_changes from ``text``."""
-    names = [*keep, "lang_pred", "score", "n_changes"]
+    new = ["lang_pred", "score", "n_changes"]
+    keep = carried(docs.select(keep), *new)
+    names = [*keep, *new]
+    source_text = fresh(docs, "text")["text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batches, "text", SLICE_BYTES):
-            langs, score, changes = predict(part.column("text"), model)
+        for part in W.slices(batches, source_text, SLICE_BYTES):
+            langs, score, changes = predict(part.column(source_text), model)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score), pa.array(changes)], names)
 
-    source = docs.select(*keep, "text")
+    source = docs.select(*keep, F.col("text").alias(source_text))
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_changes", T.LongType())])
     return source.mapInArrow(run, schema)
 

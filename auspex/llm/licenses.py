@@ -11,8 +11,10 @@ the nearest directory above it that has a licence file, by joins on paths.
 Defined cases: a null or empty text has no licence of its own; a null path is in no
 directory and inherits nothing; with equal cosines the template that comes first
 wins, between licence files of one directory the larger cosine, then the smaller
-path; rows with one path are separate files; extra columns are carried, and ones
-named like a result are replaced.
+path; rows with one path are separate files; a very long text is one slice of its
+task's work, and its windows are compared in blocks; an empty table gives an empty
+result; extra columns are carried, and ones named like a result (in any case) are
+replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
-from auspex.sources.shared import materialize
+from auspex.llm.rows import carried, own_names
+from auspex.sources.shared import fresh, join_keyed, materialize
 
 MIN_COSINE = 0.7
 #: Base names of licence files.
@@ -138,12 +141,23 @@ def inverse_frequencies(files: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + counts)) + 1
 
 
-def best_template(data: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest template of each segment of ``data`` (between ``bounds``), and its cosine."""
+def template_lists(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The templates' unit vectors by term: n + 1 offsets of terms, and the template and weight of each entry."""
     known, each = vocabulary()
-    vectors = np.stack([np.bincount(t, minlength=len(known)) * idf[:-1] for t in each])
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    n = len(bounds) - 1
+    entries = []
+    for k, places in enumerate(each):
+        term, tf = np.unique(places, return_counts=True)
+        weight = tf * idf[term]
+        entries.append((term, np.full(len(term), k), weight / np.sqrt((weight**2).sum())))
+    term, template, weight = (np.concatenate(x) for x in zip(*entries, strict=True))
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(len(known) + 1)), template[order], weight[order]
+
+
+def best_template(data: np.ndarray, bounds: np.ndarray, idf: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest template of each segment of ``data`` (between ``bounds``), and its cosine, by the templates' lists of the segment's terms."""
+    known, each = vocabulary()
+    n, n_templates = len(bounds) - 1, len(each)
     starts, hashes = terms(data, bounds)
     segment = np.searchsorted(bounds, starts, "right") - 1
     order = np.lexsort((hashes, segment))
@@ -155,8 +169,13 @@ def best_template(data: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tupl
     segment, place = segment[at], _places(known, hashes[at])
     weight = tf * idf[place]
     norm = np.sqrt(np.bincount(segment, weights=weight**2, minlength=n))
-    inner = place < len(known)
-    dots = np.stack([np.bincount(segment[inner], weights=weight[inner] * v[place[inner]], minlength=n) for v in vectors], 1)
+    inner = np.flatnonzero(place < len(known))
+    offsets, template, share = lists
+    first = offsets[place[inner]]
+    sizes = offsets[place[inner] + 1] - first
+    of = np.repeat(inner, sizes)
+    entry = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    dots = np.bincount(segment[of] * n_templates + template[entry], weights=weight[of] * share[entry], minlength=n * n_templates).reshape(n, n_templates)
     cosine = dots / np.where(norm > 0, norm, 1)[:, None]
     best = cosine.argmax(1)
     return best, cosine[np.arange(n), best]
@@ -181,7 +200,8 @@ def line_windows(data: np.ndarray, lines: np.ndarray, at: np.ndarray) -> Iterato
 def own_licences(files: DataFrame, idf: np.ndarray) -> DataFrame:
     """``files`` (path, text) without the text, with is_licence_file, own_licence and cosine."""
     new = {"is_licence_file": T.BooleanType(), "own_licence": T.StringType(), "cosine": T.DoubleType()}
-    keep = [c for c in files.columns if c not in (*new, "text")]
+    keep = carried(files, *new, "text", "licence", "from_directory")
+    lists = template_lists(idf)
     source = files.select(*keep, "text").withColumn("is_licence_file", F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAMES), F.lit(False)))
     names = [*keep, *new]
 
@@ -197,7 +217,7 @@ def own_licences(files: DataFrame, idf: np.ndarray) -> DataFrame:
                 if whole.any():
                     compared.append((data, np.unique(at), text_of(np.unique(at))))
                 for k, (some, bounds, texts) in enumerate(itertools.chain(compared, line_windows(data, lines, at))):
-                    best, score = best_template(some, bounds, idf)
+                    best, score = best_template(some, bounds, idf, lists)
                     order = np.lexsort((best, -score, texts))
                     for j in order[np.unique(texts[order], return_index=True)[1]].tolist():
                         text = texts[j]
@@ -214,15 +234,21 @@ def own_licences(files: DataFrame, idf: np.ndarray) -> DataFrame:
 
 def inherited(files: DataFrame) -> DataFrame:
     """``files`` with licence, and from_directory where a directory above gives it."""
-    directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    placed = files.withColumn("_dir", directory)
-    given = placed.where(F.col("is_licence_file") & F.col("own_licence").isNotNull()).groupBy("_dir").agg(F.min(F.struct(-F.col("cosine"), "path", "own_licence")).alias("_best"))
-    given = given.select(F.col("_dir").alias("_above"), F.col("_best.own_licence").alias("_given"))
-    parts = F.split("_dir", "/")
-    above = placed.where(F.col("_dir").isNotNull()).select("_dir").distinct().withColumn("_depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("_above", F.array_join(F.slice(parts, 1, F.col("_depth")), "/"))
-    nearest = above.join(given, "_above").groupBy("_dir").agg(F.max(F.struct("_depth", "_above", "_given")).alias("_near"))
-    joined = placed.join(nearest, "_dir", "left")
-    return joined.withColumn("licence", F.coalesce("own_licence", "_near._given")).withColumn("from_directory", F.when(F.col("own_licence").isNull(), F.col("_near._above"))).drop("_dir", "_near")
+    names = fresh(files, "dir", "key")
+    dir_, key = names["dir"], names["key"]
+    placed = files.withColumn(dir_, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn(key, F.coalesce(F.concat(F.lit("/"), F.col(dir_)), F.lit("")))
+    directories = materialize(placed.groupBy(F.col(key).alias("key")).agg(F.first(dir_).alias("dir"), F.count("*").alias("n"), F.min(F.when(F.col("is_licence_file") & F.col("own_licence").isNotNull(), F.struct(-F.col("cosine"), "path", "own_licence"))).alias("best")), "directories")
+    given = directories.where("best IS NOT NULL").select(F.col("dir").alias("above"), F.col("best.own_licence").alias("given"))
+    parts = F.split("dir", "/")
+    above = directories.where("dir IS NOT NULL").select("key", "dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
+    nearest = above.join(given, "above").groupBy("key").agg(F.max(F.struct("depth", "above", "given")).alias("near"))
+    dims = directories.select("key", "n").join(nearest, "key", "left").select(F.col("key").alias(key), F.col("n").alias("directory_files"), F.col("near.above").alias("near_above"), F.col("near.given").alias("near_given"))
+    own = own_names(files)
+    renamed = placed.withColumnsRenamed(own)
+    joined = join_keyed(renamed.drop(dir_), materialize(dims, "nearest"), key, "directory_files")
+    licence = F.col(f"`{own['own_licence']}`")
+    out = [F.col(f"`{name}`").alias(c) for c, name in own.items()]
+    return joined.select(*out, F.coalesce(licence, "near_given").alias("licence"), F.when(licence.isNull(), F.col("near_above")).alias("from_directory"))
 
 
 def scan(files: DataFrame) -> DataFrame:

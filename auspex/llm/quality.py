@@ -6,7 +6,9 @@ that a text has twice or more are its coverage at that length.
 
 Defined cases: a null or empty text has no words and fails the base rule; a text
 with fewer words than a length has no n-gram of it; rows are judged one by one,
-so repeated rows get equal verdicts; other columns are passed on as they are.
+so repeated rows get equal verdicts; a very long text is one slice of its task's work;
+an empty table gives an empty result; other columns are passed on as they are, and
+by ``with_measures`` those named like a measure (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
+from auspex.llm.rows import carried, own_names
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -86,7 +89,7 @@ def _lines(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and its MEASURES; a column of such a name is replaced."""
-    keep = [c for c in docs.columns if c not in MEASURES or c == text]
+    keep = carried(docs, *MEASURES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches, text):
@@ -108,10 +111,9 @@ def with_verdict(measured: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    clash = [c for c in docs.columns if c in MEASURES or c in ("base_failed", "kept")]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    judged = with_verdict(with_measures(renamed, text)).where("kept")
-    return judged.select(*(F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns))
+    own = own_names(docs)
+    judged = with_verdict(with_measures(docs.withColumnsRenamed(own), own[text])).where("kept")
+    return judged.select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

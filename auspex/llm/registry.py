@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": chat.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,

@@ -10,15 +10,19 @@ Reading: a task gets the pieces of an archive in order, puts the bytes together
 again and cuts them by Content-Length, so payloads may hold the separator.
 
 Index: the captures of each archive are sorted by URL key, time and page where
-they were read: a run.  The key space is cut in ranges by all three, so a hot URL
-spreads over many tasks; each merges its slices of all runs by a loser tree.  The
-ranges in order are the globally ordered capture histories.
+they were read, and written: a run.  The key space is cut in ranges of about
+``MERGE_ROWS`` captures by all three, so a hot URL spreads over many tasks; each
+takes its slices of all runs as they come, without sorting them again, and merges
+them by a loser tree.  A slice ends where the key falls, so the order in which
+slices come, and even a slice in pieces, changes nothing.  The ranges in order are
+the globally ordered capture histories.
 
 Defined cases: a null html is the empty payload; a null url has no target URI and
 the empty key; line breaks in a url are percent-encoded; with a null page_id in a
 group, the smallest other one is the response; rows that repeat the smallest
 page_id of a payload are responses like it; a page's time is derived from its id,
-as the table has none.  Extra columns take no part.
+as the table has none; a very long html is held whole by the task that reads it; an
+empty table gives empty archives and an empty index.  Extra columns take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auspex.sources.shared import materialize, new_path
+from auspex.sources.shared import join_keyed, materialize, new_path
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -64,8 +68,8 @@ def records(pages: DataFrame) -> DataFrame:
     """One WARC record per page, as a string."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("same", F.sha2("payload", 256))
-    firsts = p.groupBy("same").agg(F.min("page_id").alias("first"))
-    p = p.join(firsts, "same")
+    firsts = materialize(p.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    p = join_keyed(p, firsts, "same", "n")
     response = F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     length = F.octet_length("payload")
@@ -190,27 +194,33 @@ class LoserTree:
             self._play(w)
 
 
-def merged_index(captures: DataFrame) -> DataFrame:
-    """``captures`` with ``url_key``, range by range in the order of key, time and page."""
-    keyed = materialize(captures.withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("archive", "url_key", "captured", "page_id"), "warc-runs")
-    ranges = max(1, -(-keyed.count() // MERGE_ROWS))
-    slices = keyed.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id")
+ORDER = ("url_key", "captured", "page_id")
+
+
+def merged(slices: DataFrame) -> DataFrame:
+    """The rows of each partition, slices of sorted runs one behind the other, in the order of ORDER (null page_id first)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]  # a range of about MERGE_ROWS
         if not held:
             return
         part = pa.Table.from_batches(held)
-        archive = part.column("archive").to_pylist()
         heads = list(zip(part.column("url_key").to_pylist(), part.column("captured").to_pylist(), [(p is not None, p or 0) for p in part.column("page_id").to_pylist()], strict=True))
-        first = [k for k in range(len(archive)) if k == 0 or archive[k] != archive[k - 1]]
-        runs = [heads[a:b] for a, b in zip(first, [*first[1:], len(archive)], strict=True)]
+        first = [k for k in range(len(heads)) if k == 0 or heads[k] < heads[k - 1]]
+        runs = [heads[a:b] for a, b in zip(first, [*first[1:], len(heads)], strict=True)]
         order = pa.array([first[r] + k for r, k in LoserTree(runs)], pa.int64())
         yield from part.take(order).combine_chunks().to_batches(max_chunksize=10_000)
 
     return slices.mapInArrow(run, slices.schema)
 
 
+def merged_index(captures: DataFrame) -> DataFrame:
+    """``captures`` with ``url_key``, range by range in the order of key, time and page."""
+    runs = materialize(captures.withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions(*ORDER), "warc-runs")
+    ranges = max(1, -(-runs.count() // MERGE_ROWS))
+    return merged(runs.repartitionByRange(ranges, *ORDER))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
