@@ -67,13 +67,3 @@ def lines_of(content: Column) -> Column:
     """The lines of a text: no empty one after a final line feed."""
     parts = F.split(content, "\r?\n")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-
-
-def byte_entropy(text: Column) -> Column:
-    """Shannon entropy in bits of the text's UTF-8 bytes."""
-    hexes = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(hexes, i * 2 - 1, 2))
-    share = lambda b: F.size(F.filter(pairs, lambda x: x == b)) / n
-    terms = F.transform(F.array_distinct(pairs), lambda b: -share(b) * F.log2(share(b)))
-    return F.when(n > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)

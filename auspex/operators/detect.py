@@ -1,9 +1,11 @@
 """Detectors: each gives findings, rows of ``FINDING``.
 
-A file's lines are split once (``prepared``); line rules are one array of structs
-per line, filtered and exploded, so all of them take a single pass.  Lines are
-looked at by code point only where a class of suspicious ones matches.  Rules on
-neighbouring lines use range frames over the few lines that carry a sign.
+The corpus is read once (``signed``): of each file the literals that a rule cannot do
+without are looked up first, and of the lines of files that have some, those rules
+are tried whose literals the file has.  Lines with a sign, few of all, are kept
+with their signs as bits; every rule reads them only.  Lines are looked at by code
+point only where a class of suspicious ones matches.  Rules on neighbouring lines use
+range frames over the lines that carry a sign.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from pyspark.sql import functions as F
 
 from auspex.functions import text as X
 from auspex.functions import values as V
+from auspex.operators.findings import deduplicated
 from auspex.operators.rules import DECODER_SIGNS, LINE_RULES, literals
 from auspex.sources import corpus
-from auspex.sources.shared import materialize
+from auspex.sources.shared import materialize, once, spread
 
 FINDING = ("package_name", "file_path", "line", "col", "code_point", "category", "severity", "description", "confidence")
 KEY = ("package_name", "file_path")
@@ -25,19 +28,22 @@ INVISIBLE = X.char_class(V.INVISIBLE_RANGES)
 SUSPECT = X.char_class(V.INVISIBLE_RANGES, [c for c, *_ in V.BIDI + V.CONFUSABLES])
 VS = X.char_class(V.VARIATION_SELECTORS)
 MAX_BYTES = 100_000
+#: The same classes behind a test that most characters fail at once.
+FAST_INVISIBLE, FAST_SUSPECT = rf"(?=[^\x00-\x{{200A}}]){INVISIBLE}", rf"(?=[^\x00-\x{{390}}]){SUSPECT}"
+#: Of files of ASCII alone, which have no suspicious code point.
+ASCII = "octet_length(content) = char_length(content)"
 
 
 def prepared(files: DataFrame) -> DataFrame:
-    """``files`` with ``lines``, the class of the path and flags that rules ask for."""
+    """``files`` with the class of the path and flags that rules ask for."""
     low = F.lower("file_path")
     kind = X.path_class(F.col("file_path"))
     return (
-        files.withColumn("lines", X.lines_of(F.col("content")))
-        .withColumn("bytes", F.octet_length("content"))
+        files.withColumn("bytes", F.octet_length("content"))
         .withColumn("file_class", kind)
         .withColumn("is_i18n", X.is_i18n(F.col("file_path"), F.col("content")))
         .withColumn("has_decoder", X.contains_any(F.col("content"), V.DECODERS))
-        .withColumn("n_invisible", F.regexp_count("content", F.lit(INVISIBLE)))
+        .withColumn("n_invisible", F.when(F.expr(ASCII), 0).otherwise(F.regexp_count("content", F.lit(FAST_INVISIBLE))))
         .withColumn("has_invisible", F.col("n_invisible") > 0)
         .withColumn("is_python", low.endswith(".py"))
         .withColumn("plain_source", ~kind.isin("test", "build"))
@@ -72,29 +78,23 @@ def _exploded(df: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
     return _rows(df.withColumn("f", F.explode_outer(hits)).where("f IS NOT NULL"))
 
 
-def line_findings(ready: DataFrame) -> DataFrame:
-    lines = ready.select(*KEY, "has_invisible", "is_python", "plain_source", F.posexplode("lines").alias("pos", "text"))
-    tests = []
-    for r in LINE_RULES:
-        test = F.col("text").rlike(r.pattern)
-        test = F.col("text").contains(r.also) & test if r.also else test
-        tests.append((F.col(r.where) & test if r.where else test, finding(F.col("pos") + 1, r.category, r.severity, r.description, r.confidence)))
-    return _exploded(lines, tests)
+def line_findings(signs: DataFrame) -> DataFrame:
+    lines = signs.where("line > 0")
+    return _exploded(lines, [(F.col(r.where) & has(f"rule{k}") if r.where else has(f"rule{k}"), finding(F.col("line"), r.category, r.severity, r.description, r.confidence)) for k, r in enumerate(LINE_RULES)])
 
 
-def marks(ready: DataFrame) -> DataFrame:
+def marks(signs: DataFrame) -> DataFrame:
     """Each suspicious code point: line, col, cp, its neighbours and the file's flags."""
     flags = ["bytes", "is_i18n", "has_decoder", "n_invisible"]
-    lines = ready.where(F.col("content").rlike(SUSPECT)).select(*KEY, *flags, F.posexplode("lines").alias("pos", "text")).where(F.col("text").rlike(SUSPECT))
-    chars = lines.withColumn("chars", F.split("text", ""))
+    chars = signs.where(has("suspect")).select(*KEY, *flags, "line", "text").withColumn("chars", F.split("text", ""))
     every = [*V.INVISIBLE_RANGES, *((c, c) for c, *_ in V.BIDI + V.CONFUSABLES)]
     points = F.transform("chars", lambda c, i: F.struct((i + 1).alias("col"), F.ascii(c).alias("cp")))
     found = chars.withColumn("mark", F.explode(F.filter(points, lambda p: X.in_ranges(p["cp"], every))))
     near = lambda k: F.ascii(F.get("chars", F.col("mark.col") - 1 + k))
-    return found.select(*KEY, *flags, (F.col("pos") + 1).alias("line"), "text", F.col("mark.col").alias("col"), F.col("mark.cp").alias("cp"), near(-1).alias("prev"), near(1).alias("next"))
+    return found.select(*KEY, *flags, "line", "text", F.col("mark.col").alias("col"), F.col("mark.cp").alias("cp"), near(-1).alias("prev"), near(1).alias("next"))
 
 
-def char_findings(ready: DataFrame) -> DataFrame:
+def char_findings(signs: DataFrame) -> DataFrame:
     """Bidirectional controls, invisible characters, tags and mixed-script identifiers."""
     cp, low = F.col("cp"), F.lower("file_path")
     bidi = {c: s for c, _, s in V.BIDI}
@@ -113,7 +113,7 @@ def char_findings(ready: DataFrame) -> DataFrame:
     similar = X.lookup(cp, {c: s for c, _, _, s in V.CONFUSABLES}, 0.0)
     homoglyph = cp.isin(*(c for c, *_ in V.CONFUSABLES)) & (F.col("bytes") <= MAX_BYTES) & ~F.col("is_i18n") & ~comment & mixed
     return _exploded(
-        marks(ready),
+        marks(signs),
         [
             (cp.isin(*bidi) & (F.col("bytes") <= MAX_BYTES), finding(F.col("line"), "bidirectional_override", X.lookup(cp, bidi, "medium"), "bidirectional control", **at)),
             (invisible, finding(F.col("line"), "invisible_character", severity, "invisible character", **at)),
@@ -127,11 +127,6 @@ def _quoted(keys: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(f"{q}{k}{q}" for k in keys for q in "\"'")
 
 
-def either(signs: dict[str, str]) -> str:
-    """One pattern for all signs: a filter on the flags themselves would double the plan's constraints with each flag."""
-    return "|".join(f"(?:{p})" for p in signs.values())
-
-
 def _signals(items: tuple[str, ...]) -> Column:
     """How many of the literals the line has."""
     return X.count_of(F.col("text").contains(i) for i in items)
@@ -162,24 +157,93 @@ FILE_SIGNS = {
 }
 
 
-def file_signs(ready: DataFrame) -> DataFrame:
-    """For each file with a sign: the first line of each sign (null for none) and counts of signals.
+#: Signs that rules on neighbouring lines look for.
+SIGNS = {"locale": V.LOCALE, "exit0": V.EXIT_ZERO, "ci": V.CI_CHECK, "delay": "|".join(V.DELAYS), "sandbox": f"{V.SANDBOX_CI}|{V.SANDBOX_VM}", "exit": V.SANDBOX_EXIT, "from_char": r"String\.fromCharCode", "char_code": r"charCodeAt.*\^|\^.*charCodeAt"}
+
+_CI, _VM, _DELAYED = ("process.env.", "isci", "is_ci"), ("cpus", "totalmem", "freemem"), ("settimeout", "setinterval", "900000", "172800000")
+_DECRYPTED, _RUN = ("createdecipher", ".decrypt", "atob", "buffer.from"), ("eval", "function", "runin", "exec", "child_process")
+#: Lower-case literals one of which a line has where it has the sign.
+GATES = {
+    "rule0": ("codepointat",), "rule1": ("settimeout",), "rule2": ("setinterval",), "rule3": ("900000",), "rule4": ("172800000",), "rule5": ("isci",),
+    "rule6": V.BROWSER_KILLS, "rule7": V.TYPO_FINGERPRINTS, "rule8": V.FORCED_MARKERS, "rule9": V.EXFIL_HEADERS, "rule10": ("resolvetxt", "dns.resolve"), "rule11": ("github.com",), "rule12": ("memo",), "rule13": ("buffer.from",),
+    "decrypt": _DECRYPTED, "exec": _RUN, "http": ("http.get", "https.get", "fetch", "axios.", "request"), "header": ("headers", "getheader"), "header_crypto": ("createdecipher", "decrypt", "decipher."), "header_exec": (*_RUN, "spawn"),
+    "wallet": V.C2_WALLETS, "address": V.C2_ADDRESSES, "signatures": ("getsignaturesforaddress",), "five_minutes": ("setinterval", "poll_interval"), "keys": _quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS), "ci_check": _CI, "vm_check": _VM,
+    **{f"socket{k}": g for k, g in enumerate(SOCKET_GROUPS)},
+    "obf1": ("^",), "obf2": ("fromcharcode", "fromcodepoint"), "obf3": ("atob",), "obf4": ("[]",), "obf5": ("^", "atob"), "dec0": ("codepointat",), "dec1": (".filter",), "dec2": ("fromcodepoint",),
+    "locale": ("ru-ru", "europe/moscow", "navigator.language"), "exit0": ("process.exit",), "ci": ("259200000", "process.env."), "delay": _DELAYED, "sandbox": (*_CI, *_VM), "exit": ("exit",), "from_char": ("string.fromcharcode",), "char_code": ("charcodeat",),
+}
+#: Signs without such literals, and those one of which a file has where they have an effect.
+BESIDE = {"blob": ("decrypt",), "obf0": ("obf1", "obf2", "obf3", "obf4", "obf5")}
+#: Every sign of a line, in the order of its bits.
+PATTERNS = {"suspect": FAST_SUSPECT, **{f"rule{k}": r.pattern for k, r in enumerate(LINE_RULES)}, **FILE_SIGNS, **SIGNS}
+BIT = {name: 1 << k for k, name in enumerate(PATTERNS)}
+SIGNED = (*KEY, "bytes", "file_class", "is_i18n", "has_decoder", "n_invisible", "has_invisible", "is_python", "plain_source", "spaces", "joiners")
+
+
+def has(sign: str) -> Column:
+    return F.col("signs").bitwiseAND(F.lit(BIT[sign])) != 0
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _literals() -> str:
+    """SQL: the literals that a file has (``_low``: its lower-cased content), with the signs that need them as bits."""
+    bits: dict[str, int] = {}
+    for sign, needed in GATES.items():
+        for literal in needed:
+            bits[literal.lower()] = bits.get(literal.lower(), 0) | BIT[sign]
+    table = ", ".join(f"named_struct('literal', {_text(x)}, 'bits', {b}L)" for x, b in bits.items())
+    return f"filter(array({table}), g -> contains(_low, g.literal))"
+
 
-    Lines without a sign are filtered before the aggregation, so little is shuffled.
+#: SQL: signs that need no literal.
+_MARKED = f"CASE WHEN {ASCII} THEN 0L WHEN content RLIKE {_text(FAST_SUSPECT)} THEN {BIT['suspect']}L ELSE 0L END | CASE WHEN n_invisible > 0 THEN {BIT['run'] | BIT['pipe']}L ELSE 0L END"
+
+
+def _line_mask() -> str:
+    """SQL: the signs of ``r.t``, as bits; ``r.m`` are those whose literals it has."""
+    tests = []
+    for name, pattern in PATTERNS.items():
+        also = LINE_RULES[int(name[4:])].also if name.startswith("rule") else None
+        tests.append(f"CASE WHEN (r.m & {BIT[name]}L) != 0L{f' AND contains(r.t, {_text(also)})' if also else ''} AND r.t RLIKE {_text(pattern)} THEN {BIT[name]}L ELSE 0L END")
+    return " | ".join(tests)
+
+
+def signed(files: DataFrame) -> DataFrame:
+    """Lines with a sign: the file's flags (SIGNED), line, text and ``signs`` as bits; a file with invisible characters has a line 0 as well.
+
+    The lines are tried inside of one array expression, so only those with a sign become rows.
     """
-    lines = ready.select(*KEY, "plain_source", "n_invisible", F.posexplode("lines").alias("pos", "text")).where(F.col("text").rlike(either(FILE_SIGNS)))
-    flagged = lines.select(*KEY, "plain_source", "n_invisible", "pos", "text", *(F.col("text").rlike(p).alias(k) for k, p in FILE_SIGNS.items()))
+    count = lambda cp: F.when(F.col("has_invisible"), F.regexp_count("content", F.lit(chr(cp)))).otherwise(0)
+    ready = prepared(spread(files)).withColumn("_low", F.lower("content")).withColumns({"_found": F.expr(_literals()), "_marked": F.expr(_MARKED)})
+    beside = " | ".join(f"CASE WHEN exists(_found, g -> (g.bits & {sum(BIT[x] for x in needed)}L) != 0L) THEN {BIT[name]}L ELSE 0L END" for name, needed in BESIDE.items())
+    some = (F.size("_found") > 0) | (F.col("_marked") != 0)
+    ready = ready.withColumns({"_any": F.expr(f"_marked | {beside}"), "spaces": count(0x200B), "joiners": count(0x200C), "_lines": F.when(some, X.lines_of(F.col("content"))), "_low_lines": F.when(some, X.lines_of(F.col("_low")))})
+    kind = "array<struct<line:bigint,text:string,signs:bigint>>"
+    may = "aggregate(_found, _any, (m, g) -> CASE WHEN contains(get(_low_lines, i), g.literal) THEN m | g.bits ELSE m END)"
+    worth = f"filter(transform(_lines, (t, i) -> named_struct('line', CAST(i + 1 AS BIGINT), 't', t, 'm', {may})), r -> r.m != 0L)"
+    lines = f"filter(transform({worth}, r -> named_struct('line', r.line, 'text', r.t, 'signs', {_line_mask()})), x -> x.signs != 0L)"
+    zero = "CASE WHEN has_invisible THEN array(named_struct('line', 0L, 'text', '', 'signs', 0L)) END"
+    rows = F.expr(f"concat(coalesce({lines}, CAST(array() AS {kind})), coalesce({zero}, CAST(array() AS {kind})))")
+    # the outer form infers no filter on the array, which would try all lines a second time
+    return ready.select(*SIGNED, F.explode_outer(rows).alias("f")).where("f IS NOT NULL").select(*SIGNED, "f.line", "f.text", "f.signs")
+
+
+def file_signs(signs: DataFrame) -> DataFrame:
+    """For each file with a sign: the first line of each sign (null for none) and counts of signals."""
+    lines = signs.where("line > 0").where(F.col("signs").bitwiseAND(F.lit(sum(BIT[k] for k in FILE_SIGNS))) != 0)
     counts = {"n_high": _signals(_quoted(V.HIGH_EXFIL_KEYS)), "n_keys": _signals(_quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS)), **{f"g{k}": _signals(g) for k, g in enumerate(SOCKET_GROUPS)}}
-    return flagged.groupBy(*KEY).agg(F.bool_or("plain_source").alias("plain_source"), F.max("n_invisible").alias("n_invisible"), *(F.min(F.when(F.col(k), F.col("pos") + 1)).alias(k) for k in FILE_SIGNS), *(F.sum(c).alias(k) for k, c in counts.items()))
+    return lines.groupBy(*KEY).agg(F.bool_or("plain_source").alias("plain_source"), F.max("n_invisible").alias("n_invisible"), *(F.min(F.when(has(k), F.col("line"))).alias(k) for k in FILE_SIGNS), *(F.sum(c).alias(k) for k, c in counts.items()))
 
 
-def whole_file_findings(ready: DataFrame) -> DataFrame:
+def whole_file_findings(signs: DataFrame) -> DataFrame:
     """Rules on counts over a file's content."""
-    counted = ready.where("has_invisible").select(*KEY, "is_i18n", "has_decoder", "n_invisible", F.regexp_count("content", F.lit(chr(0x200B))).alias("spaces"), F.regexp_count("content", F.lit(chr(0x200C))).alias("joiners"))
     one = F.lit(1)
     ratio = F.col("spaces") / F.greatest("joiners", F.lit(1))
     return _exploded(
-        counted,
+        signs.where("line = 0").drop("line"),
         [
             (F.col("is_i18n") & F.col("has_decoder") & (F.col("n_invisible") > 10), finding(one, "invisible_character", "critical", "invisible characters with a decoder in a localisation file", 0.85)),
             ((F.col("spaces") >= 50) & (F.col("joiners") >= 50) & ratio.between(0.5, 2.0), finding(one, "stegano_payload", "critical", "binary code of zero-width characters", 0.90)),
@@ -187,11 +251,11 @@ def whole_file_findings(ready: DataFrame) -> DataFrame:
     )
 
 
-def file_findings(ready: DataFrame) -> DataFrame:
+def file_findings(signs: DataFrame) -> DataFrame:
     """Rules on signs in several lines of a file."""
     has = lambda k: F.col(k).isNotNull()
     total = lambda name, table: sum((F.when(has(f"{name}{k}"), w).otherwise(0.0) for k, (_, w) in enumerate(table)), F.lit(0.0))
-    wide = file_signs(ready).withColumns({
+    wide = file_signs(signs).withColumns({
         "obf": F.round(F.least(total("obf", V.OBFUSCATION), F.lit(1.0)), 6),
         "n_obf": X.count_of(has(f"obf{k}") for k in range(len(V.OBFUSCATION))),
         "stego": F.round(F.least(F.least("n_invisible", F.lit(50)) / 50 * 0.4 + total("dec", DECODER_SIGNS) * 0.6, F.lit(1.0)), 6),
@@ -218,13 +282,10 @@ def file_findings(ready: DataFrame) -> DataFrame:
     )
 
 
-SIGNS = {"locale": V.LOCALE, "exit0": V.EXIT_ZERO, "ci": V.CI_CHECK, "delay": "|".join(V.DELAYS), "sandbox": f"{V.SANDBOX_CI}|{V.SANDBOX_VM}", "exit": V.SANDBOX_EXIT, "from_char": r"String\.fromCharCode", "char_code": r"charCodeAt.*\^|\^.*charCodeAt"}
-
-
-def window_findings(ready: DataFrame) -> DataFrame:
+def window_findings(signs: DataFrame) -> DataFrame:
     """Rules on a line and those near it: range frames over the lines with a sign."""
-    lines = ready.where("plain_source").select(*KEY, F.posexplode("lines").alias("pos", "text")).withColumn("line", (F.col("pos") + 1).cast("long"))
-    flagged = lines.where(F.col("text").rlike(either(SIGNS))).select(*KEY, "line", *(F.col("text").rlike(p).alias(k) for k, p in SIGNS.items()))
+    lines = signs.where("plain_source AND line > 0").where(F.col("signs").bitwiseAND(F.lit(sum(BIT[k] for k in SIGNS))) != 0)
+    flagged = lines.select(*KEY, "line", *(has(k).alias(k) for k in SIGNS))
     by_line = Win.partitionBy(*KEY).orderBy("line")
     within = lambda sign, a, b: F.coalesce(F.bool_or(sign).over(by_line.rangeBetween(a, b)), F.lit(False))
     near = flagged.withColumns({"exit_follows": within("exit0", 1, 5), "ci_before": within("ci", -10, -1), "exit_near": within("exit", -15, 15), "xor_near": within("char_code", 0, 4)})
@@ -240,11 +301,16 @@ def window_findings(ready: DataFrame) -> DataFrame:
 
 
 def all_findings(files: DataFrame) -> DataFrame:
-    """What every detector finds, duplicates included."""
-    ready = prepared(files)
-    return char_findings(ready).unionByName(whole_file_findings(ready)).unionByName(line_findings(ready)).unionByName(file_findings(ready)).unionByName(window_findings(ready))
+    """What every detector finds, duplicates included, from one reading of ``files``."""
+    signs = materialize(signed(files), "signs")
+    return char_findings(signs).unionByName(whole_file_findings(signs)).unionByName(line_findings(signs)).unionByName(file_findings(signs)).unionByName(window_findings(signs))
 
 
 def corpus_findings(spark, sf_dir: str) -> DataFrame:
-    """The findings of the corpus view as a table of their own, which reports, scores and correlations read."""
-    return materialize(all_findings(corpus.files(spark, sf_dir)), "findings")
+    """The findings of the corpus view, a table that reports, scores and correlations read; it is written once a session for each state of the documents."""
+    return once(spark, "findings", f"{sf_dir}/documents.parquet", lambda: all_findings(corpus.files(spark, sf_dir)))
+
+
+def corpus_unique(spark, sf_dir: str) -> DataFrame:
+    """``corpus_findings`` without duplicates, a table too."""
+    return once(spark, "unique-findings", f"{sf_dir}/documents.parquet", lambda: deduplicated(corpus_findings(spark, sf_dir)))

@@ -29,30 +29,52 @@ def _tagged(form: int):
     return lambda m: F.struct(m.alias("module"), F.lit(form).alias("form"))
 
 
+def normal_path(path):
+    """A path without ``.`` and, as far as there are folders for them, ``..`` steps."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != ".") & (x != ""))
+    up = lambda out, x: F.when((x == "..") & (F.size(out) > 0) & (F.get(out, F.size(out) - 1) != ".."), F.slice(out, 1, F.size(out) - 1)).otherwise(F.concat(out, F.array(x)))
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")
+
+
 def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
     """The file that each relative import means: the first candidate that exists in the package."""
-    folder = F.regexp_extract("from_file", r"^(.*/)[^/]*$", 1)
-    target = F.concat(folder, F.regexp_replace("module", r"^\./", ""))
+    target = normal_path(F.concat(F.regexp_extract("from_file", r"^(.*/)[^/]*$", 1), F.col("module")))
     candidates = edges.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.concat(target, F.lit(e)).alias("path")) for k, e in enumerate(ENDINGS)))))
     known = files.select(F.col("package_name").alias("_p"), F.col("file_path").alias("to_file"))
     met = candidates.join(known, (F.col("package_name") == F.col("_p")) & (F.col("_c.path") == F.col("to_file")))
     return met.groupBy("package_name", "from_file", "module", "form").agg(F.min_by("to_file", F.col("_c.k")).alias("to_file"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
-    """node, source, distance: all that can be reached over ``edges`` (a, b) from ``sources`` (node).
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, source, distance, parent: all that can be reached over ``edges`` (a, b) from ``sources`` (node), and the least node before it on a shortest way.
 
-    Each step joins the frontier with the edges and drops what was reached before.
+    Each step joins the frontier with the edges and drops what was reached before,
+    until it is empty.  Steps are tables of one folder's files, read together.
     """
-    reached = materialize(sources.select("node", F.col("node").alias("source"), F.lit(0).alias("distance")), "reach")
-    frontier = reached
-    for step in range(1, most + 1):
-        moved = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "source").distinct()
-        frontier = materialize(moved.join(reached, ["node", "source"], "left_anti").withColumn("distance", F.lit(step)), "frontier")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+    reached = [materialize(sources.select("node", F.col("node").alias("source"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")), "reach")]
+    while not reached[-1].isEmpty():
+        moved = reached[-1].join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "source").agg(F.min("node").alias("parent"))
+        before = edges.sparkSession.read.schema(reached[0].schema).parquet(*(t.table_path for t in reached))
+        step = moved.join(before.select("node", "source"), ["node", "source"], "left_anti").select("node", "source", F.lit(len(reached)).alias("distance"), "parent")
+        reached.append(materialize(step, "reach"))
+    return edges.sparkSession.read.schema(reached[0].schema).parquet(*(t.table_path for t in reached))
+
+
+def shortest_paths(reached: DataFrame) -> DataFrame:
+    """node, source, distance, path (nodes from source to node): rows of ``distances`` joined to their parents, one step at a time."""
+    path = reached.where("distance = 0").select("node", "source", "distance", F.array("node").alias("path"))
+    longest = reached.agg(F.max("distance")).first()[0] or 0
+    found = [materialize(path, "paths")]
+    for step in range(1, longest + 1):
+        before = found[-1].select(F.col("node").alias("parent"), "source", F.col("path").alias("_before"))
+        now = reached.where(F.col("distance") == step).join(before, ["parent", "source"])
+        found.append(materialize(now.select("node", "source", "distance", F.concat("_before", F.array("node")).alias("path")), "paths"))
+    return reached.sparkSession.read.schema(found[0].schema).parquet(*(t.table_path for t in found))
+
+
+def importers(edges: DataFrame, target: DataFrame) -> DataFrame:
+    """The files that import a file of ``target`` (package_name, to_file)."""
+    return edges.join(target.select("package_name", "to_file").distinct(), ["package_name", "to_file"], "left_semi")
 
 
 def flow_confidence(hops):

@@ -34,7 +34,7 @@ def cache_lookup(items: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
 def name_variants(names: DataFrame) -> DataFrame:
     """Six look-alike names of each package."""
     n = F.col("name")
-    made = F.array(F.concat(n, F.lit("-js")), F.concat(n, F.lit("js")), F.concat(F.lit("node-"), n), F.regexp_replace(n, "-", ""), F.concat(n, F.lit("s")), F.concat(n, F.lit("-cli")))
+    made = F.array(*(F.concat(n, F.lit(end)) for end in ("-js", "js", ".js", "-official", "-lib")), F.concat(F.lit("@"), n, F.lit("/core")))
     return names.select("name", F.explode(F.array_distinct(made)).alias("variant")).where("variant <> name")
 
 

@@ -14,6 +14,7 @@ from auspex.operators.rules import literals
 from auspex.plans import duck
 from auspex.plans.duck import q
 from auspex.sources import corpus, manifests
+from auspex.sources.shared import materialize
 from auspex.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,19 +80,19 @@ for _name, _maker, _sql in (
     ("line_findings", detect.line_findings, duck.LINE),
     ("window_findings", detect.window_findings, duck.WINDOW),
 ):
-    query(_name, f"WITH {duck.PREPARED}, {duck.MARKS}, {duck.SIGN} {_sql}")(lambda spark, sf_dir, f=_maker: f(detect.prepared(corpus.files(spark, sf_dir))))
+    query(_name, f"WITH {duck.PREPARED}, {duck.MARKS}, {duck.SIGN} {_sql}")(lambda spark, sf_dir, f=_maker: f(detect.signed(corpus.files(spark, sf_dir))))
 
 
 @query("file_findings", f"WITH {duck.PREPARED}, {duck.WIDE} {duck.FILE}")
 def file_findings(spark, sf_dir):
-    ready = detect.prepared(corpus.files(spark, sf_dir))
-    return detect.file_findings(ready).unionByName(detect.whole_file_findings(ready))
+    signs = materialize(detect.signed(corpus.files(spark, sf_dir)), "signs")
+    return detect.file_findings(signs).unionByName(detect.whole_file_findings(signs))
 
 
 @query("bidi_by_severity", f"WITH {duck.PREPARED}, {duck.MARKS}, f AS ({duck.CHAR}) SELECT severity, count(*) AS n FROM f JOIN ready USING (package_name, file_path) WHERE category = 'bidirectional_override' AND file_class = 'production' GROUP BY 1")
 def bidi_by_severity(spark, sf_dir):
-    ready = detect.prepared(corpus.files(spark, sf_dir)).where("file_class = 'production'")
-    return detect.char_findings(ready).where("category = 'bidirectional_override'").groupBy("severity").agg(F.count("*").alias("n"))
+    signs = detect.signed(corpus.files(spark, sf_dir)).where("file_class = 'production'")
+    return detect.char_findings(signs).where("category = 'bidirectional_override'").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 # files
@@ -125,9 +126,8 @@ def script_hosts(spark, sf_dir):
 def turn_entropy(spark, sf_dir):
     """Entropy of each turn's bytes: counts per byte value, then one sum."""
     turns = table(spark, sf_dir, "conversations").where("octet_length(text) > 0")
-    byte = F.substring(F.hex(F.encode("text", "UTF-8")), F.col("k") * 2 - 1, F.lit(2))
-    each = turns.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.octet_length("text"))).alias("k"))
-    counts = each.groupBy("conv_id", "turn", byte.alias("b")).agg(F.count("*").alias("n"))
+    pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1))
+    counts = turns.select("conv_id", "turn", F.explode(pairs).alias("b")).groupBy("conv_id", "turn", "b").agg(F.count("*").alias("n"))
     sums = counts.groupBy("conv_id", "turn").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return sums.select("conv_id", "turn", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("entropy"))
 
@@ -150,7 +150,7 @@ def jpd_author(spark, sf_dir):
 
 @query("findings_dedup", f"{UNIQUE} SELECT * FROM uniq")
 def findings_dedup(spark, sf_dir):
-    return findings.deduplicated(detect.corpus_findings(spark, sf_dir))
+    return detect.corpus_unique(spark, sf_dir)
 
 
 @query("dedup_stats", f"{duck.FINDINGS} SELECT sum(n)::BIGINT AS n_before, count(*) AS n_after, sum(n - 1)::BIGINT AS n_removed FROM (SELECT count(*) AS n FROM found GROUP BY package_name, file_path, line, col, category)")
@@ -160,17 +160,17 @@ def dedup_stats(spark, sf_dir):
 
 @query("patterns", f"{PATTERNS} SELECT package_name, category, description, n, max_severity, round(avg_confidence, 6) AS avg_confidence FROM pattern")
 def patterns(spark, sf_dir):
-    return findings.patterns(findings.deduplicated(detect.corpus_findings(spark, sf_dir))).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return findings.patterns(detect.corpus_unique(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 @query("session_stats", f"{UNIQUE} SELECT count(DISTINCT package_name || ' ' || file_path) AS n_files, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity IN ('low', 'info')) AS n_low FROM uniq")
 def session_stats(spark, sf_dir):
-    return findings.session_stats(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return findings.session_stats(detect.corpus_unique(spark, sf_dir))
 
 
 @query("summary_by_category", f"{UNIQUE} SELECT category, severity, count(*) AS n, count(DISTINCT package_name || ' ' || file_path) AS n_files FROM uniq GROUP BY ROLLUP (category, severity)")
 def summary_by_category(spark, sf_dir):
-    unique = findings.deduplicated(detect.corpus_findings(spark, sf_dir))
+    unique = detect.corpus_unique(spark, sf_dir)
     return unique.rollup("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("package_name", "file_path").alias("n_files"))
 
 
@@ -223,7 +223,7 @@ _RISK = "points::DOUBLE * (CASE ecosystem WHEN 'npm' THEN 1.0 WHEN 'pypi' THEN 1
 
 @query("package_risk", f"{UNIQUE}, {CONTEXT_SQL}, p AS (SELECT package_name, sum({_lookup('severity', V.RISK_POINTS, 1)})::BIGINT AS points FROM uniq GROUP BY 1), r AS (SELECT package_name, points, round({_RISK}, 6) AS risk FROM p JOIN ctx USING (package_name)) SELECT *, CASE WHEN risk >= 100 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' WHEN risk >= 10 THEN 'low' ELSE 'info' END AS level FROM r")
 def package_risk(spark, sf_dir):
-    return scoring.package_risk(findings.deduplicated(detect.corpus_findings(spark, sf_dir)), context(spark))
+    return scoring.package_risk(detect.corpus_unique(spark, sf_dir), context(spark))
 
 
 @query("verdict_llm_override", f"{INDEPENDENT}, {CONTEXT_SQL}, s AS (SELECT package_name, round(least(greatest(capped, floor), 10), 6) AS score FROM ind) SELECT package_name, score, CASE WHEN score < 6 OR llm_confidence IS NULL THEN score >= 5 WHEN llm_confidence >= 0.75 THEN llm_malicious WHEN llm_confidence <= 0.25 THEN false ELSE score >= 5 END AS is_malicious FROM s JOIN ctx USING (package_name)")
@@ -247,7 +247,7 @@ chains AS (SELECT package_name, file_path, kind, (CASE WHEN kind IN ('stego', 'h
 
 
 def _chains(spark, sf_dir):
-    return correlate.attack_chains(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return correlate.attack_chains(detect.corpus_unique(spark, sf_dir))
 
 
 query("attack_chains", f"{CHAINS} SELECT * FROM chains")(_chains)
@@ -260,17 +260,17 @@ def threat_score(spark, sf_dir):
 
 @query("supply_chain", f"{UNIQUE} SELECT count(DISTINCT package_name) AS n_packages, count(DISTINCT package_name) >= 2 AS compromised FROM uniq WHERE {RANK} >= 3")
 def supply_chain(spark, sf_dir):
-    return correlate.supply_chain(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return correlate.supply_chain(detect.corpus_unique(spark, sf_dir))
 
 
 @query("campaign_signals", f"{UNIQUE}, c AS (SELECT package_name, count(*) FILTER (real) AS signals, count(DISTINCT category) FILTER (real) AS categories, count(*) FILTER (real AND category IN ({', '.join(map(q, V.HIGH_VALUE))})) AS high_value FROM (SELECT *, category NOT IN ('unknown', 'invisible_character', 'homoglyph') AS real FROM uniq) GROUP BY 1) SELECT *, CASE WHEN signals < 3 OR categories < 2 THEN 'low' WHEN signals >= 5 AND categories >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM c")
 def campaign_signals(spark, sf_dir):
-    return correlate.campaign_signals(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return correlate.campaign_signals(detect.corpus_unique(spark, sf_dir))
 
 
 @query("campaign_class", f"{UNIQUE} SELECT package_name, CASE WHEN bool_or(category IN ('stegano_payload', 'stego_pattern', 'invisible_character')) AND bool_or(category = 'blockchain_c2') THEN 'stego_with_chain' WHEN bool_or(category = 'forcememo_python') THEN 'python_loader' WHEN bool_or(category = 'time_delay_sandbox_evasion') THEN 'sandbox_delay' WHEN bool_or(category IN ('stegano_payload', 'stego_pattern', 'invisible_character')) THEN 'stego' ELSE 'unknown' END AS campaign FROM uniq GROUP BY 1")
 def campaign_class(spark, sf_dir):
-    return correlate.campaign_class(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return correlate.campaign_class(detect.corpus_unique(spark, sf_dir))
 
 
 # clusters and graphs
@@ -349,7 +349,7 @@ def upserted_packages(spark, sf_dir):
     return state.upserted(base, changes, ["c_custkey"], "version")
 
 
-@query("name_variants", "SELECT name, v AS variant FROM (SELECT name, unnest(list_distinct([name || '-js', name || 'js', 'node-' || name, replace(name, '-', ''), name || 's', name || '-cli'])) AS v FROM (SELECT DISTINCT lower(replace(n_name, ' ', '-')) AS name FROM nation)) WHERE v <> name")
+@query("name_variants", "SELECT name, v AS variant FROM (SELECT name, unnest(list_distinct([name || '-js', name || 'js', name || '.js', name || '-official', name || '-lib', '@' || name || '/core'])) AS v FROM (SELECT DISTINCT lower(replace(n_name, ' ', '-')) AS name FROM nation)) WHERE v <> name")
 def name_variants(spark, sf_dir):
     return state.name_variants(table(spark, sf_dir, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("name")).distinct())
 
@@ -398,18 +398,18 @@ def detection_metrics(spark, sf_dir):
 
 @query("wave_summary", f"{UNIQUE} SELECT category, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info FROM uniq GROUP BY 1")
 def wave_summary(spark, sf_dir):
-    return report.severity_pivot(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return report.severity_pivot(detect.corpus_unique(spark, sf_dir))
 
 
 @query("sarif_results", f"{UNIQUE} SELECT file_path, line, category AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END AS level, count(*) AS n FROM uniq GROUP BY ALL")
 def sarif_results(spark, sf_dir):
-    return report.sarif_levels(findings.deduplicated(detect.corpus_findings(spark, sf_dir)))
+    return report.sarif_levels(detect.corpus_unique(spark, sf_dir))
 
 
 @query("flagged_packages", f"{UNIQUE}, p AS (SELECT DISTINCT package_name FROM corpus) SELECT package_name, count(category) AS n_findings, max(severity) AS max_text, [{', '.join(map(q, V.SEVERITIES))}][max({RANK})] AS max_severity FROM p LEFT JOIN uniq USING (package_name) GROUP BY 1")
 def flagged_packages(spark, sf_dir):
     """Left join of packages and findings; the maximum severity by text, as the reference's SQL takes it, and by rank."""
-    unique = findings.deduplicated(detect.corpus_findings(spark, sf_dir))
+    unique = detect.corpus_unique(spark, sf_dir)
     return report.flagged_packages(corpus.files(spark, sf_dir).select("package_name").distinct(), unique)
 
 

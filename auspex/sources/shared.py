@@ -74,7 +74,7 @@ def once(spark: SparkSession, name: str, path: str, make) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where it is too small to have a split for each."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
