@@ -46,10 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Remove a table of ``materialize`` that nothing reads any more."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.table_path)
-    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.table_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 _ONCE: dict[tuple, DataFrame] = {}
