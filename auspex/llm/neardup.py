@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from auspex.llm import words as W
 from auspex.llm.rows import identity, own_names
 from auspex.operators.components import components
-from auspex.sources.shared import join_keyed, materialize
+from auspex.sources.shared import discard, join_keyed, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -265,7 +265,9 @@ def candidate_groups(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFram
     members = materialize(below.select("prefix", "set", "sketch", label.alias("label"), F.pmod(F.xxhash64("set"), parts).alias("part"), (parts > 1).alias("large")), "forest")
     tied = materialize(ties(members, floor), "ties")
     leaders = tied.where("leads").select("prefix", F.col("a").alias("set")).join(members.where("large"), ["prefix", "set"]).select("prefix", "set", "sketch")
-    return components(tied.unionByName(leader_ties(leaders, node_rows)).select("a", "b"))
+    groups = components(tied.unionByName(leader_ties(leaders, node_rows)).select("a", "b"))
+    discard(members, tied)  # components are tables of their own
+    return groups
 
 
 def link_matrix(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -336,9 +338,8 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str =
     return met.mapInArrow(run, "a binary, b binary, n long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", node_rows: int = NODE_ROWS, block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, row, copy_of (smallest id with its set), class_id and class_row (smallest id
-    of its near-duplicate class, and that row), n_links (other sets with a similarity of THRESHOLD or more)."""
+def _near(docs: DataFrame, text: str, node_rows: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Tables: the documents with their sets, and each set (n_rows documents) with copy_of, the class's first document ``of`` and n_links."""
     rows = materialize(hashed(docs, text), "sets")
     classes = materialize(classes_of(rows), "classes")
     found = materialize(verified(candidate_groups(classes, node_rows), classes, docs, text, block), "links")
@@ -348,15 +349,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", node_rows: int = NODE_R
     least = near.join(reps, "set").groupBy("root").agg(F.min("rep").alias("class_rep"))
     known = near.join(least, "root").join(links, "set", "left").select("set", "class_rep", "n_links")
     full = reps.join(known, "set", "left").select("set", "n_rows", F.col("rep.doc_id").alias("copy_of"), F.coalesce("class_rep", "rep").alias("of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = join_keyed(rows.select("doc_id", "row", "set"), materialize(full, "near"), "set", "n_rows")
+    full = materialize(full, "near")
+    discard(classes, found)
+    return rows, full
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", node_rows: int = NODE_ROWS, block: int = BLOCK) -> DataFrame:
+    """A row per document: doc_id, row, copy_of (smallest id with its set), class_id and class_row (smallest id
+    of its near-duplicate class, and that row), n_links (other sets with a similarity of THRESHOLD or more)."""
+    rows, full = _near(docs, text, node_rows, block)
+    placed = join_keyed(rows.select("doc_id", "row", "set"), full, "set", "n_rows")
     return placed.select("doc_id", "row", "copy_of", F.col("of.doc_id").alias("class_id"), F.col("of.row").alias("class_row"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class, that of the smallest doc_id, with the columns of ``docs``."""
-    reps = near_duplicates(docs).select(F.col("class_row").alias("_row")).distinct()
+    rows, full = _near(docs, "text", NODE_ROWS, BLOCK)
+    reps = materialize(full.select(F.col("of.row").alias("_row")).distinct(), "kept")
+    discard(rows, full)
     own = own_names(docs)
-    kept = docs.withColumnsRenamed(own).withColumn("_row", identity(own["doc_id"], own["text"])).join(reps, "_row", "left_semi").dropDuplicates(["_row"])
+    kept = docs.withColumnsRenamed(own).withColumn("_row", identity(F.col(f"`{own['doc_id']}`"), F.col(f"`{own['text']}`"))).join(reps, "_row", "left_semi").dropDuplicates(["_row"])
     return kept.select(*(F.col(f"`{name}`").alias(c) for c, name in own.items()))
 
 
