@@ -135,12 +135,15 @@ def turn_entropy(spark, sf_dir):
 # manifests
 
 
-@query("rdd_dependencies", f"WITH {manifests.SQL} SELECT package_name, file_path, dep, url, CASE WHEN {duck.contains('url', manifests.KNOWN_DOMAINS)} THEN 'critical' ELSE 'high' END AS severity FROM (SELECT package_name, file_path, j.key AS dep, j.value->>'$' AS url FROM manifest, json_each(manifest.doc, '$.dependencies') AS j) WHERE regexp_matches(url, '^https?://')")
+@query("rdd_dependencies", f"WITH {manifests.SQL} SELECT package_name, file_path, dep, url, CASE WHEN {duck.contains('url', manifests.KNOWN_DOMAINS)} THEN 'critical' ELSE 'high' END AS severity FROM (SELECT package_name, file_path, j.key AS dep, j.value->>'$' AS url FROM manifest, json_each(manifest.doc, '$.dependencies') AS j UNION ALL SELECT package_name, file_path, j.key AS dep, j.value->>'$' AS url FROM (SELECT * FROM manifest WHERE json_exists(doc, '$.devDependencies')), json_each(doc, '$.devDependencies') AS j) WHERE regexp_matches(url, '^https?://')")
 def rdd_dependencies(spark, sf_dir):
     return manifests.url_dependencies(manifests.manifests(spark, sf_dir))
 
 
-@query("jpd_author", f"WITH {manifests.SQL} SELECT package_name, file_path, coalesce(doc->>'$.author.name', doc->>'$.author') AS author FROM manifest WHERE coalesce(doc->>'$.author.name', doc->>'$.author') IN ('JPD', 'jpd', 'Jpd')")
+_KNOWN = [f"CASE WHEN doc->>'{path}' IN ('JPD', 'jpd', 'Jpd') THEN doc->>'{path}' END" for path in ("$.author.name", "$.author", "$.maintainers[0].name")]
+
+
+@query("jpd_author", f"WITH {manifests.SQL} SELECT package_name, file_path, coalesce({', '.join(_KNOWN)}) AS author FROM manifest WHERE coalesce({', '.join(_KNOWN)}) IS NOT NULL")
 def jpd_author(spark, sf_dir):
     return manifests.known_authors(manifests.manifests(spark, sf_dir))
 

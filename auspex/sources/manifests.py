@@ -19,22 +19,27 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     author = F.when(d % 7 == 0, '{"name": "JPD"}').when(d % 7 == 1, '"jpd"').otherwise('"someone"')
     remote = F.when(d % 5 == 0, text(', "b": "http://x.example/', d.cast("string"), '.tgz"')).when(d % 5 == 1, ', "c": "https://storeartifact.example/c"').otherwise("")
-    doc = text('{"author": ', author, ', "dependencies": {"a": "^1.0.0"', remote, "}}")
+    # one in 11 has a remote development dependency, one in 13 a known maintainer
+    more = F.concat(F.when(d % 11 == 0, ', "devDependencies": {"e": "https://y.example/e.tgz", "f": "~2.0"}').otherwise(""), F.when(d % 13 == 0, ', "maintainers": [{"name": "Jpd"}, {"name": "other"}]').otherwise(""))
+    doc = text('{"author": ', author, ', "dependencies": {"a": "^1.0.0"', remote, "}", more, "}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return docs.select(F.concat(F.lit("pkg"), d.cast("string")).alias("package_name"), F.lit("package.json").alias("file_path"), F.try_parse_json(doc).alias("doc"))
 
 
 SQL = """manifest AS (SELECT 'pkg' || doc_id AS package_name, 'package.json' AS file_path, ('{"author": ' || CASE WHEN doc_id % 7 = 0 THEN '{"name": "JPD"}' WHEN doc_id % 7 = 1 THEN '"jpd"' ELSE '"someone"' END
-  || ', "dependencies": {"a": "^1.0.0"' || CASE WHEN doc_id % 5 = 0 THEN ', "b": "http://x.example/' || doc_id || '.tgz"' WHEN doc_id % 5 = 1 THEN ', "c": "https://storeartifact.example/c"' ELSE '' END || '}}')::JSON AS doc FROM documents)"""
+  || ', "dependencies": {"a": "^1.0.0"' || CASE WHEN doc_id % 5 = 0 THEN ', "b": "http://x.example/' || doc_id || '.tgz"' WHEN doc_id % 5 = 1 THEN ', "c": "https://storeartifact.example/c"' ELSE '' END || '}' || CASE WHEN doc_id % 11 = 0 THEN ', "devDependencies": {"e": "https://y.example/e.tgz", "f": "~2.0"}' ELSE '' END || CASE WHEN doc_id % 13 = 0 THEN ', "maintainers": [{"name": "Jpd"}, {"name": "other"}]' ELSE '' END || '}')::JSON AS doc FROM documents)"""
 
 
 def url_dependencies(found: DataFrame) -> DataFrame:
-    """Dependencies that name a URL; known hosts are critical."""
-    each = found.select("package_name", "file_path", F.explode(F.try_variant_get("doc", "$.dependencies", "map<string,string>")).alias("dep", "url"))
+    """Dependencies, those for development too, that name a URL; known hosts are critical."""
+    entries = lambda path: F.map_entries(F.coalesce(F.try_variant_get("doc", path, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    each = found.select("package_name", "file_path", F.explode(F.concat(entries("$.dependencies"), entries("$.devDependencies"))).alias("e")).select("package_name", "file_path", F.col("e.key").alias("dep"), F.col("e.value").alias("url"))
     severity = F.when(F.col("url").rlike("|".join(d.replace(".", r"\.") for d in KNOWN_DOMAINS)), "critical").otherwise("high")
     return each.where(F.col("url").rlike("^https?://")).withColumn("severity", severity)
 
 
 def known_authors(found: DataFrame) -> DataFrame:
-    author = F.coalesce(F.try_variant_get("doc", "$.author.name", "string"), F.try_variant_get("doc", "$.author", "string"))
-    return found.select("package_name", "file_path", author.alias("author")).where(F.col("author").isin(*AUTHORS))
+    """Manifests whose author, by name or as a text, or first maintainer is a known one; the first of these that is counts."""
+    named = [F.try_variant_get("doc", path, "string") for path in ("$.author.name", "$.author", "$.maintainers[0].name")]
+    author = F.coalesce(*(F.when(x.isin(*AUTHORS), x) for x in named))
+    return found.select("package_name", "file_path", author.alias("author")).where("author IS NOT NULL")
