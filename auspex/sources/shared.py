@@ -46,11 +46,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system of ``path``, and ``path`` as it names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that nothing reads any more."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.table_path)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        fs, path = _located(table.sparkSession, table.table_path)
+        fs.delete(path, True)
 
 
 _ONCE: dict[tuple, DataFrame] = {}
@@ -58,17 +64,19 @@ _ONCE: dict[tuple, DataFrame] = {}
 
 def input_state(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of the files of a table, which tell whether it has changed."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, where = _located(spark, path)
     found = fs.listStatus(where)
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
 
 
 def once(spark: SparkSession, name: str, path: str, make) -> DataFrame:
-    """The table that ``make`` gives for the input at ``path``, written once a session for each state of it."""
+    """The table that ``make`` gives for the input at ``path``, written once a session for each state of it, and again if it was cleared away."""
     key = (spark.sparkContext.applicationId, shared_dir(spark), name, input_state(spark, path))
-    if key not in _ONCE:
-        _ONCE[key] = materialize(make(), name)
+    if key in _ONCE:
+        fs, written = _located(spark, f"{_ONCE[key].table_path}/_SUCCESS")
+        if fs.exists(written):
+            return _ONCE[key]
+    _ONCE[key] = materialize(make(), name)
     return _ONCE[key]
 
 
