@@ -54,6 +54,7 @@ SOCKET_TRANSPORT = ("io(", "io.connect(", "socket.connect(", "socket.io-client",
 SOCKET_ENDPOINT = (":4789", ":5000", ":8080", ":3001", ":9000", ".onion", "no-ip", "dyndns", "dynu", "45.32.150.251", "45.32.151.157", "70.34.242.255", "217.69.3.152", "217.69.3.51", "217.69.11.99", "217.69.0.159")
 SOCKET_TUNNEL = ("tunnel-agent", "socks-proxy-agent", "http-proxy-agent", "https-proxy-agent", "tunnel", "proxy", "dns-over-https", "doh", "binary framing", "binary-framing", "extraHeaders", "auth:", "atob(", "btoa(")
 EXFIL_HEADERS = ("X-Exfil-ID", "X-Session-Token", "X-Data-Payload", "X-Env-Vars", "X-Credentials", "X-API-Key", "X-Auth-Token", "X-Secret", "X-Password")
+KNOWN_EXFIL_HEADERS = ("X-Exfil-ID", "X-Session-Token", "X-Data-Payload", "X-Env-Vars", "X-Exfiltrated-Data", "X-Stolen-Creds", "X-User-Data", "X-Credential-Data")
 
 #: Regular expressions that both regex dialects read alike.
 HEX_BLOB = r"[0-9a-fA-F]{64,}"

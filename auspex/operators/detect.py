@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from auspex.functions import text as X
 from auspex.functions import values as V
+from auspex.operators import contents
 from auspex.operators.findings import deduplicated
+from auspex.operators.rows import KEY, finding, rows_of
 from auspex.operators.rules import DECODER_SIGNS, LINE_RULES, literals
 from auspex.sources import corpus
 from auspex.sources.shared import materialize, once, spread
 
-FINDING = ("package_name", "file_path", "line", "col", "code_point", "category", "severity", "description", "confidence")
-KEY = ("package_name", "file_path")
-
 INVISIBLE = X.char_class(V.INVISIBLE_RANGES)
 SUSPECT = X.char_class(V.INVISIBLE_RANGES, [c for c, *_ in V.BIDI + V.CONFUSABLES])
 VS = X.char_class(V.VARIATION_SELECTORS)
@@ -50,24 +49,6 @@ def prepared(files: DataFrame) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    """FINDING of a frame that has its columns or their constants as ``f``."""
-    return df.select(*(F.col(c) if c in KEY else F.col(f"f.{c}") for c in FINDING))
-
-
-def finding(line: Column, category: str, severity: Column | str, description: str, confidence: float | Column | None = None, col: Column | int = 1, code_point: Column | int = 0) -> Column:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        line.cast("long").alias("line"),
-        as_column(col).cast("long").alias("col"),
-        as_column(code_point).cast("long").alias("code_point"),
-        F.lit(category).alias("category"),
-        as_column(severity).alias("severity"),
-        F.lit(description).alias("description"),
-        as_column(confidence).cast("double").alias("confidence"),
-    )
-
-
 def _exploded(df: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
     """A row for each test that holds: the single-pass evaluation of many rules.
 
@@ -75,12 +56,13 @@ def _exploded(df: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
     tests a second time, and as a constraint of a union it is costly to optimize.
     """
     hits = F.array_compact(F.array(*(F.when(test, row) for test, row in tests)))
-    return _rows(df.withColumn("f", F.explode_outer(hits)).where("f IS NOT NULL"))
+    return rows_of(df.withColumn("f", F.explode_outer(hits)).where("f IS NOT NULL"))
 
 
 def line_findings(signs: DataFrame) -> DataFrame:
     lines = signs.where("line > 0")
-    return _exploded(lines, [(F.col(r.where) & has(f"rule{k}") if r.where else has(f"rule{k}"), finding(F.col("line"), r.category, r.severity, r.description, r.confidence)) for k, r in enumerate(LINE_RULES)])
+    test = lambda k, r: has(f"rule{k}") & (F.col(r.where) if r.where else F.lit(True)) & ~X.contains_any(F.col("text"), r.unless)
+    return _exploded(lines, [(test(k, r), finding(F.col("line"), r.category, r.severity, r.description, r.confidence)) for k, r in enumerate(LINE_RULES)])
 
 
 def marks(signs: DataFrame) -> DataFrame:
@@ -165,7 +147,7 @@ _DECRYPTED, _RUN = ("createdecipher", ".decrypt", "atob", "buffer.from"), ("eval
 #: Lower-case literals one of which a line has where it has the sign.
 GATES = {
     "rule0": ("codepointat",), "rule1": ("settimeout",), "rule2": ("setinterval",), "rule3": ("900000",), "rule4": ("172800000",), "rule5": ("isci",),
-    "rule6": V.BROWSER_KILLS, "rule7": V.TYPO_FINGERPRINTS, "rule8": V.FORCED_MARKERS, "rule9": V.EXFIL_HEADERS, "rule10": ("resolvetxt", "dns.resolve"), "rule11": ("github.com",), "rule12": ("memo",), "rule13": ("buffer.from",),
+    "rule6": V.BROWSER_KILLS, "rule7": V.TYPO_FINGERPRINTS, "rule8": V.FORCED_MARKERS, "rule9": V.EXFIL_HEADERS, "rule10": ("resolvetxt", "dns.resolve"), "rule11": ("github.com",), "rule12": ("memo",), "rule13": ("buffer.from",), "rule14": ("fetch",),
     "decrypt": _DECRYPTED, "exec": _RUN, "http": ("http.get", "https.get", "fetch", "axios.", "request"), "header": ("headers", "getheader"), "header_crypto": ("createdecipher", "decrypt", "decipher."), "header_exec": (*_RUN, "spawn"),
     "wallet": V.C2_WALLETS, "address": V.C2_ADDRESSES, "signatures": ("getsignaturesforaddress",), "five_minutes": ("setinterval", "poll_interval"), "keys": _quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS), "ci_check": _CI, "vm_check": _VM,
     **{f"socket{k}": g for k, g in enumerate(SOCKET_GROUPS)},
@@ -212,12 +194,13 @@ def _line_mask() -> str:
 
 
 def signed(files: DataFrame) -> DataFrame:
-    """Lines with a sign: the file's flags (SIGNED), line, text and ``signs`` as bits; a file with invisible characters has a line 0 as well.
+    """Lines with a sign: the file's flags (SIGNED), line, text and ``signs`` as bits; a file with invisible characters has a line 0 as well,
+    one that a rule on whole contents may find a line -1 with its content.
 
     The lines are tried inside of one array expression, so only those with a sign become rows.
     """
     count = lambda cp: F.when(F.col("has_invisible"), F.regexp_count("content", F.lit(chr(cp)))).otherwise(0)
-    ready = prepared(spread(files)).withColumn("_low", F.lower("content")).withColumns({"_found": F.expr(_literals()), "_marked": F.expr(_MARKED)})
+    ready = prepared(spread(files)).withColumn("_low", F.lower("content")).withColumns({"_found": F.expr(_literals()), "_marked": F.expr(_MARKED), "_worth": contents.worth(F.col("content"))})
     beside = " | ".join(f"CASE WHEN exists(_found, g -> (g.bits & {sum(BIT[x] for x in needed)}L) != 0L) THEN {BIT[name]}L ELSE 0L END" for name, needed in BESIDE.items())
     some = (F.size("_found") > 0) | (F.col("_marked") != 0)
     ready = ready.withColumns({"_any": F.expr(f"_marked | {beside}"), "spaces": count(0x200B), "joiners": count(0x200C), "_lines": F.when(some, X.lines_of(F.col("content"))), "_low_lines": F.when(some, X.lines_of(F.col("_low")))})
@@ -226,7 +209,8 @@ def signed(files: DataFrame) -> DataFrame:
     worth = f"filter(transform(_lines, (t, i) -> named_struct('line', CAST(i + 1 AS BIGINT), 't', t, 'm', {may})), r -> r.m != 0L)"
     lines = f"filter(transform({worth}, r -> named_struct('line', r.line, 'text', r.t, 'signs', {_line_mask()})), x -> x.signs != 0L)"
     zero = "CASE WHEN has_invisible THEN array(named_struct('line', 0L, 'text', '', 'signs', 0L)) END"
-    rows = F.expr(f"concat(coalesce({lines}, CAST(array() AS {kind})), coalesce({zero}, CAST(array() AS {kind})))")
+    whole = "CASE WHEN _worth THEN array(named_struct('line', -1L, 'text', content, 'signs', 0L)) END"
+    rows = F.expr(f"concat({', '.join(f'coalesce({x}, CAST(array() AS {kind}))' for x in (lines, zero, whole))})")
     # the outer form infers no filter on the array, which would try all lines a second time
     return ready.select(*SIGNED, F.explode_outer(rows).alias("f")).where("f IS NOT NULL").select(*SIGNED, "f.line", "f.text", "f.signs")
 
@@ -234,7 +218,7 @@ def signed(files: DataFrame) -> DataFrame:
 def file_signs(signs: DataFrame) -> DataFrame:
     """For each file with a sign: the first line of each sign (null for none) and counts of signals."""
     lines = signs.where("line > 0").where(F.col("signs").bitwiseAND(F.lit(sum(BIT[k] for k in FILE_SIGNS))) != 0)
-    counts = {"n_high": _signals(_quoted(V.HIGH_EXFIL_KEYS)), "n_keys": _signals(_quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS)), **{f"g{k}": _signals(g) for k, g in enumerate(SOCKET_GROUPS)}}
+    counts = {"n_high": _signals(_quoted(V.HIGH_EXFIL_KEYS)), "n_keys": _signals(_quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS)), "n_ci_if": (has("ci_check") & X.contains_any(F.col("text"), ("if", "!", "||", "&&"))).cast("int"), **{f"g{k}": _signals(g) for k, g in enumerate(SOCKET_GROUPS)}}
     return lines.groupBy(*KEY).agg(F.bool_or("plain_source").alias("plain_source"), F.max("n_invisible").alias("n_invisible"), *(F.min(F.when(has(k), F.col("line"))).alias(k) for k in FILE_SIGNS), *(F.sum(c).alias(k) for k, c in counts.items()))
 
 
@@ -278,6 +262,8 @@ def file_findings(signs: DataFrame) -> DataFrame:
             (F.col("n_keys") >= 3, finding(at("keys"), "unknown", F.when(F.col("n_high") > 0, "high").otherwise("medium"), "keys of a credential record")),
             ((F.col("n_groups") >= 2) | ((F.col("n_groups") == 1) & (F.col("g0") + F.col("g1") + F.col("g2") >= 3)), finding(F.coalesce("socket0", "socket1", "socket2"), "unknown", F.when(F.col("n_groups") == 3, "high").when(F.col("n_groups") == 2, "medium").otherwise("info"), "socket tunnel")),
             (source & has("ci_check") & has("vm_check"), finding(F.least("ci_check", "vm_check"), "time_delay_sandbox_evasion", "critical", "CI and virtual machine checks", 0.92)),
+            (source & has("ci_check") & ~has("vm_check") & (F.col("n_ci_if") > 0), finding(at("ci_check"), "time_delay_sandbox_evasion", "medium", "condition on CI", 0.60)),
+            (source & has("vm_check") & ~has("ci_check"), finding(at("vm_check"), "time_delay_sandbox_evasion", "medium", "virtual machine check", 0.55)),
         ],
     )
 
@@ -285,16 +271,20 @@ def file_findings(signs: DataFrame) -> DataFrame:
 def window_findings(signs: DataFrame) -> DataFrame:
     """Rules on a line and those near it: range frames over the lines with a sign."""
     lines = signs.where("plain_source AND line > 0").where(F.col("signs").bitwiseAND(F.lit(sum(BIT[k] for k in SIGNS))) != 0)
-    flagged = lines.select(*KEY, "line", *(has(k).alias(k) for k in SIGNS))
-    by_line = Win.partitionBy(*KEY).orderBy("line")
+    low = {"few_cpus": has("vm_check") & F.col("text").contains("cpus()") & X.contains_any(F.col("text"), ("< 2", "<= 1", "<2")), "little_memory": has("vm_check") & F.col("text").contains("totalmem()") & X.contains_any(F.col("text"), ("2 * 1024 * 1024 * 1024", "2147483648", "2GB"))}
+    flagged = lines.select(*KEY, "line", *(has(k).alias(k) for k in (*SIGNS, "ci_check", "vm_check")), *(c.alias(k) for k, c in low.items()))
+    in_file = Win.partitionBy(*KEY)
+    by_line = in_file.orderBy("line")
     within = lambda sign, a, b: F.coalesce(F.bool_or(sign).over(by_line.rangeBetween(a, b)), F.lit(False))
-    near = flagged.withColumns({"exit_follows": within("exit0", 1, 5), "ci_before": within("ci", -10, -1), "exit_near": within("exit", -15, 15), "xor_near": within("char_code", 0, 4)})
+    near = flagged.withColumns({"exit_follows": within("exit0", 1, 5), "ci_before": within("ci", -10, -1), "sandbox_near": within("sandbox", -15, 15), "xor_near": within("char_code", 0, 4), "both": F.bool_or("ci_check").over(in_file) & F.bool_or("vm_check").over(in_file)})
     return _exploded(
         near,
         [
             (F.col("locale") & F.col("exit_follows"), finding(F.col("line"), "locale_geofencing", "critical", "exit for a locale")),
             (F.col("delay") & F.col("ci_before"), finding(F.col("line"), "time_delay_sandbox_evasion", "critical", "delay after a CI check")),
-            (F.col("sandbox") & F.col("exit_near"), finding(F.col("line"), "time_delay_sandbox_evasion", "critical", "exit near a sandbox check", 0.90)),
+            (F.col("exit") & F.col("sandbox_near"), finding(F.col("line"), "time_delay_sandbox_evasion", "critical", "exit near a sandbox check", 0.90)),
+            (F.col("few_cpus") & ~F.col("both"), finding(F.col("line"), "time_delay_sandbox_evasion", "high", "check for few processors", 0.82)),
+            (F.col("little_memory") & ~F.col("both"), finding(F.col("line"), "time_delay_sandbox_evasion", "high", "check for little memory", 0.82)),
             (F.col("from_char") & F.col("xor_near"), finding(F.col("line"), "encrypted_payload", "medium", "XOR decoding", 0.60)),
         ],
     )
@@ -303,7 +293,7 @@ def window_findings(signs: DataFrame) -> DataFrame:
 def all_findings(files: DataFrame) -> DataFrame:
     """What every detector finds, duplicates included, from one reading of ``files``."""
     signs = materialize(signed(files), "signs")
-    return char_findings(signs).unionByName(whole_file_findings(signs)).unionByName(line_findings(signs)).unionByName(file_findings(signs)).unionByName(window_findings(signs))
+    return char_findings(signs).unionByName(whole_file_findings(signs)).unionByName(line_findings(signs)).unionByName(file_findings(signs)).unionByName(window_findings(signs)).unionByName(contents.content_findings(signs.where("line = -1")))
 
 
 def corpus_findings(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def literals(items: tuple[str, ...], ignore_case: bool = False) -> str:
 
 @dataclass(frozen=True)
 class LineRule:
-    """A row for each line that ``pattern`` matches, if the file fits ``where`` (a boolean column of files)."""
+    """A row for each line that ``pattern`` matches, if the file fits ``where`` (a boolean column of files) and the line has ``also`` and none of ``unless``."""
 
     category: str
     severity: str
@@ -25,6 +25,7 @@ class LineRule:
     pattern: str
     where: str | None = None
     also: str | None = None
+    unless: tuple[str, ...] = ()
 
 
 LINE_RULES = (
@@ -42,6 +43,7 @@ LINE_RULES = (
     LineRule("header_c2", "high", 0.72, "data in gists or issues", r"api\.github\.com.*(gists|issues)|github\.com/api.*(gists|issues)", "plain_source"),
     LineRule("blockchain_c2", "high", 0.80, "data in transfer memos", r"Transfer.*Memo|Memo.*Transfer|transaction\.add.*memo|memo.*transaction\.add", "plain_source"),
     LineRule("header_c2", "high", 0.75, "encoded POST body", r"POST.*Buffer\.from|fetch.*method\s*:\s*[\"']POST[\"'].*Buffer\.from", "plain_source"),
+    LineRule("header_c2", "medium", 0.55, "request with headers of its own", r"fetch\s*\([^)]*\{[^}]*headers\s*:[^}]*X-", "plain_source", None, V.KNOWN_EXFIL_HEADERS),
 )
 
 #: Signs of a decoder of invisible characters, with their confidence.

