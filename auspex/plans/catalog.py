@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +11,14 @@ from auspex.operators import cluster, correlate, detect, findings, graph, mutate
 from auspex.operators.rules import literals
 from auspex.plans import duck
 from auspex.plans.duck import q
+from auspex.plans.registered import ORACLES, QUERIES, query, table  # noqa: F401
 from auspex.sources import corpus, manifests
 from auspex.sources.shared import materialize
 from auspex.streaming import progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "package_score_independent"
 
 
-def query(name: str, sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 RANK = f"list_position([{', '.join(map(q, V.SEVERITIES))}], severity)"
 UNIQUE = f"""{duck.FINDINGS},
 uniq AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY package_name, file_path, line, col, category ORDER BY {RANK} DESC, description, code_point, confidence DESC NULLS LAST) AS rn FROM found) WHERE rn = 1)"""
@@ -427,3 +410,5 @@ def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evasion_rate(spark, sf_dir):
     return mutate.evasion_rate(_mutated(spark, sf_dir))
 
+
+from auspex.plans import packages, threats  # noqa: E402, F401  they register their queries
