@@ -33,7 +33,7 @@ from auspex.llm import words as W
 from auspex.llm.rows import carried
 
 #: Texts of so many bytes are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces whose ids a Python worker keeps from one slice to the next.
 CACHE_PIECES = 500_000
 NO_RANK = np.int32(2**31 - 1)
@@ -243,12 +243,16 @@ def decode(ids: pa.Array, path: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), pa.scalar(b"", pa.binary()))
 
 
-def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of ``text``, a list of ints; a column of that name is replaced."""
-    keep = carried(docs, out)
+def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the ids of ``text``, a list of ints; a column of that name is replaced.
+
+    Without ``keep_text`` the ids come in place of the text, which then isn't sent back by the workers.
+    """
+    keep = carried(docs, out) if keep_text else carried(docs, out, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
+        pa.default_memory_pool().release_unused()  # a worker comes here with what earlier tasks left
         for part in W.slices(batches, text, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), enc.encode(part.column(text))], [*keep, out])
 
@@ -287,5 +291,5 @@ def byte_bpe_50k() -> tuple[str, str]:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = byte_bpe_50k()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = with_ids(docs, path, pattern).drop("text")
+    encoded = with_ids(docs, path, pattern, keep_text=False)
     return with_digests(encoded, path)
