@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, in place of it."""
     path, pattern = bpe.byte_bpe_50k()
-    return bpe.with_ids(docs, path, pattern).drop("text")
+    return bpe.with_ids(docs, path, pattern, keep_text=False)
 
 
 STAGES = [
