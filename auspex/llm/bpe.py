@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
-from auspex.llm.rows import carried
+from auspex.llm.rows import carried, tidied
 
 #: Texts of so many bytes are encoded together.
 SLICE_BYTES = 4 << 20
 #: Pieces whose ids a Python worker keeps from one slice to the next.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -252,13 +252,12 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        pa.default_memory_pool().release_unused()  # a worker comes here with what earlier tasks left
         for part in W.slices(batches, text, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), enc.encode(part.column(text))], [*keep, out])
 
     # the text must reach the worker even if it is replaced by the ids
     source = docs.select(*keep, text) if text not in keep else docs.select(keep)
-    return source.mapInArrow(run, T.StructType([*docs.select(keep).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return source.mapInArrow(tidied(run), T.StructType([*docs.select(keep).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def with_digests(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -278,7 +277,7 @@ def with_digests(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataF
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pc.list_value_length(column).cast(pa.int64()), sha(written), sha(decode(column, path))], [*keep, *new])
 
     types = (T.LongType(), T.StringType(), T.StringType())
-    return encoded.mapInArrow(run, T.StructType([*encoded.select(keep).schema.fields, *(T.StructField(n, t) for n, t in zip(new, types, strict=True))]))
+    return encoded.mapInArrow(tidied(run), T.StructType([*encoded.select(keep).schema.fields, *(T.StructField(n, t) for n, t in zip(new, types, strict=True))]))
 
 
 def byte_bpe_50k() -> tuple[str, str]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auspex.llm import words as W
-from auspex.llm.rows import identity, own_names
+from auspex.llm.rows import identity, own_names, tidied
 from auspex.operators.components import components
 from auspex.sources.shared import discard, join_keyed, materialize
 
@@ -119,7 +119,7 @@ def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
             sig = signatures(keys, at)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "row": part.column("row"), "set": pa.array(set_keys(keys, at), pa.binary()), "sig": pa.array([s.tobytes() for s in sig], pa.binary()), "sketch": pa.array([s.tobytes() for s in (sig & 0xFF).astype(np.uint8)], pa.binary()), "n_shingles": np.diff(at).astype(np.int64)})
 
-    return slim.mapInArrow(run, "doc_id long, row binary, set binary, sig binary, sketch binary, n_shingles long")
+    return slim.mapInArrow(tidied(run), "doc_id long, row binary, set binary, sig binary, sketch binary, n_shingles long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def ties(members: DataFrame, floor: int) -> DataFrame:
                 yield out.batch()
         yield out.batch()
 
-    return dealt.mapInArrow(run, TIED)
+    return dealt.mapInArrow(tidied(run), TIED)
 
 
 def leader_ties(leaders: DataFrame, node_rows: int) -> DataFrame:
@@ -250,7 +250,7 @@ def leader_ties(leaders: DataFrame, node_rows: int) -> DataFrame:
             out.add(group.column("set").to_pylist(), root, group.column("prefix")[0].as_py(), np.ones(len(sketch), bool))
             yield out.batch()
 
-    return dealt.mapInArrow(run, TIED)
+    return dealt.mapInArrow(tidied(run), TIED)
 
 
 def candidate_groups(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -316,7 +316,7 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str =
             rest = [part.column(c) for c in ("node", "root", "own", "parts")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "root", "own", "parts", "keys"])
 
-    sets = materialize(texts.join(members, "row").select("node", "root", "own", "parts", "text").mapInArrow(hash_, "node binary, root binary, own long, parts long, keys binary"), "shingles")
+    sets = materialize(texts.join(members, "row").select("node", "root", "own", "parts", "text").mapInArrow(tidied(hash_), "node binary, root binary, own long, parts long, keys binary"), "shingles")
     by = ["root", "i", "j"]
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "keys").repartition(*by).sortWithinPartitions(*by, "node")
@@ -335,7 +335,7 @@ def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame, text: str =
             some = np.flatnonzero(count).tolist()
             yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[k] for k in some], pa.binary()), "b": pa.array([nodes[root[k]] for k in some], pa.binary()), "n": pa.array(count[some], pa.int64())})
 
-    return met.mapInArrow(run, "a binary, b binary, n long")
+    return met.mapInArrow(tidied(run), "a binary, b binary, n long")
 
 
 def _near(docs: DataFrame, text: str, node_rows: int, block: int) -> tuple[DataFrame, DataFrame]:

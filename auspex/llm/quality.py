@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auspex.llm import words as W
-from auspex.llm.rows import carried, own_names
+from auspex.llm.rows import carried, own_names, tidied
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -97,7 +97,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(found[m]) for m in MEASURES)], [*keep, *MEASURES])
 
     kept = docs.select(keep)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def with_verdict(measured: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,20 @@ def own_names(df: DataFrame) -> dict[str, str]:
     return {c: f"_own_{k}_{c}" for k, c in enumerate(df.columns)}
 
 
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a worker gives back what it freed: workers stay for later tasks, beside them."""
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # GNU's C library has it
+                trim(0)
+
+    return tidy
+
+
 def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the sum of ``value`` (a long without nulls) over the rows before, in the order of the columns ``order``.
 
@@ -52,7 +67,7 @@ def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sums), range_, np.int32)), pa.array(sums)], names)
 
     schema = T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType()), T.StructField("_inside", T.LongType())])
-    placed = materialize(dealt.mapInArrow(run, schema), "order")
+    placed = materialize(dealt.mapInArrow(tidied(run), schema), "order")
     ahead = F.coalesce(F.sum("_sum").over(Win.orderBy("_range").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0))
     ranges = placed.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", ahead.alias("_ahead"))
     # a row for each range: no more than there are shuffle partitions
