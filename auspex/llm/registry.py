@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auspex.llm import bpe, chat, langid, licenses, mixing, neardup, passages, quality, topk, warc
+from auspex.llm import bpe, chat, codes, langid, licenses, mixing, neardup, passages, phrases, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": neardup.op8_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,7 @@ ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
     "op5_exact_topk": topk.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op11_vector_codes": codes.ORACLE_SQL,
+    "op12_sharding": sharding.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
