@@ -75,8 +75,3 @@ def shortest_paths(reached: DataFrame) -> DataFrame:
 def importers(edges: DataFrame, target: DataFrame) -> DataFrame:
     """The files that import a file of ``target`` (package_name, to_file)."""
     return edges.join(target.select("package_name", "to_file").distinct(), ["package_name", "to_file"], "left_semi")
-
-
-def flow_confidence(hops):
-    """Of a taint flow over so many files: 0.5, more if it crosses one, more if several; 1 at most."""
-    return F.least(F.lit(0.5) + F.when(hops >= 1, 0.2).otherwise(0.0) + F.when(hops > 1, 0.1).otherwise(0.0), F.lit(1.0))

@@ -411,4 +411,4 @@ def evasion_rate(spark, sf_dir):
     return mutate.evasion_rate(_mutated(spark, sf_dir))
 
 
-from auspex.plans import packages, reviews, threats  # noqa: E402, F401  they register their queries
+from auspex.plans import crossfile, packages, reviews, threats  # noqa: E402, F401  they register their queries
