@@ -34,8 +34,8 @@ from auspex.llm.rows import carried, tidied
 
 #: Texts of so many bytes are encoded together.
 SLICE_BYTES = 4 << 20
-#: Pieces whose ids a Python worker keeps from one slice to the next.
-CACHE_PIECES = 200_000
+#: Bytes of pieces, each with PIECE_BYTES more, whose ids a Python worker keeps from one slice to the next.
+CACHE_BYTES, PIECE_BYTES = 24 << 20, 120
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -45,9 +45,9 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, made = [], []
         for token, rank in ranks.items():
@@ -57,9 +57,8 @@ class Ranks:
                     made.append(rank)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
-        self.pair = dict(zip(keys, made, strict=True))
-        self.token_array = pa.array(self.tokens, pa.binary())
-        self.decimal = pa.array([str(i) for i in range(len(self.tokens))], pa.string())
+        self.token_array = pa.array(tokens, pa.binary())
+        self.decimal = pa.array([str(i) for i in range(len(tokens))], pa.string())
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NO_RANK for one that no token has."""
@@ -67,6 +66,11 @@ class Ranks:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.made[at], NO_RANK)
 
+    def pair(self, left: int, right: int) -> int | None:
+        """The rank of one pair."""
+        at = int(self.keys.searchsorted(wanted := left << 32 | right))
+        return int(self.made[at]) if at < len(self.keys) and self.keys[at] == wanted else None
+
 
 @functools.lru_cache(maxsize=2)
 def ranks_of(path: str) -> Ranks:
@@ -167,18 +171,18 @@ def merge_one(piece: bytes, ranks: Ranks) -> list[int]:
     n = len(ids)
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
     alive = [True] * n
-    heap = [(r, k) for k in range(n - 1) if (r := ranks.pair.get(ids[k] << 32 | ids[k + 1])) is not None]
+    heap = [(r, k) for k in range(n - 1) if (r := ranks.pair(ids[k], ids[k + 1])) is not None]
     heapq.heapify(heap)
     while heap:
         rank, k = heapq.heappop(heap)
         j = after[k]
-        if not alive[k] or j < 0 or ranks.pair.get(ids[k] << 32 | ids[j]) != rank:
+        if not alive[k] or j < 0 or ranks.pair(ids[k], ids[j]) != rank:
             continue  # one of the pair was merged meanwhile
         ids[k], alive[j], after[k] = rank, False, after[j]
         if after[k] >= 0:
             before[after[k]] = k
         for left in (before[k], k):
-            if left >= 0 and after[left] >= 0 and (r := ranks.pair.get(ids[left] << 32 | ids[after[left]])) is not None:
+            if left >= 0 and after[left] >= 0 and (r := ranks.pair(ids[left], ids[after[left]])) is not None:
                 heapq.heappush(heap, (r, left))
     return [x for x, a in zip(ids, alive, strict=True) if a]
 
@@ -189,10 +193,12 @@ class Numbers(dict):
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
         self.new.append(piece)
+        self.bytes += len(piece) + PIECE_BYTES
         return number
 
 
@@ -208,7 +214,7 @@ class Encoder:
         self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        if len(self.known) > CACHE_PIECES:
+        if self.known.bytes > CACHE_BYTES:
             self.forget()
         known = self.known
         per_text, numbers = [], []

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
@@ -47,7 +48,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = text_buffer(batch.column(column))
+        at = prefix(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
