@@ -45,7 +45,7 @@ INSIDE_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
 #: Bytes of texts in a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Frequent phrases of a level that are broadcast to the blocks at most (24 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -70,8 +70,8 @@ def positioned(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     letters = _LOWER[data[inside]]
     offsets = W.prefix(ends - starts)
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-    breaks = W.prefix(_PIECE_END[data]) + np.cumsum(edge)
-    place = breaks[starts]  # grows with each end of a piece or text before the word
+    # grows with each end of a piece or text before the word
+    place = np.searchsorted(np.flatnonzero(_PIECE_END[data]), starts) + np.searchsorted(at, starts, "right")
     apart = np.concatenate([[False], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
     return words, np.searchsorted(at, starts, "right") - 1, (np.arange(len(starts)) + np.cumsum(apart)).astype(np.int64)
 
@@ -148,7 +148,8 @@ def extended(at: np.ndarray, id_: np.ndarray, n: np.ndarray, lists: np.ndarray)
 
 def frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
     """``key``, ``f``, the sum of the lists' lengths over all blocks, and a new id, for those of ``least`` or more."""
-    counted = level.select(F.inline(F.arrays_zip(*key, "n"))).groupBy(*key).agg(F.sum("n").alias("f"))
+    # lengths are sums within blocks already: few keys meet again before the shuffle
+    counted = level.select(F.inline(F.arrays_zip(*key, "n"))).repartition(*key).groupBy(*key).agg(F.sum("n").alias("f"))
     return counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
