@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auspex.operators.graph import resolved
+from auspex.operators.positions import statements
 from auspex.sources.shared import discard, materialize
 
 _NAME, _LIST, _FROM = r"([\w$]+)", r"\{([^}]*)\}", r"['\"]([^'\"]+)['\"]"
@@ -44,29 +45,6 @@ TYPE_ONLY = ("import_type", "export_type")
 NAMELESS = ("import_side_effect", "import_dynamic", "export_star")
 
 
-def line_ends(text: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
-
-
-def statements(files: DataFrame, patterns: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """package_name, file_path with each match (found) of each of ``patterns`` in content: its name and pattern, its line, and the text from it to the next match of that pattern (after).
-
-    A pattern comes with a literal that its matches can't do without, or None; files
-    are read once for all patterns.  A file without content has no match; equal files
-    have equal rows each.
-    """
-    named = lambda name, pattern: F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"), F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("m"))
-    each = [named(n, p) if sign is None else F.when(F.contains("content", F.lit(sign)), named(n, p)) for n, (p, sign) in patterns.items()]
-    met = files.select("package_name", "file_path", "content", F.inline(F.filter(F.array(*each), lambda x: F.size(x["m"]) > 0)))
-    met = met.select("package_name", "file_path", F.inline(F.array(F.struct("name", "pattern", "m", F.split("content", F.col("pattern"), -1).alias("between")))))
-    # line ends before each match: running sums over the texts between matches and the matches
-    ends = F.transform("m", lambda x, k: line_ends(F.get("between", k)) + F.when(k > 0, line_ends(F.get("m", k - 1))).otherwise(0))
-    met = met.select("package_name", "file_path", F.inline(F.array(F.struct("name", "pattern", "m", "between", ends.alias("ends")))))
-    sums = F.aggregate("ends", F.array().cast("array<long>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(1)) + x)))
-    rows = F.arrays_zip("m", sums.alias("line"), F.slice("between", 2, F.size("m")).alias("after"))
-    return met.select("package_name", "file_path", "name", "pattern", F.inline(rows).alias("found", "line", "after"))
-
-
 def symbols(files: DataFrame) -> DataFrame:
     """package_name, file_path, form, local, original, module, type_only, line of each name that a file imports or exports.
 

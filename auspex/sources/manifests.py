@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auspex.operators.positions import place_of
+from auspex.operators.rows import KEY, finding, rows_of
+
 #: Parts of the hosts that remote dependencies of known campaigns had.
 KNOWN_DOMAINS = ("storeartifact", "jpartifacts", "artifactsnpm", "npm.pkg-registry")
 AUTHORS = ("JPD", "jpd", "Jpd")
@@ -43,3 +46,22 @@ def known_authors(found: DataFrame) -> DataFrame:
     named = [F.try_variant_get("doc", path, "string") for path in ("$.author.name", "$.author", "$.maintainers[0].name")]
     author = F.coalesce(*(F.when(x.isin(*AUTHORS), x) for x in named))
     return found.select("package_name", "file_path", author.alias("author")).where("author IS NOT NULL")
+
+
+def manifest_findings(files: DataFrame) -> DataFrame:
+    """FINDING of each remote dependency and each known author of the manifests among ``files`` (package_name, file_path, content), at the line and column of its member.
+
+    The place is that of the member as it is mostly written, ``"key": "value"``, else
+    the manifest's first line.  Files of other names and broken manifests have none.
+    """
+    own = files.where(F.regexp_extract("file_path", r"([^/]*)$", 1) == "package.json").select(*KEY, "content", F.try_parse_json("content").alias("doc"))
+    texts = own.select(*KEY, "content").distinct()
+    quoted = lambda key, value: F.concat(F.lit('"'), key, F.lit('": "'), value, F.lit('"'))
+    members = url_dependencies(own).select(*KEY, quoted(F.col("dep"), F.col("url")).alias("member"), "severity", F.lit("dependency from a URL").alias("what"))
+    authors = known_authors(own).select(*KEY, quoted(F.lit("name"), F.col("author")).alias("member"), F.lit("critical").alias("severity"), F.lit("author of a known campaign").alias("what"))
+    placed = members.unionByName(authors).distinct().join(texts, list(KEY)).withColumn("_at", place_of(F.col("content"), F.col("member")))
+    found = []
+    for what in ("dependency from a URL", "author of a known campaign"):
+        f = finding(F.coalesce("_at.line", F.lit(1)), "rdd_attack", F.col("severity"), what, col=F.coalesce("_at.col", F.lit(1)))
+        found.append(rows_of(placed.where(F.col("what") == what).withColumn("f", f)))
+    return found[0].unionByName(found[1])
