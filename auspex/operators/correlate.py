@@ -52,8 +52,13 @@ def campaign_signals(findings: DataFrame) -> DataFrame:
     return counted.withColumn("confidence", level)
 
 
-def campaign_class(findings: DataFrame) -> DataFrame:
-    """The kind of campaign that a package's categories point to."""
+def campaign_class(findings: DataFrame, domains: DataFrame) -> DataFrame:
+    """The kind of campaign that a package's categories, and the names in its ``domains`` (package_name, domain), point to.
+
+    Delays alone point to none: they count with a domain of an assistant's tools.
+    """
     has = lambda *c: F.bool_or(F.col("category").isin(*c))
-    flags = findings.groupBy("package_name").agg(has("stegano_payload", "stego_pattern", "invisible_character").alias("s"), has("blockchain_c2").alias("b"), has("rdd_attack").alias("r"), has("forcememo_python").alias("f"), has("time_delay_sandbox_evasion").alias("t"))
+    flags = findings.groupBy("package_name").agg(has("stegano_payload", "decoder_function", "invisible_character").alias("s"), has("blockchain_c2").alias("b"), has("rdd_attack").alias("r"), has("forcememo_python").alias("f"), has("time_delay_sandbox_evasion").alias("t"))
+    tools = domains.where(F.col("domain").contains("mcp") | F.col("domain").contains("claude")).select("package_name", F.lit(True).alias("_m")).distinct()
+    flags = flags.join(tools, "package_name", "left").withColumn("t", F.col("t") & F.coalesce("_m", F.lit(False)))
     return flags.select("package_name", F.when(F.col("s") & F.col("b"), "stego_with_chain").when(F.col("r"), "remote_dependency").when(F.col("f"), "python_loader").when(F.col("t"), "sandbox_delay").when(F.col("s"), "stego").otherwise("unknown").alias("campaign"))

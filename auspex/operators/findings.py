@@ -19,7 +19,7 @@ def deduplicated(findings: DataFrame) -> DataFrame:
 
 def first_per_code_point(findings: DataFrame) -> DataFrame:
     """One finding per place and code point."""
-    order = Win.partitionBy("package_name", "file_path", "line", "col", "code_point").orderBy("category", "severity", "description")
+    order = Win.partitionBy("package_name", "file_path", "line", "col", "code_point").orderBy("category", "severity", "description", F.col("confidence").desc_nulls_last())
     return findings.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -65,7 +65,7 @@ def with_gates(files: DataFrame) -> DataFrame:
 
 
 def gated(findings: DataFrame, gates: DataFrame) -> DataFrame:
-    """Findings that the scanner reports: none of characters in documentation and tests; in built files only critical characters and no hidden payload."""
+    """Findings that the scanner reports (files without gates pass them): none of characters in documentation and tests; in built files only critical characters and no hidden payload."""
     source = ~F.col("is_documentation") & ~F.col("is_test")
     category = F.col("category")
     passes = (
@@ -74,7 +74,7 @@ def gated(findings: DataFrame, gates: DataFrame) -> DataFrame:
         .when(category.isin(*HIDDEN), source & ~F.col("likely_built"))
         .otherwise(True)
     )
-    return findings.join(gates.select(*KEY, "is_documentation", "is_test", "likely_built"), list(KEY)).where(passes).select(*findings.columns)
+    return findings.join(gates.select(*KEY, "is_documentation", "is_test", "likely_built"), list(KEY), "left").where(F.coalesce(passes, F.lit(True))).select(*findings.columns)
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:

@@ -9,6 +9,8 @@ from auspex.functions import text as X
 from auspex.functions import values as V
 
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
+#: Levels, the gravest last.
+GRAVITY = ("none", "note", "warning", "error")
 
 
 def severity_pivot(findings: DataFrame) -> DataFrame:
@@ -31,6 +33,13 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     findings.select(F.to_json(result).alias("value")).write.text(path)
 
 
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """The rules block: a rule for each category with findings, its level the gravest of theirs, and a text of it."""
+    grave = F.array_position(F.array(*map(F.lit, GRAVITY)), X.lookup(F.col("severity"), LEVELS, GRAVITY[0])).cast("int")
+    grouped = findings.groupBy(F.col("category").alias("rule_id")).agg(F.max(grave).alias("_g"), F.min("description").alias("short_description"), F.count("*").alias("n"))
+    return grouped.select("rule_id", F.element_at(F.array(*map(F.lit, GRAVITY)), F.col("_g")).alias("default_level"), "short_description", "n")
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 

@@ -9,7 +9,7 @@ from auspex.functions import text as X
 from auspex.functions import values as V
 from auspex.operators import gates
 from auspex.operators.payload import hidden_bytes, payload_class
-from auspex.operators.positions import statements
+from auspex.operators.positions import line_ends, statements
 from auspex.operators.rows import KEY, finding, rows_of
 
 # The least length of a run, of a blob in bytes, and the entropy above which a blob counts.
@@ -86,3 +86,34 @@ def encrypted_payloads(files: DataFrame) -> DataFrame:
 def payload_findings(found: DataFrame) -> DataFrame:
     """FINDING of each file of ``encrypted_payloads``."""
     return rows_of(found.withColumn("f", finding(F.col("line"), "encrypted_payload", "high", "encrypted payload with dynamic execution")))
+
+
+#: What a hand-written stream cipher does, by kind, and the confidence for so many kinds.
+CIPHER_SIGNS = {
+    "init_256": r"(?:new\s+Array\s*\(\s*256\s*\)|\b(?:i|j|k|n)\s*<\s*256\b)",
+    "xor_op": r"\^",
+    "mod_256": r"(?:%\s*256\b|&\s*0x[fF]{2}\b|&\s*255\b)",
+    "swap": r"(?:tmp|temp|t)\s*=\s*\w+\[\w+\];\s*\w+\[\w+\]\s*=\s*\w+\[\w+\];\s*\w+\[\w+\]\s*=\s*(?:tmp|temp|t)",
+    "charcode": r"(?:charCodeAt|fromCharCode|String\.fromCharCode)",
+}
+CIPHER_CONFIDENCE = {3: 0.5, 4: 0.7, 5: 0.85}
+#: A call that runs code, without the name of what it is given.
+RUNS_CODE = r"\b(?:eval|new\s+Function|execSync|exec|runIn(?:This|New)?Context)\s*\("
+
+
+def stream_ciphers(files: DataFrame) -> DataFrame:
+    """package_name, file_path, line, kinds, confidence of production files with three kinds of CIPHER_SIGNS or more and a call that runs code; one row a file, at its first such call.
+
+    Tests, data and built files are left out; a null content has no signs.
+    """
+    present = F.filter(F.array(*(F.when(F.col("content").rlike(p), F.lit(kind)) for kind, p in CIPHER_SIGNS.items())), lambda k: k.isNotNull())
+    wanted = files.where(X.path_class(F.col("file_path")) == "production").where(F.col("content").rlike(RUNS_CODE)).select(*KEY, "content", F.inline(F.array(F.struct(present.alias("kinds")))))
+    wanted = wanted.where(F.size("kinds") >= 3)
+    before = F.regexp_extract("content", rf"(?s)^(.*?){RUNS_CODE}", 1)
+    confidence = F.element_at(F.create_map(*(F.lit(x) for pair in CIPHER_CONFIDENCE.items() for x in pair)), F.size("kinds"))
+    return wanted.select(*KEY, (line_ends(before) + 1).alias("line"), F.array_join("kinds", ",").alias("kinds"), confidence.alias("confidence"))
+
+
+def cipher_findings(found: DataFrame) -> DataFrame:
+    """FINDING of each file of ``stream_ciphers``."""
+    return rows_of(found.withColumn("f", finding(F.col("line"), "rc4_pattern", "info", "stream cipher near dynamic execution", F.col("confidence"))))

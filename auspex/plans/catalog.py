@@ -218,9 +218,14 @@ def verdict_llm_override(spark, sf_dir):
     return scoring.with_llm_verdict(scores, context(spark).select("package_name", "llm_confidence", "llm_malicious"))
 
 
-@query("reputation_tiers", f"WITH {CONTEXT_SQL} SELECT CASE WHEN downloads_weekly > 100000 AND age_days > 365 AND verified THEN 'tier1_verified' WHEN downloads_weekly > 10000 AND age_days > 180 THEN 'tier2_popular' WHEN downloads_weekly > 1000 AND age_days > 90 THEN 'tier3_established' ELSE 'tier4_unknown' END AS tier, count(*) AS n FROM ctx GROUP BY 1")
+_TIER = "SELECT abs(c_acctbal) * 100 AS d, c_custkey % 1500 AS a, c_mktsegment <> 'BUILDING' AS v FROM customer"
+
+
+@query("reputation_tiers", f"SELECT CASE WHEN d > 100000 AND a > 365 AND v THEN 'tier1_verified' WHEN d > 10000 AND a > 180 THEN 'tier2_popular' WHEN d > 1000 AND a > 90 THEN 'tier3_established' ELSE 'tier4_unknown' END AS tier, count(*) AS n FROM ({_TIER}) GROUP BY 1")
 def reputation_tiers(spark, sf_dir):
-    return context(spark).groupBy(scoring.reputation_tier(F.col("downloads_weekly"), F.col("age_days"), F.col("verified")).alias("tier")).agg(F.count("*").alias("n"))
+    """Customers' balances, numbers and segments stand for downloads, ages and verified publishers."""
+    of = table(spark, sf_dir, "customer").select((F.abs("c_acctbal") * 100).alias("d"), (F.col("c_custkey") % 1500).alias("a"), (F.col("c_mktsegment") != "BUILDING").alias("v"))
+    return of.groupBy(scoring.reputation_tier(F.col("d"), F.col("a"), F.col("v")).alias("tier")).agg(F.count("*").alias("n"))
 
 
 # correlation
@@ -254,9 +259,11 @@ def campaign_signals(spark, sf_dir):
     return correlate.campaign_signals(detect.corpus_unique(spark, sf_dir))
 
 
-@query("campaign_class", f"{UNIQUE} SELECT package_name, CASE WHEN bool_or(category IN ('stegano_payload', 'stego_pattern', 'invisible_character')) AND bool_or(category = 'blockchain_c2') THEN 'stego_with_chain' WHEN bool_or(category = 'forcememo_python') THEN 'python_loader' WHEN bool_or(category = 'time_delay_sandbox_evasion') THEN 'sandbox_delay' WHEN bool_or(category IN ('stegano_payload', 'stego_pattern', 'invisible_character')) THEN 'stego' ELSE 'unknown' END AS campaign FROM uniq GROUP BY 1")
+@query("campaign_class", f"{UNIQUE} SELECT package_name, CASE WHEN bool_or(category IN ('stegano_payload', 'decoder_function', 'invisible_character')) AND bool_or(category = 'blockchain_c2') THEN 'stego_with_chain' WHEN bool_or(category = 'forcememo_python') THEN 'python_loader' WHEN bool_or(category = 'time_delay_sandbox_evasion') AND replace(package_name, 'pkg', '')::INT % 3 = 0 THEN 'sandbox_delay' WHEN bool_or(category IN ('stegano_payload', 'decoder_function', 'invisible_character')) THEN 'stego' ELSE 'unknown' END AS campaign FROM uniq GROUP BY 1")
 def campaign_class(spark, sf_dir):
-    return correlate.campaign_class(detect.corpus_unique(spark, sf_dir))
+    """Every third package has a domain of an assistant's tools besides those of the pages."""
+    tools = corpus.files(spark, sf_dir).select("package_name").distinct().where(F.regexp_extract("package_name", r"(\d+)", 1).cast("int") % 3 == 0).withColumn("domain", F.lit("mcp.tools.example"))
+    return correlate.campaign_class(detect.corpus_unique(spark, sf_dir), cluster.domains(table(spark, sf_dir, "pages")).unionByName(tools))
 
 
 # clusters and graphs
@@ -313,9 +320,10 @@ def version_sampling(spark, sf_dir):
     return kept.select("o_custkey", "o_orderkey", F.row_number().over(Win.partitionBy("o_custkey").orderBy(*newest)).cast("long").alias("rn"))
 
 
-@query("pending_packages", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("pending_packages", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def pending_packages(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Orders of every ninth number stand for finished scans."""
+    done = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return state.pending(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 

@@ -108,3 +108,23 @@ _MANIFEST = "FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 7 <> 6"
 )
 def manifest_findings(spark, sf_dir):
     return manifests.manifest_findings(manifest_files(spark, sf_dir))
+
+
+#: Lines of a stream cipher, each of one kind; a document has those of the bits of its number.
+_CIPHER = ("for (i = 0; i < 256; i++) s[i] = i", "o = a ^ b", "j = (j + 1) % 256", "tmp = s[i]; s[i] = s[j]; s[j] = tmp", "c = x.charCodeAt(0)")
+
+
+def cipher_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    lines = F.concat_ws("\n", F.when(d % 3 > 0, "eval(x)"), *(F.when(d.bitwiseAND(1 << k) > 0, line) for k, line in enumerate(_CIPHER)))
+    text = F.translate("text", "^&%", "")
+    return docs.select(F.lit("app").alias("package_name"), F.concat(F.when(d % 7 == 0, "test/f").otherwise("src/f"), d.cast("string"), F.lit(".js")).alias("file_path"), F.concat(text, F.lit("\n"), lines).alias("content"))
+
+
+_BITS = " + ".join(f"(doc_id // {1 << k}) % 2" for k in range(len(_CIPHER)))
+_KINDS = "concat_ws(',', " + ", ".join(f"CASE WHEN (doc_id // {1 << k}) % 2 = 1 THEN '{kind}' END" for k, kind in enumerate(runs.CIPHER_SIGNS)) + ")"
+
+
+@query("stream_ciphers", f"SELECT 'app' AS package_name, 'src/f' || doc_id || '.js' AS file_path, length(text) - length(replace(text, chr(10), '')) + 2 AS line, {_KINDS} AS kinds, CASE {_BITS} WHEN 3 THEN 0.5 WHEN 4 THEN 0.7 ELSE 0.85 END::DOUBLE AS confidence FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE doc_id % 3 > 0 AND doc_id % 7 > 0 AND {_BITS} >= 3")
+def stream_ciphers(spark, sf_dir):
+    return runs.stream_ciphers(cipher_files(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auspex.operators import detect, enrich, gates, mutate, summaries, variants
+from auspex.operators import detect, enrich, findings, gates, mutate, report, scoring, summaries, variants
 from auspex.plans import catalog
 from auspex.plans.catalog import duck
 from auspex.plans.registered import QUERIES, query, table
@@ -126,3 +126,35 @@ def yara_rules(spark, sf_dir):
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.replace("r_name", F.lit(" "), F.lit("_")).alias("rule"))
     named = table(spark, sf_dir, "nation").join(regions, "n_regionkey")
     return summaries.yara_rules(named.select("rule", F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("identifier"), F.col("n_name").alias("value")))
+
+
+@query("code_point_dedup", f"{duck.FINDINGS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY package_name, file_path, line, col, code_point ORDER BY category, severity, description, confidence DESC NULLS LAST) AS rn FROM found) WHERE rn = 1")
+def code_point_dedup(spark, sf_dir):
+    return findings.first_per_code_point(detect.corpus_findings(spark, sf_dir))
+
+
+@query("severity_counts", f"{catalog.UNIQUE} SELECT category, severity, count(*) AS n, count(DISTINCT package_name || ' ' || file_path) AS n_files FROM uniq GROUP BY ALL")
+def severity_counts(spark, sf_dir):
+    return findings.severity_counts(detect.corpus_unique(spark, sf_dir), ["category", "severity"])
+
+
+@query("sarif_rules", f"{catalog.UNIQUE} SELECT category AS rule_id, CASE WHEN bool_or(severity IN ('critical', 'high')) THEN 'error' WHEN bool_or(severity = 'medium') THEN 'warning' WHEN bool_or(severity = 'low') THEN 'note' ELSE 'none' END AS default_level, min(description) AS short_description, count(*) AS n FROM uniq GROUP BY 1")
+def sarif_rules(spark, sf_dir):
+    return report.sarif_rules(detect.corpus_unique(spark, sf_dir))
+
+
+@query("review_stages", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 10 < 2.5 THEN 'triage' WHEN c_custkey % 7 >= 5.25 THEN 'analysis' WHEN c_custkey % 11 BETWEEN 4 AND 7 THEN 'deep_dive' ELSE 'analysis' END AS stage FROM customer) GROUP BY 1")
+def review_stages(spark, sf_dir):
+    """Where the reviews end; customers' numbers stand for scores and verdicts."""
+    key = F.col("c_custkey")
+    stage = scoring.llm_stage(key % 11, (key % 10) / 10, (key % 7) / 7)
+    return table(spark, sf_dir, "customer").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query("scan_rates", "SELECT wave, done, remaining, round(done / minutes, 6) AS per_minute, round(remaining * 60 / (done / minutes), 2) AS eta_seconds FROM (SELECT user_id % 10 AS wave, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type <> 'purchase') AS remaining, (epoch(max(ts)) - epoch(min(ts))) / 60 AS minutes FROM events GROUP BY 1)")
+def scan_rates(spark, sf_dir):
+    """Rate and remaining time of each wave; purchases stand for finished packages."""
+    seconds = F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))
+    waves = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("wave")).agg(F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") != "purchase").alias("remaining"), (seconds / 60_000_000).alias("minutes"))
+    rate = report.scan_rate(F.col("done"), F.col("remaining"), F.col("minutes"))
+    return waves.select("wave", "done", "remaining", F.round(rate["per_minute"], 6).alias("per_minute"), F.round(rate["eta_seconds"], 2).alias("eta_seconds"))

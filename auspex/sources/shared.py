@@ -63,10 +63,13 @@ _ONCE: dict[tuple, DataFrame] = {}
 
 
 def input_state(spark: SparkSession, path: str) -> tuple:
-    """Names, sizes and times of the files of a table, which tell whether it has changed."""
+    """Names, sizes and times of the files of a table, those in nested folders too, which tell whether it has changed."""
     fs, where = _located(spark, path)
-    found = fs.listStatus(where)
-    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+    found, files = [], fs.listFiles(where, True)
+    while files.hasNext():
+        s = files.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def once(spark: SparkSession, name: str, path: str, make) -> DataFrame:
