@@ -419,4 +419,4 @@ def evasion_rate(spark, sf_dir):
     return mutate.evasion_rate(_mutated(spark, sf_dir))
 
 
-from auspex.plans import crossfile, hidden, packages, reviews, threats  # noqa: E402, F401  they register their queries
+from auspex.plans import archived, crossfile, hidden, packages, reviews, threats  # noqa: E402, F401  they register their queries

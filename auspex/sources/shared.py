@@ -52,11 +52,16 @@ def _located(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files."""
+    fs, where = _located(spark, path)
+    fs.delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that nothing reads any more."""
     for table in tables:
-        fs, path = _located(table.sparkSession, table.table_path)
-        fs.delete(path, True)
+        remove(table.sparkSession, table.table_path)
 
 
 _ONCE: dict[tuple, DataFrame] = {}
