@@ -1,16 +1,24 @@
 """Top-k search by Fagin's threshold algorithm over blocks of alike vectors.
 
 Vectors are dealt to cells by the nearest of ``PIVOTS`` pivots, and cells are cut in
-blocks.  A block has, for each dimension, the list of its vectors sorted by that
-component, made once.  A query walks all lists of a block from both ends in lockstep;
-vectors that come into sight are scored in full, and the threshold is the score that
-a vector could have whose components are those at the lists' present depth.  It is
-done with the block as soon as its k-th best score is above the threshold.  With
+blocks.  Inner products don't change when the axes are turned, so a block has axes of
+its own: the direction of its mean, then those along which its vectors vary most,
+``AXES`` at most (all, if a vector has no more components).  For each axis it has the
+list of its vectors sorted by that component about the mean, and one more list by the
+length of what the axes leave out, which a query weighs by the length of its own
+remainder (Cauchy-Schwarz).  The lists are made once.
+
+A query goes down the lists from the end that its weights favour, at each step in
+the list that takes most from the threshold a place; a list's steps begin at one place
+and double.  Vectors that come into sight are scored in full.  The threshold is the
+score that a vector could have whose components are those at the lists' present depths,
+and the query is done with the block as soon as its k-th best score is above it.  With
 equal scores the smaller id is better, so a threshold that equals the k-th score
-doesn't stop the search.
+doesn't stop the search.  Queries whose threshold is still too high ``SCAN`` of the way
+down all lists would see most of the block, so all of it is scored for them together.
 
 A query begins with a block of its own cell.  With the k-th score from there, the
-threshold at depth 0 and the distance of a block's vectors from their mean tell
+range of a block's components and the distance of its vectors from their mean tell
 which other blocks it has to visit; it goes to those only.  Nothing is left
 out: where vectors have no structure, all blocks are visited and scored.
 
@@ -33,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +59,9 @@ SCALE = 256
 PIVOTS = 64
 #: Vectors in a block, about; queries that a task takes at a time; blocks whose bounds a task takes at a time.
 BLOCK, GROUP, BOUNDS = 4096, 2048, 1024
-#: The first depth in the lists; each next one is twice as deep.
-FIRST_DEPTH = 64
+#: Axes of a block; places at both ends of its lists that all queries score first; depth of the test whether to walk, and share in sight that ends a walk.
+AXES, HEADS = 8, 8
+SCAN, SIGHT = 1 / 4, 1 / 2
 
 #: The score of no candidate; its negative is a long too.
 NONE = -(2**63) + 1
@@ -97,11 +107,58 @@ def celled(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, q array<long>, dims int, cell int")
 
 
-BLOCKS = "block long, dims int, cell int, ids binary, vectors binary, lists binary, mean binary, radius double"
+BLOCKS = "block long, dims int, cell int, ids binary, vectors binary, axes binary, lists binary, depths binary, low binary, high binary, mean binary, radius double"
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), *((c, pa.binary()) for c in ("ids", "vectors", "axes", "lists", "depths", "low", "high", "mean")), ("radius", pa.float64())])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers in as few bytes as they fit; ``unpacked`` tells the width by the length."""
+    kind = next(k for k in (np.int16, np.int32, np.int64) if x.size == 0 or (np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max))
+    return x.astype(kind).tobytes()
+
+
+def unpacked(data: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[len(data) // (n * dims)]).reshape(n, dims)
+
+
+def axes_of(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Orthonormal rows: the mean's direction, then those of most variance by a few rounds of subspace iteration.  Any orthonormal rows give right bounds."""
+    n = min(AXES, x.shape[1])
+    centred = x - mean
+    start = np.random.default_rng(0).normal(size=(x.shape[1], n))
+    start[:, 0] = mean if mean.any() else start[:, 0]
+    basis = np.linalg.qr(start / np.linalg.norm(start, axis=0))[0]
+    for _ in range(8):
+        spread = centred.T @ (centred @ basis)
+        spread[:, 0] = basis[:, 0]
+        long = np.linalg.norm(spread, axis=0)
+        basis = np.linalg.qr(np.where(long > 0, spread / np.where(long > 0, long, 1), start))[0]
+    return basis.T
+
+
+class Block(NamedTuple):
+    """ids (ascending), vectors, axes, and for each axis and the remainder the places in ascending order and their values."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    mean: np.ndarray
+    axes: np.ndarray
+    lists: np.ndarray
+    depths: np.ndarray
+
+
+def block_of(ids: np.ndarray, x: np.ndarray) -> Block:
+    real = x.astype(np.float64)
+    mean = real.mean(0)
+    axes = axes_of(real, mean)
+    along = (real - mean) @ axes.T
+    values = np.column_stack([along, np.linalg.norm(real - mean - along @ axes, axis=1)])
+    lists = np.argsort(values, 0, kind="stable").astype(np.int32)
+    return Block(ids, x, mean, axes, lists, np.take_along_axis(values, lists, 0))
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """BLOCKS of all rows: ids (ascending), vectors, and for each dimension the places of the vectors by that component."""
+    """BLOCKS of all rows, with the range of each component and the largest distance from the mean."""
     parts = rows.groupBy("dims", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))  # a row a cell: PIVOTS of one length, one of each other
     by = ["dims", "cell", "part"]
     dealt = rows.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), F.col("parts"))).repartition(*by).sortWithinPartitions(*by, "vec_id")
@@ -114,20 +171,28 @@ def blocks_of(rows: DataFrame) -> DataFrame:
             edges = [0, *cuts.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if b > a:
-                    dims = int(keys[0][a])
-                    x = batch.column("q").slice(a, b - a).flatten().to_numpy().reshape(-1, dims)
-                    mean = x.mean(0)
-                    row = {
-                        "block": [number], "dims": [dims], "cell": [int(keys[1][a])], "ids": [batch.column("vec_id").slice(a, b - a).to_numpy().tobytes()], "vectors": [x.tobytes()],
-                        "lists": [np.argsort(x, 0, kind="stable").astype(np.int32).tobytes()], "mean": [mean.tobytes()], "radius": [float(np.sqrt(((x - mean) ** 2).sum(1).max()))],
-                    }
-                    yield pa.RecordBatch.from_pydict(row, BLOCK_SCHEMA)
+                    x = batch.column("q").slice(a, b - a).flatten().to_numpy().reshape(b - a, int(keys[0][a]))
+                    made = block_of(batch.column("vec_id").slice(a, b - a).to_numpy(), x)
+                    yield pa.RecordBatch.from_pydict({
+                        "block": [number], "dims": [int(keys[0][a])], "cell": [int(keys[1][a])], "ids": [made.ids.tobytes()], "vectors": [packed(x)],
+                        "axes": [made.axes.tobytes()], "lists": [made.lists.tobytes()], "depths": [made.depths.tobytes()], "low": [x.min(0).astype(np.float64).tobytes()], "high": [x.max(0).astype(np.float64).tobytes()],
+                        "mean": [made.mean.tobytes()], "radius": [float(np.sqrt(((x - made.mean) ** 2).sum(1).max()))],
+                    }, BLOCK_SCHEMA)
                     number += 1
 
     return dealt.mapInArrow(run, BLOCKS)
 
 
-BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("lists", pa.binary()), ("mean", pa.binary()), ("radius", pa.float64())])
+#: What a task that searches a block needs of it.
+HELD = ("ids", "vectors", "mean", "axes", "lists", "depths")
+
+
+def block_from(row: dict) -> Block:
+    n = row["dims"]
+    ids, mean = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["mean"], np.float64)
+    axes = np.frombuffer(row["axes"], np.float64).reshape(-1, n)
+    shape = (len(ids), len(axes) + 1)
+    return Block(ids, unpacked(row["vectors"], len(ids), n), mean, axes, np.frombuffer(row["lists"], np.int32).reshape(shape), np.frombuffer(row["depths"], np.float64).reshape(shape))
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -173,30 +238,58 @@ class Best:
 SLACK = 1 + 1e-9
 
 
-def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, best: Best) -> int:
+def threshold_search(queries: np.ndarray, own: np.ndarray, block: Block, best: Best) -> int:
     """Search one block for all queries; returns how many of its scores were computed."""
-    n = len(ids)
-    positive, negative = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    dims = np.arange(queries.shape[1])
-    seen, active, depth, scored = np.zeros(n, bool), np.arange(len(queries)), 0, 0
-    while depth < n and len(active):
-        high, low = vectors[lists[n - 1 - depth], dims].astype(np.float64), vectors[lists[depth], dims].astype(np.float64)
-        bound = positive[active] @ high + negative[active] @ low
-        active = active[best.kth()[active] <= bound + np.abs(bound) * (SLACK - 1) + 1]
-        if not len(active):
-            break
-        deeper = min(n, max(FIRST_DEPTH, 2 * depth))
-        sight = np.zeros(n, bool)
-        sight[lists[depth:deeper].ravel()] = True
-        sight[lists[n - deeper : n - depth].ravel()] = True
-        new = np.flatnonzero(sight & ~seen)
-        seen[new] = True
-        if len(new):
-            best.add(active, products(queries[active], vectors[new]), ids[new], own)
-            scored += len(active) * len(new)
-        if seen.all():
-            break
-        depth = deeper
+    n, lists, depths = len(block.ids), block.lists, block.depths
+    q = queries.astype(np.float64)
+    along = q @ block.axes.T
+    weights = np.column_stack([along, np.linalg.norm(q - along @ block.axes, axis=1)])
+    # a list that a query reads from its end has its values there
+    up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+    span = np.abs(depths[[0, -1]]).max(0)
+    base = q @ block.mean
+    base += (np.abs(q) @ np.abs(block.mean) + np.abs(weights) @ span + np.linalg.norm(q, axis=1) * np.linalg.norm(span)) * (SLACK - 1) + 1
+
+    def open_at(rows: np.ndarray, depth: int) -> np.ndarray:
+        """The queries that ``depth`` places of all lists don't settle."""
+        bound = base[rows] + up[rows] @ depths[n - 1 - depth] + down[rows] @ depths[depth]
+        return rows[best.kth()[rows] <= bound]
+
+    def score(rows: np.ndarray, places: np.ndarray) -> int:
+        best.add(rows, products(queries[rows], block.vectors[places]), block.ids[places], own)
+        return len(rows) * len(places)
+
+    active = open_at(np.arange(len(queries)), 0)
+    if not len(active):
+        return 0
+    headed = np.zeros(n, bool)
+    headed[lists[:HEADS].ravel()] = headed[lists[-HEADS:].ravel()] = True
+    scored = score(active, np.flatnonzero(headed))
+    if headed.all():
+        return scored
+    active = open_at(active, HEADS)
+    whole = open_at(active, max(HEADS, int(n * SCAN)))
+    if len(whole):
+        scored += score(whole, np.flatnonzero(~headed))
+    columns = np.arange(lists.shape[1])
+    for r in np.setdiff1d(active, whole).tolist():
+        row, weight = np.array([r]), weights[r]
+        forward = weight < 0
+        seen, at, step = headed.copy(), np.full(len(columns), HEADS), np.ones(len(columns), np.int64)
+        value = lambda depth, forward=forward: depths[np.where(forward, depth, n - 1 - depth), columns]
+        while max(best.score[r, -1], best.least[r]) <= base[r] + weight @ value(at):
+            ahead = np.minimum(at + step, n - 1)
+            d = int((np.abs(weight) * np.abs(value(at) - value(ahead)) / step).argmax())
+            stop = min(n, int(at[d] + step[d]))
+            if seen.sum() > n * SIGHT or stop == n:
+                scored += score(row, np.flatnonzero(~seen))
+                break
+            new = lists[at[d] : stop, d] if forward[d] else lists[n - stop : n - at[d], d]
+            new = np.sort(new[~seen[new]])
+            seen[new] = True
+            at[d], step[d] = stop, 2 * step[d]
+            if len(new):
+                scored += score(row, new)
     return scored
 
 
@@ -209,8 +302,8 @@ def search(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     given = blocks.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     placed = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id", "query_hash"), F.col("parts")))
     null = lambda kind: F.lit(None).cast(kind)
-    left = given.select("block", "part", F.lit(0).alias("side"), "dims", "ids", "vectors", "lists", null("long").alias("query_id"), null("long").alias("query_hash"), null("array<long>").alias("q"), null("long").alias("least"))
-    right = placed.select("block", "part", F.lit(1).alias("side"), null("int").alias("dims"), *(null("binary").alias(c) for c in ("ids", "vectors", "lists")), "query_id", "query_hash", "q", "least")
+    left = given.select("block", "part", F.lit(0).alias("side"), "dims", *HELD, null("long").alias("query_id"), null("long").alias("query_hash"), null("array<long>").alias("q"), null("long").alias("least"))
+    right = placed.select("block", "part", F.lit(1).alias("side"), null("int").alias("dims"), *(null("binary").alias(c) for c in HELD), "query_id", "query_hash", "q", "least")
     met = left.unionByName(right).repartition("block", "part").sortWithinPartitions("block", "part", "side")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +311,10 @@ def search(asked: DataFrame, blocks: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             if waiting:
-                ids, x, lists = block
                 own, hashes, least = (np.array([w[k] for w in waiting], np.int64) for k in (0, 1, 3))
                 q = np.array([w[2] for w in waiting], np.int64)
                 best = Best(least)
-                scored = threshold_search(q, own, x, ids, lists, best)
+                scored = threshold_search(q, own, block, best)
                 at, col = np.nonzero(best.score > NONE)
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array([*own[at].tolist(), None], pa.int64()), "query_hash": pa.array([*hashes[at].tolist(), None], pa.int64()), "vec_id": pa.array([*best.id[at, col].tolist(), None], pa.int64()),
@@ -234,8 +326,7 @@ def search(asked: DataFrame, blocks: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if row["side"] == 0:
                     yield from out()
-                    n = row["dims"]
-                    block = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, n), np.frombuffer(row["lists"], np.int32).reshape(-1, n)
+                    block = block_from(row)
                 else:
                     waiting.append((row["query_id"], row["query_hash"], row["q"], row["least"]))
         yield from out()
@@ -249,16 +340,7 @@ def to_visit(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     groups, chunks = max(1, -(-n // GROUP)), max(1, -(-n_blocks // BOUNDS))
     asked = queries.select(F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(groups)).alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), "dims", "block", "query_id", "query_hash", "least", "q")
 
-    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, lists = np.frombuffer(r["vectors"], np.int64).reshape(-1, r["dims"]), np.frombuffer(r["lists"], np.int32).reshape(-1, r["dims"])
-                at = np.arange(r["dims"])
-                low, high = x[lists[0], at].astype(np.float64), x[lists[-1], at].astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "dims": pa.array([r["dims"]], pa.int32()), "low": [low.tobytes()], "high": [high.tobytes()], "mean": [r["mean"]], "radius": [r["radius"]]})
-
-    bounds = blocks.select("block", "dims", "vectors", "lists", "mean", "radius").mapInArrow(edges, "block long, dims int, low binary, high binary, mean binary, radius double")
-    told = bounds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"), "dims", "block", "low", "high", "mean", "radius")
+    told = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("side"), "dims", "block", "low", "high", "mean", "radius")
     met = told.unionByName(asked, allowMissingColumns=True).repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "dims", "side", "block")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

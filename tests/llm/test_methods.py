@@ -211,6 +211,56 @@ def test_threshold_search_skips_blocks_and_is_exact(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk._best(hits).collect()} == want
 
 
+def vector_sets():
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, d = 4096, 64
+    return {
+        "tight cluster": (0.1, unit(rng.normal(size=(1, d))) + rng.normal(size=(n, d)) * 0.01),
+        "norms of a log-normal": (0.6, unit(rng.normal(size=(n, d))) * rng.lognormal(size=(n, 1))),
+        "few heavy dimensions": (0.3, rng.normal(size=(n, d)) * 0.7 ** np.arange(d)),
+        "eight clusters": (0.75, unit(rng.normal(size=(8, d)))[rng.integers(0, 8, n)] + rng.normal(size=(n, d)) * 0.01),
+        "no structure": (1.0, unit(rng.normal(size=(n, d)))),
+        "equal vectors": (1.0, np.ones((n, d))),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(vector_sets()))
+def test_walks_stop_inside_a_block_of_64_dimensions(name):
+    most, x = vector_sets()[name]
+    q, ids, asked = np.floor(256 * x).astype(np.int64), np.arange(len(x)), np.arange(0, len(x), 50)
+    best = topk.Best(np.full(len(asked), topk.NONE))
+    scored = topk.threshold_search(q[asked], asked, topk.block_of(ids, q), best)
+    assert scored <= most * len(asked) * len(x)
+    full = q[asked] @ q.T
+    full[np.arange(len(asked)), asked] = topk.NONE
+    want = [sorted(zip((-f).tolist(), ids.tolist(), strict=True))[:5] for f in full]
+    assert [[(-s, v) for s, v in zip(a.tolist(), b.tolist(), strict=True)] for a, b in zip(best.score, best.id, strict=True)] == want
+
+
+def test_clustered_vectors_of_64_dimensions_are_scored_in_part(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 64))
+    x = (centres / np.linalg.norm(centres, axis=1, keepdims=True))[np.arange(8192) % 8] + rng.normal(size=(8192, 64)) * 0.01
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = topk.all_hits(vectors, F.col("vec_id") % 50 == 0).cache()
+    assert hits.agg(F.sum("scored")).first()[0] < 0.2 * 164 * 8192
+    q = np.floor(256 * x).astype(np.int64)
+    want = {(k, n + 1, v, -s) for k in range(0, 8192, 50) for n, (s, v) in enumerate(sorted((-int(s), v) for v, s in enumerate(q @ q[k]) if v != k)[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk._best(hits).collect()} == want
+
+
+def test_blocks_with_components_at_the_ends_of_a_long():
+    rng = np.random.default_rng(4)
+    q = np.where(rng.random((600, 9)) < 0.3, 2**62, rng.integers(-(2**61), 2**61, (600, 9)))
+    best = topk.Best(np.full(12, topk.NONE))
+    topk.threshold_search(q[::50], np.arange(0, 600, 50), topk.block_of(np.arange(600), q), best)
+    for k, row in enumerate(q[::50]):
+        exact = np.clip(row.astype(object) @ q.T.astype(object), topk.LEAST, topk.MOST)
+        want = sorted((-int(s), v) for v, s in enumerate(exact) if v != 50 * k)[:5]
+        assert [(-s, v) for s, v in zip(best.score[k].tolist(), best.id[k].tolist(), strict=True)] == want
+
+
 def test_products_beyond_a_double_are_exact():
     big = np.array([[2**40 + 1, 2**40 - 1]], np.int64)
     assert topk.products(big, big)[0, 0] == min(2**63 - 1, (2**40 + 1) ** 2 + (2**40 - 1) ** 2)
