@@ -36,18 +36,3 @@ def name_variants(names: DataFrame) -> DataFrame:
     n = F.col("name")
     made = F.array(*(F.concat(n, F.lit(end)) for end in ("-js", "js", ".js", "-official", "-lib")), F.concat(F.lit("@"), n, F.lit("/core")))
     return names.select("name", F.explode(F.array_distinct(made)).alias("variant")).where("variant <> name")
-
-
-def level_of(waves: DataFrame, deps: DataFrame) -> DataFrame:
-    """wave, level: longest way from a wave without dependencies; waves on a cycle have none.
-
-    One level per round: a wave is placed once all that it depends on is.
-    """
-    placed = waves.join(deps.select("wave").distinct(), "wave", "left_anti").select("wave", F.lit(0).alias("level"))
-    while True:
-        open_ = deps.join(placed.select("wave"), "wave", "left_anti")
-        ready = open_.join(placed.select(F.col("wave").alias("needs"), F.col("level").alias("l")), "needs", "left").groupBy("wave").agg(F.count_if(F.col("l").isNull()).alias("missing"), (F.max("l") + 1).alias("level")).where("missing = 0").select("wave", "level")
-        rows = ready.collect()  # a wave is a step of a campaign; there are tens of them
-        if not rows:
-            return placed
-        placed = placed.unionByName(waves.sparkSession.createDataFrame([tuple(r) for r in rows], "wave string, level int"))

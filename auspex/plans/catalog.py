@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auspex.functions import text as X
 from auspex.functions import values as V
 from auspex.operators import cluster, correlate, detect, findings, graph, mutate, report, scoring, state
+from auspex.operators import waves as waves_
 from auspex.operators.rules import literals
 from auspex.plans import duck
 from auspex.plans.duck import q
@@ -360,7 +361,33 @@ def wave_levels(spark, sf_dir):
     waves = table(spark, sf_dir, "nation").select("n_nationkey")
     name = lambda c: F.concat(F.lit("w"), c.cast("string"))
     deps = waves.where("n_nationkey > 0").select(name(F.col("n_nationkey")).alias("wave"), name(F.floor((F.col("n_nationkey") - 1) / 2)).alias("needs"))
-    return state.level_of(waves.select(name(F.col("n_nationkey")).alias("wave")), deps)
+    return waves_.level_of(waves.select(name(F.col("n_nationkey")).alias("wave")), deps)
+
+
+_TREE = 16
+
+
+def planned_waves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """For each document a wave of a tree, two on a cycle behind it, one between these and one that needs itself, two behind the cycle; every tenth has one that needs an unknown wave."""
+    d = F.col("doc_id")
+    name = lambda kind, by=d: F.concat(F.lit(kind), by.cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    pairs = [("c", "d"), ("d", "c"), ("c", "w"), ("b", "c"), ("x", "b"), ("x", "x"), ("e", "d"), ("f", "e")]
+    links = [F.struct(name(a).alias("wave"), name(b).alias("needs")) for a, b in pairs]
+    links += [F.when(d > 0, F.struct(name("w").alias("wave"), name("w", F.floor(d / _TREE)).alias("needs"))), F.when(d % 10 == 0, F.struct(name("g").alias("wave"), name("lost").alias("needs")))]
+    deps = docs.select(F.inline(F.filter(F.array(*links), lambda x: x.isNotNull())))
+    waves = docs.select(F.explode(F.array(*map(name, "wcdbxef"))).alias("wave")).unionByName(docs.where(d % 10 == 0).select(name("g").alias("wave")))
+    return waves, deps
+
+
+@query(
+    "wave_plan",
+    f"""SELECT 'w' || doc_id AS wave, 'placed' AS state, CASE WHEN doc_id = 0 THEN 0 ELSE length(to_base(doc_id, {_TREE})) END::INTEGER AS level, NULL::VARCHAR AS tangle FROM documents
+UNION ALL SELECT unnest(['c', 'd', 'b', 'x']) || doc_id, 'cycle', NULL, 'b' || doc_id FROM documents UNION ALL SELECT unnest(['e', 'f']) || doc_id, 'blocked', NULL, NULL FROM documents
+UNION ALL SELECT 'g' || doc_id, 'blocked', NULL, NULL FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'lost' || doc_id, 'unknown', NULL, 'lost' || doc_id FROM documents WHERE doc_id % 10 = 0""",
+)
+def wave_plan(spark, sf_dir):
+    return waves_.wave_plan(*planned_waves(spark, sf_dir))
 
 
 # events and reports
