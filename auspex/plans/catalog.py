@@ -446,4 +446,4 @@ def evasion_rate(spark, sf_dir):
     return mutate.evasion_rate(_mutated(spark, sf_dir))
 
 
-from auspex.plans import archived, binary_rules, campaign_stream, crossfile, hidden, packages, reviews, shared_infra, threats  # noqa: E402, F401  they register their queries
+from auspex.plans import archived, binary_rules, campaign_stream, crossfile, hidden, packages, reviews, shared_infra, threats, versions  # noqa: E402, F401  they register their queries
