@@ -45,5 +45,5 @@ def test_rows_agree(spark, duck, name):
 def test_every_query_runs_on_empty_tables(spark, tmp_path):
     for path in Path(SF).glob("*.parquet"):
         spark.read.parquet(str(path)).limit(0).write.parquet(str(tmp_path / path.name))
-    for name in ("all_findings", "findings_dedup", "package_score_independent", "infra_clusters", "event_sessions", "cache_lookup"):
+    for name in ("all_findings", "findings_dedup", "package_score_independent", "infra_clusters", "event_sessions", "cache_lookup", "campaign_state", "campaign_state_batch", "infra_merges", "sampled_versions", "build_metadata", "host_artifacts", "shift_obfuscation"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
