@@ -188,3 +188,15 @@ def test_rules_on_whole_contents_and_their_near_misses(spark):
     assert ("critical", 16) in of("src/exit15.js", delay) and of("src/exit16.js", delay) == []
     assert ("high", 3) in of("a/package.json", "stegano_payload") and of("b/package.json", "stegano_payload") == []
     assert ("high", 1) in of("src/comment3.js", "stegano_payload") and of("src/comment2.js", "stegano_payload") == []
+
+
+def test_content_flags_are_columns_and_lines_are_filtered(spark):
+    """The rules' tests of a whole content are made once a file, not once a rule, and lines without a sign take no part."""
+    from auspex.operators import contents
+
+    text = "plain\n" * 50 + "// " + "QUJD" * 13 + "​" * 3 + "QUJD" * 13
+    files = spark.createDataFrame([("p", "src/a.js", True, text)], "package_name string, file_path string, plain_source boolean, text string")
+    found = contents.content_findings(files)
+    assert [(r.line, r.description) for r in found.collect()] == [(51, "hidden characters in a base64 comment")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("async getSignaturesForAddress(") == 1
