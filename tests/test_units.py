@@ -190,6 +190,20 @@ def test_rules_on_whole_contents_and_their_near_misses(spark):
     assert ("high", 1) in of("src/comment3.js", "stegano_payload") and of("src/comment2.js", "stegano_payload") == []
 
 
+def test_spread_by_rows_not_by_bytes(spark, tmp_path, monkeypatch):
+    """One row group is one task's work however large the file is; even partitions stay where they are."""
+    from auspex.sources import shared
+
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 64)  # the file has many times that a core
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    dealt = shared.spread(spark.read.parquet(f"{tmp_path}/one"))
+    counts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 4000 and max(counts) * 8 <= 2 * 4000
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 16 << 20)
+    even = spark.range(4000).repartition(16)
+    assert shared.spread(even) is even
+
+
 def test_content_flags_are_columns_and_lines_are_filtered(spark):
     """The rules' tests of a whole content are made once a file, not once a rule, and lines without a sign take no part."""
     from auspex.operators import contents
