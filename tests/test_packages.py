@@ -46,6 +46,24 @@ def test_code_clusters_equal_brute_force(spark):
     assert all(signed[n] == brute_signature(t) for n, t in packages)
 
 
+def test_code_clusters_in_blocks_without_pairs(spark, monkeypatch):
+    """Several blocks give brute force's clusters, a package the first of its leaders by name; no table holds the pairs of a group of alike packages."""
+    import random
+
+    draw = random.Random(7)
+    bases = ["".join(draw.choice("abcdefgh {};=") for _ in range(160)) for _ in range(6)]
+    packages = [(f"n{k:03}", draw.choice(bases)[: draw.randrange(60, 160)] + "".join(draw.choice("xyz") for _ in range(draw.randrange(12)))) for k in range(220)]
+    packages += [(f"z{k:03}", "a group of packages that are all alike but for their last number, and as long as this one is: " + str(k)) for k in range(150)]
+    monkeypatch.setattr(similar, "BLOCK", 64)
+    sizes = []
+    kept = similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, name: (made := kept(df, name), sizes.append(made.count()))[0])
+    df = spark.createDataFrame(packages, "package_name string, content string").repartition(5)
+    got = {(r["package_name"], r["cluster"]) for r in similar.code_clusters(df).collect()}
+    assert got == brute_clusters(packages) and len(got) > 200
+    assert max(sizes) <= len(packages)
+
+
 def test_campaigns(spark):
     shared = spark.createDataFrame([("a", "domain", "d1"), ("b", "domain", "d1"), ("b", "wallet", "w"), ("c", "wallet", "w"), ("e", "author", "x")], "package_name string, kind string, value string")
     code = spark.createDataFrame([("a", "a"), ("b", "a"), ("m", "m"), ("n", "m"), ("o", "m"), ("r", "r"), ("s", "r")], "package_name string, cluster string")
