@@ -102,3 +102,19 @@ def test_selection(spark):
     kinds = {r["k"]: (r["classification"], r["tier"], r["recommendation"]) for r in selection.overall(counts).collect()}
     assert kinds[1] == ("MALICIOUS", "CONFIRMED", "REPORT_IMMEDIATELY") and kinds[2][1] == "HIGH_CONFIDENCE" and kinds[3][0] == "SUSPICIOUS"
     assert kinds[4][0] == "FALSE_POSITIVE" and kinds[5] == ("NEEDS_REVIEW", "UNCLASSIFIED", "REVIEW") and kinds[6][0] == "CLEAN"
+
+
+def test_related_packages_of_a_frequent_value_in_parts(spark, monkeypatch):
+    """A value of all packages is met in parts, dealt by number, and the pairs are those of a plain loop."""
+    monkeypatch.setattr(similar, "PART", 16)
+    monkeypatch.setattr(similar, "PAIRS", 500)
+    rows = [(f"p{k:03}", "domain", "one") for k in range(300)] + [(f"p{k:03}", "author", f"a{k % 7}") for k in range(0, 300, 5)]
+    shared = spark.createDataFrame(rows, "package_name string, kind string, value string")
+    wanted = shared.where("package_name LIKE '%0'").select("package_name")
+    found = similar.related(shared, wanted)
+    has: dict = {}
+    for p, kind, value in rows:
+        has.setdefault(p, set()).add((kind, value))
+    want = {(a, b, len(has[a] & has[b])) for a in has if a.endswith("0") for b in has if a != b}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
