@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import json
 import posixpath
 import re
@@ -26,7 +27,9 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO, NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +42,7 @@ NAME = "package_archives"
 COLUMNS = ("archive", "package_name", "version", "file_path", "content", "error")
 ENDINGS = (".tgz", ".tar.gz", ".gz", ".tar")
 #: Bytes of archives in a partition, of texts in a batch, and the most of an archive unpacked and of a file in it.
-PARTITION, BATCH = 64 << 20, 16 << 20
+PARTITION, BATCH = 64 << 20, 2 << 20
 MOST_UNPACKED, MOST_MEMBER = 8 << 30, 256 << 20
 #: Bytes that headers between two members may have; long names need some thousand.
 MOST_HEADER = 4 << 20
@@ -190,7 +193,7 @@ class ArchiveReader(DataSourceReader):
             fs, where = located(archive)
             for row in archive_rows(archive, lambda fs=fs, where=where: fs.open_input_stream(where), self.walk, lambda p: self.passes("file_path", p), self.most_unpacked, self.most_member):
                 held.append(row)
-                size += len(row[4] or "") + 256
+                size += len((row[4] or "").encode()) + 256
                 if size >= BATCH:
                     yield batch()
                     held, size = [], 0
@@ -231,6 +234,16 @@ def read_archives(spark: SparkSession, path: str, **options: object) -> DataFram
     return spark.read.format(NAME).options(pushdown=pushdown, **options).load(path)
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batch cut where ``column`` has ``limit`` bytes, a row at least: its rows become Python values a piece at a time."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def write_archives(rows: DataFrame, path: str) -> int:
     """Write (archive, member, content) as one file an archive below ``path``, compressed unless ``plain``; returns how many.
 
@@ -253,7 +266,7 @@ def write_archives(rows: DataFrame, path: str) -> int:
                 fs.move(f"{where}/.{attempt}-{current}", f"{where}/{current}")
                 yield pa.RecordBatch.from_pydict({"archive": [current]})
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(pieces(b, "content") for b in batches):
             for archive, plain, member, content in zip(*(batch.column(c).to_pylist() for c in ("archive", "plain", "member", "content")), strict=True):
                 if archive != current:
                     yield from close()

@@ -8,6 +8,7 @@ import json
 import os
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,16 @@ def test_walks_agree_as_columns(spark, name):
     given = spark.createDataFrame([(p, n) for p in PATHS for n in (0, MIB, MIB + 1)], "path string, size long")
     assert all(r["t"] == walk.takes(r["path"], r["size"]) for r in given.withColumn("t", walk.taken(F.col("path"), F.col("size"))).collect())
     assert walk.takes("a.js", MIB) and walk.takes("a.js", MIB + 1) == (name != "tree") and walk.takes("dist/a.js", 1) == (name == "archive")
+
+
+def test_batches_are_bounded_in_bytes(tmp_path):
+    """Texts of three bytes a character: what a task holds follows bytes, when archives are read and when they are written."""
+    text = "\u4e2d" * (MIB // 3)
+    packed(tmp_path / "wide-1.tgz", [(f"package/m{k}.js", text.encode()) for k in range(12)])
+    reader = archives.ArchiveReader({"path": str(tmp_path)})
+    read = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in read) == 12 and max(b.nbytes for b in read) <= 4 * MIB
+    batch = pa.RecordBatch.from_pydict({"content": [text, None, "", *[text] * 8]})
+    cut = list(archives.pieces(batch, "content"))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict() and all(sum(len((t or "").encode()) for t in c.column(0).to_pylist()) <= archives.BATCH for c in cut)
+    assert len(cut) > 3 and list(archives.pieces(batch.slice(0, 0), "content")) == []
