@@ -5,13 +5,17 @@
    so that ``MIN_WORDS`` words in a row share one of these as well.  A text is known by
    its hash; a task puts out the seeds of equal texts once.
 2. A seed that several texts have is matched with its places in others, the sources:
-   with those of all texts of smaller hash if no more than ``RARE`` texts have it, so a
-   passage that two texts share is matched between them, whoever else has bits of it;
-   else with that of the smallest hash, so a frequent passage has one source and never
-   all pairs of its texts.  Where few of its texts also agree on the least seed some
-   words before or behind it, the smallest of these is a source too, so texts that
-   share more than a frequent bit find each other.  The source of a long seed has all its words, so a
-   passage of frequent pieces is matched with a text that has the pieces in a row.
+   with those of all texts of smaller hash if no more than ``RARE`` texts have it; else
+   (a busy seed) with that of the smallest hash, so a frequent passage has one source
+   and never all pairs of its texts.  What that leaves is matched by pairs of seeds
+   (``pair_matches``): the company of a busy seed in a text are the shared seeds up to
+   ``NEAR`` words behind it, without those that its source has there as well.  The
+   texts of a busy seed are compared: for each seed of its company that texts of smaller
+   hash have in theirs, a text is matched with all of them if they are no more than
+   ``RARE``, else with one: the seed's source, or the one that shares most of what is not
+   covered yet.  So no
+   pair of seeds that a text shares with one of smaller hash is left without a source
+   that has both.
 3. The matches of a text and a source that overlap on one diagonal are one segment.
    Segments are chained: the best chain of segments that ascend in both, less a cost
    for gaps, comes from a Fenwick tree over the places in the source.  Chains are taken
@@ -26,6 +30,7 @@ Very frequent (heavy) seeds aren't dealt by their hash: they are found among the
 whose hash is in the lowest ``LOW``-th part, which have their sources as well, since
 a source is a text of the smallest hash; their matches are made where the texts are
 read.  A seed that is missed there is dealt like the others, with the same result.
+Pairs of seeds are found for both alike.
 
 Copies of a text are single rows that refer to its smallest doc_id.
 
@@ -58,8 +63,10 @@ LONG_K, LONG_WINDOW = 30, 11
 IDENTITY = 0.8
 #: A seed of so many texts is matched with all of them of smaller hash.
 RARE = 5
-#: The context of a seed: the least seed of so many words, so far behind it (or before); a context is a sign of its own if so many texts have it.
-FAR, CONTEXT, CONTEXT_TEXTS = 8, 21, 16
+#: Seeds up to so many words behind a busy seed are its company.
+NEAR = MIN_WORDS
+#: Pairs of texts that are counted at once.
+BLOCK = 1 << 20
 #: Heavy seeds are one of so many seeds or more, so there are no more of them, and found in the texts of the lowest part of hashes.
 HEAVY, LOW, HEAVY_LEAST = 4096, 64, 16
 #: A chain is aligned from so many matches and words on.
@@ -86,20 +93,8 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return most == h
 
 
-def contexts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits of the least hash some words before and behind each word."""
-    least, width = h, 1
-    while 2 * width <= CONTEXT:
-        least = np.minimum(least, np.concatenate([least[width:], np.full(min(width, len(least)), least[-1:].max(initial=0))])) if len(least) else least
-        width *= 2
-    n, rest = len(h), CONTEXT - width
-    at = np.arange(n)
-    window = lambda k: np.minimum(least[np.clip(k, 0, n - 1)], least[np.clip(k + rest, 0, n - 1)]) if n else least
-    return tuple((window(at + k) >> np.uint64(48)).astype(np.uint16) for k in (-FAR - CONTEXT + 1, FAR))
-
-
 def seeds(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Hash, text, place (number of the word) and contexts of the minimizers of each text; the lowest bit of the hash is 1 for long ones."""
+    """Hash, text and place (number of the word) of the minimizers of each text; the lowest bit of the hash is 1 for long ones."""
     w = W.find_words(texts)
     top = np.uint64(2**64 - 1)
     text_of = w.text_of
@@ -113,8 +108,6 @@ def seeds(texts: pa.Array) -> tuple[np.ndarray, ...]:
     for keys, k, window in ((short, K, WINDOW), (long, LONG_K, LONG_WINDOW)):
         h = np.where(W.full_windows(w.first, k), W.mix64(keys), top)
         chosen = minimizers(h, window) & (h != top) & enough
-        if k == K:
-            before, behind = contexts(np.where(chosen, h, top))
         at = np.flatnonzero(chosen)
         found.append((h[at] & ~np.uint64(1) | np.uint64(k == LONG_K), at))
     h, at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -123,7 +116,7 @@ def seeds(texts: pa.Array) -> tuple[np.ndarray, ...]:
     again = np.zeros(len(at), bool)
     again[order[1:]] = (np.diff(h[order]) == 0) & (np.diff(at[order]) < MIN_WORDS) & (np.diff(text_of[at[order]]) == 0)
     h, at = h[~again], at[~again]
-    return h.view(np.int64), text_of[at], (at - w.first[text_of[at]]).astype(np.int32), before[at], behind[at]
+    return h.view(np.int64), text_of[at], (at - w.first[text_of[at]]).astype(np.int32)
 
 
 def new_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -146,7 +139,7 @@ def heavy_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, texts in new_texts(batches):
-            h, of, pos, *_ = seeds(texts)
+            h, of, pos = seeds(texts)
             yield pa.RecordBatch.from_pydict({"h": h, "th": th[of], "pos": pos})
 
     low = hashed_texts(docs).where(F.col("th") < -(2**63) + 2**64 // LOW)
@@ -157,8 +150,8 @@ def heavy_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
 
 
-#: ``at``: the place, and 16 bits of both contexts; src and spos for heavy seeds only.
-SEEDS = "h long, th long, at long, src long, spos int"
+#: src and spos for heavy seeds only.
+SEEDS = "h long, th long, pos int, src long, spos int"
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
@@ -167,22 +160,23 @@ def seed_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, texts in new_texts(batches):
-            h, of, pos, before, behind = seeds(texts)
+            h, of, pos = seeds(texts)
             th = th[of]
             at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.int64)
             heavy = known[at] == h if len(known) else np.zeros(len(h), bool)
             src, spos = (np.where(heavy, x[at], 0) if len(known) else np.zeros(len(h), np.int64) for x in (source, place))
-            keep = ~heavy | (src != th)
-            yield pa.RecordBatch.from_pydict({
-                "h": h[keep], "th": th[keep], "at": (pos.astype(np.int64) << 32 | before.astype(np.int64) << 16 | behind)[keep],
-                "src": pa.array(src[keep], mask=~heavy[keep]), "spos": pa.array(spos[keep].astype(np.int32), mask=~heavy[keep]),
-            })
+            yield pa.RecordBatch.from_pydict({"h": h, "th": th, "pos": pos, "src": pa.array(src, mask=~heavy), "spos": pa.array(spos.astype(np.int32), mask=~heavy)})
 
     return hashed_texts(docs).mapInArrow(tidied(run), SEEDS)
 
 
-def matched(h: np.ndarray, th: np.ndarray, pos: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by seed, text and place: (row, row of the source), for whole seeds."""
+def changes(x: np.ndarray) -> np.ndarray:
+    """Which columns differ from the one before."""
+    return np.append(np.ones(min(1, x.shape[1]), bool), (np.diff(x) != 0).any(0))
+
+
+def matched(h: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by seed, text and place: (row, row of the source), for whole seeds; and the number of texts of each row's seed."""
     n = len(h)
     seed = np.ones(n, bool)
     seed[1:] = h[1:] != h[:-1]
@@ -196,64 +190,182 @@ def matched(h: np.ndarray, th: np.ndarray, pos: np.ndarray, before: np.ndarray,
     n_sources = np.where(texts <= RARE, nth, np.minimum(nth, 1))
     row = np.repeat(np.arange(n), n_sources)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n_sources) - n_sources, n_sources)
-    rows, sources = [row], [first[begin[row] + step]]
-    often = np.flatnonzero(texts > RARE)
-    known = [first[begin[often]]] if len(often) else []
-    for context in (before, behind) if len(often) else ():
-        order = often[np.lexsort((pos[often], th[often], context[often], h[often]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order[1:]] != h[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
-        other = new.copy()
-        other[1:] |= th[order[1:]] != th[order[:-1]]
-        group = np.cumsum(new) - 1
-        few = np.bincount(group, weights=other)[group] <= CONTEXT_TEXTS
-        least, rare = np.empty(n, np.int64), np.zeros(n, bool)
-        least[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        rare[order] = few
-        source = least[often]
-        fresh = rare[often] & (th[source] != th[often])
-        for k in known:
-            fresh &= th[source] != th[k]
-        rows.append(often[fresh])
-        sources.append(source[fresh])
-        known.append(source)
-    return np.concatenate(rows), np.concatenate(sources)
+    return row, first[begin[row] + step], texts
+
+
+def whole(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """The columns (integers, sorted by the first) as rows of an array, never cut within a value of the first; nulls are 0."""
+    held: list[np.ndarray] = []  # the value that the last batch ended in
+    for batch in batches:
+        part = np.stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+        if not part.shape[1]:
+            continue
+        if held and part[0, -1] == held[0][0, 0]:
+            held.append(part)
+            continue
+        last = int(np.searchsorted(part[0], part[0, -1]))
+        if held or last:
+            yield np.concatenate([*held, part[:, :last]], 1)
+        held = [part[:, last:]]
+    if held:
+        yield np.concatenate(held, 1)
+
+
+#: Hash of a seed and its distance.
+PAIR = np.dtype([("key", "<i8"), ("step", "<i4")])
+#: A match has no h; a place of a seed that several texts have, no src.
+MATCHES = "h long, th long, src long, at long"
+
+
+def match_rows(th: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(th), pa.int64()), pa.array(th), pa.array(src), pa.array(at)], ["h", "th", "src", "at"])
 
 
 def matches(seeds_: DataFrame) -> DataFrame:
-    """th, src, at: a text's k-mer and its place in a source of that seed; ``at`` has both places and whether the seed is a long one.
+    """MATCHES: a text's k-mer and its place in a source of that seed; ``at`` has both places and whether the seed is a long one.
 
-    The rows of a seed come in a row and are matched once all are there; heavy ones
-    are matched already and pass through.
+    And each place of a short seed that several texts have; ``at`` has the place and whether
+    the seed is busy.  The rows of a seed come in a row and are matched once all are there;
+    heavy ones are matched already and pass through.
     """
-    key = F.when(F.col("src").isNull(), F.col("h")).otherwise(F.xxhash64("th", "at"))
-    dealt = seeds_.repartition(key).sortWithinPartitions("h", "th", "at")
+    key = F.when(F.col("src").isNull(), F.col("h")).otherwise(F.xxhash64("th", "pos"))
+    dealt = seeds_.withColumn("heavy", F.col("src").isNotNull().cast("int")).repartition(key).sortWithinPartitions("h", "th", "pos")
 
-    def out(h, th, src, pos, spos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"th": th, "src": src, "at": pos << 32 | spos << 1 | h & 1})
-
-    def some(part: np.ndarray) -> pa.RecordBatch:
-        h, th, at = part
-        row, source = matched(h, th, at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF)
-        return out(h[row], th[row], th[source], at[row] >> 32, at[source] >> 32)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole(batches, ("h", "th", "pos", "src", "spos", "heavy")):
+            h, th, pos, src, spos, heavy = part[:, changes(part[:3])]  # equal texts of several tasks once
+            done = heavy > 0
+            met = done & (src != th)
+            yield match_rows(th[met], src[met], pos[met] << 32 | spos[met] << 1 | h[met] & 1)
+            busy = done.copy()
+            seen = done & (h & 1 == 0)
+            if not done.all():
+                k = np.flatnonzero(~done)
+                row, source, texts = matched(h[k], th[k])
+                row, source = k[row], k[source]
+                yield match_rows(th[row], th[source], pos[row] << 32 | pos[source] << 1 | h[row] & 1)
+                busy[k] = texts > RARE
+                seen[k] = (texts > 1) & (h[k] & 1 == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h[seen]), pa.array(th[seen]), pa.nulls(int(seen.sum()), pa.int64()), pa.array(pos[seen] << 1 | busy[seen])], ["h", "th", "src", "at"])
+
+    return dealt.mapInArrow(tidied(run), MATCHES)
+
+
+def company(h: np.ndarray, th: np.ndarray, pos: np.ndarray, busy: np.ndarray, mth: np.ndarray, src: np.ndarray, mpos: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(busy row, row of its company) of rows sorted by text and place, without pairs that the busy row's source has as well; the m are matches of short seeds."""
+    texts, text = np.unique(th, return_inverse=True)
+    place = text << 32 | pos
+    head = np.flatnonzero(busy)
+    n = np.searchsorted(place, place[head] + NEAR, "right") - head - 1
+    a = np.repeat(head, n)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = a[h[a] != h[b]], b[h[a] != h[b]]
+    # the source of a busy row, and its place there
+    sources, source = np.unique(src, return_inverse=True)
+    row = np.searchsorted(place, np.searchsorted(texts, mth) << 32 | mpos)
+    own, own_pos = np.full(len(h), -1), np.zeros(len(h), np.int64)
+    own[row], own_pos[row] = source, spos
+    key = row * len(sources) + source
+    order = np.argsort(key)
+    key, spos = key[order], spos[order]
+    alone = np.ones(len(a), bool)
+    if len(key):
+        asked = b * len(sources) + own[a]
+        at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        step = spos[at] - own_pos[a]
+        alone = (own[a] < 0) | (key[at] != asked) | (step <= 0) | (step > NEAR)
+    return a[alone], b[alone]
+
+
+def pairs_of(th: np.ndarray, row: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the company (row and key, each once) of a busy seed's rows, sorted by text: (entry, entry of the source).
+
+    An entry has all sources of smaller ``th`` with its key if no more than RARE texts have it; else
+    the smallest text of all if it has the key, as it has the seed too; else one of those that
+    share most of the keys that no source before shares.
+    """
+    order = np.lexsort((row, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    text = th[row[order]]
+    other = new.copy()
+    other[1:] |= text[1:] != text[:-1]
+    first = np.maximum.accumulate(np.where(other, np.arange(len(order)), 0))  # of the text among those of the key
+    group = np.cumsum(new) - 1
+    few = np.bincount(group, weights=other)[group] <= RARE
+    n = np.empty(len(order), np.int64)
+    start, rare = n.copy(), np.empty(len(order), bool)
+    n[order], start[order], rare[order] = first - begin, begin, few
+    led = ~rare & (th[row[order[start]]] == th[row[0]]) & (n > 0)  # the seed's first text has the key too
+    yield np.flatnonzero(led), order[start[led]]
+    n[led] = 0
+    # entries are sorted by row: blocks of whole rows
+    total = np.cumsum(n)
+    edges = np.flatnonzero(np.append(np.diff(row) != 0, True)) + 1 if len(row) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(row):
+        most = (total[lo - 1] if lo else 0) + BLOCK
+        hi = int(max(edges[np.searchsorted(edges, lo, "right")], edges[max(0, np.searchsorted(edges, np.searchsorted(total, most, "right"), "right") - 1)]))
+        entry = np.repeat(np.arange(lo, hi), n[lo:hi])
+        source = order[start[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])]
+        yield entry[rare[entry]], source[rare[entry]]
+        while len(entry):
+            pair = row[entry] * (int(row[-1]) + 1) + row[source]
+            found, at, count = np.unique(pair, return_inverse=True, return_counts=True)
+            of = found // (int(row[-1]) + 1)
+            best = np.lexsort((found, -count, of))
+            best = best[np.append(True, np.diff(of[best]) != 0)]
+            chosen = np.zeros(len(found), bool)
+            chosen[best] = True
+            chosen = chosen[at]
+            out = chosen & ~rare[entry]
+            yield entry[out], source[out]
+            left = ~np.isin(entry, entry[chosen])
+            entry, source = entry[left], source[left]
+        lo = hi
+
+
+def listed_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, th, at, key, step (hash and distance of one of the company) from rows with LISTS."""
+    for batch in batches:
+        lists = batch.column("company").to_pylist()
+        of = pa.array(np.repeat(np.arange(len(lists)), np.array([len(x) // 12 for x in lists], np.int64)))
+        company = np.frombuffer(b"".join(lists), PAIR)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("h", "th", "at")), pa.array(company["key"]), pa.array(company["step"])], ["h", "th", "at", "key", "step"])
+
+
+def pair_matches(lists: DataFrame) -> DataFrame:
+    """MATCHES of busy seeds and their company, from rows with LISTS."""
+    dealt = lists.select("h", "th", "at", "company").repartition("h").sortWithinPartitions("h", "th", "at")
+
+    def met(th: np.ndarray, at: np.ndarray, key: np.ndarray, step: np.ndarray) -> Iterator[np.ndarray]:
+        """Of one seed."""
+        row = np.cumsum(changes(np.stack([th, at]))) - 1
+        once = np.zeros(len(row), bool)  # the nearest place of each of the company
+        order = np.lexsort((step, key, row))
+        once[order] = changes(np.stack([row, key])[:, order])
+        th, at, key, step, row = (x[once] for x in (th, at, key, step, row))
+        firsts = np.flatnonzero(changes(row[None]))
+        for entry, source in pairs_of(th[firsts], row, key):
+            yield np.stack([th[entry], th[source], (at + step)[entry] << 32 | (at + step)[source] << 1])
+            a, b = np.divmod(np.unique(row[entry] * len(firsts) + row[source]), len(firsts))
+            a, b = firsts[a], firsts[b]
+            yield np.stack([th[a], th[b], at[a] << 32 | at[b] << 1])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)  # the rows of the seed that the last batch ended in
-        for batch in batches:
-            done = batch.column("src").is_valid().to_numpy(zero_copy_only=False)
-            part = np.stack([batch.column(c).to_numpy() for c in ("h", "th", "at")])
-            if done.any():
-                src, spos = (batch.column(c).fill_null(0).to_numpy().astype(np.int64)[done] for c in ("src", "spos"))
-                h, th, at = part[:, done]
-                yield out(h, th, src, at >> 32, spos)
-            part = np.concatenate([held, part[:, ~done]], 1)
-            if part.shape[1]:
-                last = int(np.searchsorted(part[0], part[0, -1]))
-                held = part[:, last:]
-                yield some(part[:, :last])
-        yield some(held)
-
-    return dealt.mapInArrow(tidied(run), "th long, src long, at long")
+        waiting: list[np.ndarray] = []
+        for part in whole(listed_pairs(batches), ("h", "th", "at", "key", "step")):
+            for seed in np.split(part[1:], np.flatnonzero(np.diff(part[0])) + 1, 1):
+                for rows in met(*seed) if seed[0, 0] != seed[0, -1] else ():
+                    waiting.append(rows)
+                    if len(waiting) >= 256 or rows.shape[1] >= BLOCK // 8:
+                        yield match_rows(*np.concatenate(waiting, 1))
+                        waiting = []
+        if waiting:
+            yield match_rows(*np.concatenate(waiting, 1))
+
+    return dealt.mapInArrow(tidied(run), MATCHES)
 
 
 def segments(group: np.ndarray, pos: np.ndarray, spos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -338,15 +450,20 @@ def text_chains(groups: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, siz
                 covered = [i for i in covered if i not in inside] + [(min([begin, *(p for p, _ in inside)]), max([end, *(q for _, q in inside)]))]
 
 
+#: A chain: th, src, first and last place in both, and its segments as triples (places and words) of int32.
+CHAINS = "th long, src long, a int, b int, sa int, sb int, anchors binary"
+#: A busy seed's company: h, its place at, and PAIRs of the company.
+LISTS = "h long, at int, company binary"
+
+
 def chain_table(found: DataFrame) -> DataFrame:
-    """Each chain: th, src, first and last place in both, and its segments as triples (places and words) of int32."""
-    dealt = found.repartition("th").sortWithinPartitions("th", "src", "at")
-    names = ["th", "src", "a", "b", "sa", "sb", "anchors"]
-    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
+    """CHAINS of each text, and rows with LISTS and th, from its MATCHES."""
+    dealt = found.withColumn("seen", F.col("src").isNull().cast("int")).repartition("th").sortWithinPartitions("th", "src", "at")
+    names = ["th", "src", "a", "b", "sa", "sb", "anchors", "h", "at", "company"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
-    def some(part: np.ndarray) -> pa.RecordBatch:
+    def chained(th: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         """Of whole texts."""
-        th, src, at = part
         new = np.ones(len(th), bool)
         new[1:] = (th[1:] != th[:-1]) | (src[1:] != src[:-1])
         first = np.flatnonzero(new)
@@ -359,24 +476,36 @@ def chain_table(found: DataFrame) -> DataFrame:
             for a, c in text_chains(list(itertools.pairwise(edges[p : q + 1])), x, y, size, n):
                 of = first[group[a]]
                 rows.append((int(th[of]), int(src[of]), int(x[c[0]]), int((x[c] + size[c]).max()), int(y[c[0]]), int((y[c] + size[c]).max()), np.stack([x[c], y[c], size[c]], 1).astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(7)], names)
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], types[k]) for k in range(7)), *(pa.nulls(len(rows), t) for t in types[7:])], names)
+
+    def listed(h: np.ndarray, th: np.ndarray, at: np.ndarray, mth: np.ndarray, src: np.ndarray, mat: np.ndarray) -> pa.RecordBatch:
+        short = mat & 1 == 0
+        row, other = company(h, th, at >> 1, at & 1 > 0, mth[short], src[short], mat[short] >> 32, mat[short] >> 1 & 0x7FFFFFFF)
+        first = np.flatnonzero(changes(row[None]))
+        pairs = np.empty(len(row), PAIR)
+        pairs["key"], pairs["step"] = h[other], (at[other] >> 1) - (at[row] >> 1)
+        lists = [pairs[a:b].tobytes() for a, b in itertools.pairwise([*first.tolist(), len(row)])]
+        k = row[first]
+        return pa.RecordBatch.from_arrays([pa.array(th[k]), *(pa.nulls(len(k), t) for t in types[1:7]), pa.array(h[k]), pa.array((at[k] >> 1).astype(np.int32)), pa.array(lists, pa.binary())], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the text that the last batch ended in
-        for batch in batches:
-            part = np.stack([batch.column(c).to_numpy() for c in ("th", "src", "at")])
-            if not part.shape[1]:
-                continue
-            if held and part[0, -1] == held[0][0, 0]:
-                held.append(part)
-                continue
-            last = int(np.searchsorted(part[0], part[0, -1]))
-            yield some(np.concatenate([*held, part[:, :last]], 1))
-            held = [part[:, last:]]
-        if held:
-            yield some(np.concatenate(held, 1))
+        for th, src, at, h, seen in whole(batches, ("th", "src", "at", "h", "seen")):
+            s, m = (seen > 0) & changes(np.stack([th, at, seen])), seen == 0
+            yield chained(th[m], src[m], at[m])
+            if s.any():
+                yield listed(h[s], th[s], at[s], th[m], src[m], at[m])
+
+    return dealt.mapInArrow(tidied(run), f"{CHAINS}, {LISTS}")
+
 
-    return dealt.mapInArrow(tidied(run), "th long, src long, a int, b int, sa int, sb int, anchors binary")
+def all_chains(docs: DataFrame) -> DataFrame:
+    """CHAINS of all texts, written; those of matches by pairs of seeds too."""
+    first = materialize(chain_table(matches(seed_table(docs))), "chains")
+    names = [c.split()[0] for c in CHAINS.split(", ")]
+    more = chain_table(pair_matches(first.where(F.col("h").isNotNull()))).select(names)
+    found = materialize(first.where(F.col("h").isNull()).select(names).unionByName(more), "chains")
+    discard(first)
+    return found
 
 
 def spans(requests: DataFrame, docs: DataFrame) -> DataFrame:
@@ -519,7 +648,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Passages (th, src, begin, end, src_begin, src_end, identity; texts by hash), and ``representatives``."""
     reps = materialize(representatives(docs), "texts")
-    found = materialize(chain_table(matches(seed_table(docs))), "chains")
+    found = all_chains(docs)
     floor_, ceil_ = (lambda c: (F.floor((F.col(c) - PAD) / STEP) * STEP).cast("int")), (lambda c: (F.ceil((F.col(c) + PAD) / STEP) * STEP).cast("int"))
     wide = found.withColumns({"lo": floor_("a"), "hi": ceil_("b"), "slo": floor_("sa"), "shi": ceil_("sb")})
     asked = wide.select("th", "lo", "hi").unionByName(wide.select(F.col("src").alias("th"), F.col("slo").alias("lo"), F.col("shi").alias("hi"))).distinct()
