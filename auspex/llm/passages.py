@@ -20,12 +20,18 @@
    Segments are chained: the best chain of segments that ascend in both, less a cost
    for gaps, comes from a Fenwick tree over the places in the source.  Chains are taken
    from the best on until no segment is left.  A text's sources come in the order of
-   the seeds it shares with them; one that only has what dense chains with earlier
-   sources have already is passed over.
+   the seeds it shares with them; one that only has what sure chains with earlier
+   sources have already is passed over.  A chain is sure if its segments alone make a
+   passage: it is a result even if its extension would cost it its identity.
 4. A chain is aligned: the words between its segments by longest common subsequence,
    its ends are extended over matching words.  Passages of ``MIN_WORDS`` words and
    ``IDENTITY`` and more are results, but for those inside of another one of both texts.
 
+5. What 2 passes over is compared as well (``rest_matches``): a busy seed and its company
+   that lie in no passage of their text are compared with those of all texts of smaller
+   hash, however many, by the words around them; those that allow a passage are chained
+   and aligned.  Of sources whose words there are the same, one stands for the others.
+
 Very frequent (heavy) seeds aren't dealt by their hash: they are found among the texts
 whose hash is in the lowest ``LOW``-th part, which have their sources as well, since
 a source is a text of the smallest hash; their matches are made where the texts are
@@ -49,6 +55,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +78,12 @@ BLOCK = 1 << 20
 HEAVY, LOW, HEAVY_LEAST = 4096, 64, 16
 #: A chain is aligned from so many matches and words on.
 MIN_SEEDS, MIN_SPAN = 2, 8
-#: The share of a chain's words that lie in segments from which on it is dense: alignment will not refuse it.
-DENSE = 0.6
+#: Words on either side of a busy seed that are compared, and by how many a word may be moved there.
+SIDE, DRIFT = 40, 8
+#: Places of a busy seed that are compared in one go with as many others.
+PART = 2048
+#: Pairs of places that are compared at once.
+COMPARED = 4096
 #: What a word of a gap costs, in either text; a match is worth its new words.
 GAP_COST = 0.1
 #: Words around a chain that are fetched for its extension, and the steps of such a request.
@@ -211,7 +222,7 @@ def whole(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterat
         yield np.concatenate(held, 1)
 
 
-#: Hash of a seed and its distance.
+#: Hash of a seed, its distance and (lowest bit) whether the busy seed's source lacks it there.
 PAIR = np.dtype([("key", "<i8"), ("step", "<i4")])
 #: A match has no h; a place of a seed that several texts have, no src.
 MATCHES = "h long, th long, src long, at long"
@@ -251,8 +262,8 @@ def matches(seeds_: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidied(run), MATCHES)
 
 
-def company(h: np.ndarray, th: np.ndarray, pos: np.ndarray, busy: np.ndarray, mth: np.ndarray, src: np.ndarray, mpos: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(busy row, row of its company) of rows sorted by text and place, without pairs that the busy row's source has as well; the m are matches of short seeds."""
+def company(h: np.ndarray, th: np.ndarray, pos: np.ndarray, busy: np.ndarray, mth: np.ndarray, src: np.ndarray, mpos: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(busy row, row of its company, whether the busy row's source lacks the pair) of rows sorted by text and place; the m are matches of short seeds."""
     texts, text = np.unique(th, return_inverse=True)
     place = text << 32 | pos
     head = np.flatnonzero(busy)
@@ -274,7 +285,7 @@ def company(h: np.ndarray, th: np.ndarray, pos: np.ndarray, busy: np.ndarray, mt
         at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
         step = spos[at] - own_pos[a]
         alone = (own[a] < 0) | (key[at] != asked) | (step <= 0) | (step > NEAR)
-    return a[alone], b[alone]
+    return a, b, alone
 
 
 def pairs_of(th: np.ndarray, row: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -332,7 +343,9 @@ def listed_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("company").to_pylist()
         of = pa.array(np.repeat(np.arange(len(lists)), np.array([len(x) // 12 for x in lists], np.int64)))
         company = np.frombuffer(b"".join(lists), PAIR)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("h", "th", "at")), pa.array(company["key"]), pa.array(company["step"])], ["h", "th", "at", "key", "step"])
+        alone = company["step"] & 1 > 0
+        company, of = company[alone], of.filter(pa.array(alone))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("h", "th", "at")), pa.array(company["key"]), pa.array(company["step"] >> 1)], ["h", "th", "at", "key", "step"])
 
 
 def pair_matches(lists: DataFrame) -> DataFrame:
@@ -368,6 +381,175 @@ def pair_matches(lists: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidied(run), MATCHES)
 
 
+def word_bytes(docs: DataFrame) -> DataFrame:
+    """th and words (a byte from 1 on for each) of each text; not each text once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for th, texts in new_texts(batches):
+            w = W.find_words(texts)
+            data = np.maximum(W.mix64(w.hashes()) >> np.uint64(56), 1).astype(np.uint8)
+            k = np.flatnonzero(np.diff(w.first) >= MIN_WORDS)
+            words = [data[w.first[i] : w.first[i + 1]].tobytes() for i in k.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(th[k]), pa.array(words, pa.binary())], ["th", "words"])
+
+    return hashed_texts(docs).mapInArrow(tidied(run), "th long, words binary")
+
+
+def around(words: bytes, places: list[int]) -> list[bytes]:
+    """The words up to SIDE + DRIFT before and behind each place, zeros where the text has none."""
+    side = SIDE + DRIFT
+    padded = bytes(side) + words + bytes(side)
+    return [padded[p : p + 2 * side] for p in places]
+
+
+def passable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words around pairs of places (columns of bytes) of ``b`` that ``a`` has, whether they allow a passage there, and make one for sure.
+
+    A word of ``b`` that ``a`` lacks within DRIFT words of its place is missed; a passage of
+    MIN_WORDS words and more that has the place must miss no more than its identity allows.
+    """
+    words = b[DRIFT:-DRIFT]
+    hit, equal = np.zeros(words.shape, bool), np.empty(words.shape, bool)
+    for d in range(2 * DRIFT + 1):
+        hit |= np.equal(a[d : d + 2 * SIDE], words, out=equal)
+    hit &= words > 0
+    # words that don't have enough of the others anywhere are left out first
+    some = np.flatnonzero(np.add.reduce(hit.view(np.uint8), 0, dtype=np.uint8) >= round(IDENTITY * MIN_WORDS))
+    allowed, certain = np.zeros((2, words.shape[1]), bool)
+    if not len(some):
+        return hit, allowed, certain
+    own = words[:, some]
+    # in fifths of a word: what n words allow less what they miss
+    worth = round(5 * (1 - IDENTITY)) - 5 * (~hit[:, some]).astype(np.int16)
+    zero = np.zeros((1, len(some)), np.int16)
+    right = np.concatenate([zero, np.cumsum(worth[SIDE:], 0, dtype=np.int16)])
+    left = np.concatenate([zero, np.cumsum(worth[:SIDE][::-1], 0, dtype=np.int16)])
+    best = np.maximum.accumulate(right[::-1], 0)[::-1]  # of so many words and more on the right
+    for n in range(SIDE + 1):
+        allowed[some] |= left[n] + best[min(SIDE, max(K, MIN_WORDS - n))] >= 0
+    same = np.concatenate([zero, np.cumsum((a[DRIFT:-DRIFT, some] == own) & (own > 0), 0, dtype=np.int16)])
+    certain[some] = allowed[some] & ((same[MIN_WORDS:] - same[:-MIN_WORDS])[K : SIDE + 1].max(0) >= MIN_WORDS - 2)
+    return hit, allowed, certain
+
+
+def fewest(b: np.ndarray, hit: np.ndarray, certain: np.ndarray) -> np.ndarray:
+    """Which pairs stay: of those of one ``b`` (in a row), what has less than MIN_SPAN words beyond those of a certain one goes."""
+    stays = np.ones(len(b), bool)
+    for lo, hi in itertools.pairwise([*np.flatnonzero(changes(b[None])).tolist(), len(b)]):
+        left = np.arange(lo, hi)
+        while len(left) > 1 and certain[left].any():
+            best = left[np.argmax(np.where(certain[left], hit[:, left].sum(0), -1))]
+            left = left[left != best]
+            gone = (hit[:, left] & ~hit[:, [best]]).sum(0) < MIN_SPAN
+            stays[left[gone]] = False
+            left = left[~gone]
+    return stays
+
+
+def rest_pairs(th: np.ndarray, part: np.ndarray, closed: np.ndarray, prior: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(open place, place of a text of smaller hash) of a busy seed that may lie in one passage; places are sorted by text.
+
+    Those that the same busy seed precedes at once (``prior``) are left out: they are compared
+    there.  If there are two parts, only places of different parts are compared.
+    """
+    open_ = np.flatnonzero(~closed)
+    n = np.searchsorted(th, th[open_])
+    two = part.min() != part.max()
+    total = np.cumsum(n)
+    lo = 0
+    while lo < len(open_):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK // 4, "right")))
+        b = np.repeat(open_[lo:hi], n[lo:hi])
+        a = np.arange(len(b)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+        asked = (prior[a] != prior[b]) | (prior[a] == 0)
+        if two:
+            asked &= part[a] != part[b]
+        a, b = a[asked], b[asked]
+        for k in range(0, len(a), COMPARED):
+            x, y = b[k : k + COMPARED], a[k : k + COMPARED]
+            hit, allowed, certain = passable(np.take(words, y, 1), np.take(words, x, 1))
+            if allowed.any():
+                k = np.flatnonzero(allowed)
+                k = k[fewest(x[k], hit[:, k], certain[k])]
+                yield x[k], y[k]
+        lo = hi
+
+
+def rest_matches(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """MATCHES of places of a busy seed that no passage ``found`` has with its company, from rows with LISTS; see ``rest_pairs``.
+
+    The places of a frequent seed are dealt into parts of about PART, and each two parts meet in one group.
+    """
+    have = found.groupBy("th").agg(F.array_distinct(F.collect_list(F.struct("begin", "end"))).alias("have"))
+    inside = lambda at, reach: F.coalesce(F.exists("have", lambda p: (p["begin"] <= at) & (p["end"] >= reach)), F.lit(False))
+    slim = lists.join(have, "th", "left").withColumn("closed", inside(F.col("at"), F.col("reach")))
+    before = inside(F.col("at") - F.col("prior").bitwiseAND(F.lit(15)), F.col("before"))
+    slim = slim.withColumn("prior", F.when(before == F.col("closed"), F.col("prior")).otherwise(0)).select("h", "th", "at", "company", "around", "closed", "prior")
+    slim = slim.join(slim.where("not closed").select("h").distinct(), "h", "left_semi")
+    big = slim.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    dealt = slim.join(F.broadcast(big), "h", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "th"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
+    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "th", "at")
+
+    def of_group(rows: pa.Table) -> Iterator[np.ndarray]:
+        th, at, part, closed, prior = (rows.column(c).to_numpy().astype(np.int64) for c in ("th", "at", "part", "closed", "prior"))
+        if closed.all():
+            return
+        words = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(len(th), -1).T)
+        known: dict[int, dict[int, int]] = {}
+
+        def steps(k: int) -> dict[int, int]:
+            """The nearest place of each of the company."""
+            if k not in known:
+                pairs = np.frombuffer(rows.column("company")[k].as_py(), PAIR)[::-1]
+                known[k] = dict(zip(pairs["key"].tolist(), (pairs["step"] >> 1).tolist(), strict=True))
+            return known[k]
+
+        for a, b in rest_pairs(th, part, closed > 0, prior, words):
+            found = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = steps(x), steps(y)
+                shared = p.keys() & q.keys()
+                if shared:
+                    found += [(x, y, 0, 0), *((x, y, p[k], q[k]) for k in shared)]
+            if found:
+                x, y, p, q = np.array(found, np.int64).T
+                yield np.stack([th[x], th[y], (at[x] + p) << 32 | (at[y] + q) << 1])
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h", "i", "j")])
+            edges = np.flatnonzero(changes(key)).tolist()
+            if not edges:
+                continue
+            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("h", "i", "j")):
+                yield pa.Table.from_batches(held)
+                held = []
+            for lo, hi in itertools.pairwise([*edges, batch.num_rows]):
+                held.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield pa.Table.from_batches(held)
+                    held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for group in groups(batches):
+            for rows in of_group(group) if group.num_rows > 1 else ():
+                waiting.append(rows)
+                if len(waiting) >= 256 or rows.shape[1] >= BLOCK // 8:
+                    yield match_rows(*np.concatenate(waiting, 1))
+                    waiting = []
+        if waiting:
+            yield match_rows(*np.concatenate(waiting, 1))
+
+    return dealt.mapInArrow(tidied(run), MATCHES)
+
+
 def segments(group: np.ndarray, pos: np.ndarray, spos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """Group, places, words and seeds of the matches (of ``size`` words) that overlap on a diagonal of their group, by group and place."""
     if not len(pos):
@@ -429,9 +611,18 @@ def chains(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sure(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the segments of a chain are a passage by themselves."""
+    x_end, y_end = np.maximum.accumulate(x + size), np.maximum.accumulate(y + size)
+    over = np.zeros(len(x), np.int64)  # words of a segment that those before have
+    over[1:] = np.maximum(0, np.maximum(x_end[:-1] - x[1:], y_end[:-1] - y[1:]))
+    least, most = sorted((int(x_end[-1] - x[0]), int(y_end[-1] - y[0])))
+    return least >= MIN_WORDS and int(np.maximum(0, size - over).sum()) >= IDENTITY * most
+
+
 def text_chains(groups: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, size: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(begin of its group, indices) of the chains of a text; a group has the segments of one source."""
-    covered: list[tuple[int, int]] = []  # disjoint intervals of dense chains
+    covered: list[tuple[int, int]] = []  # disjoint intervals of sure chains
 
     def open_words(a: int, b: int) -> int:
         return b - a - sum(max(0, min(b, d) - max(a, c)) for c, d in covered)
@@ -445,22 +636,26 @@ def text_chains(groups: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, siz
             if n[c].sum() < MIN_SEEDS or end - begin < MIN_SPAN or open_words(begin, end) < MIN_SPAN:
                 continue
             yield a, c
-            if end - begin >= MIN_WORDS and size[c].sum() >= DENSE * max(end - begin, int((y[c] + size[c]).max() - y[c[0]])):
+            if sure(x[c], y[c], size[c]):
                 inside = [(p, q) for p, q in covered if q >= begin and p <= end]
                 covered = [i for i in covered if i not in inside] + [(min([begin, *(p for p, _ in inside)]), max([end, *(q for _, q in inside)]))]
 
 
 #: A chain: th, src, first and last place in both, and its segments as triples (places and words) of int32.
 CHAINS = "th long, src long, a int, b int, sa int, sb int, anchors binary"
-#: A busy seed's company: h, its place at, and PAIRs of the company.
-LISTS = "h long, at int, company binary"
+#: A busy seed's company: h, its place at, PAIRs of the company, the words around it, the end of
+#: the company, and the busy seed that it follows at once with its distance, or 0, and the end of that one's company.
+LISTS = "h long, at int, company binary, around binary, reach int, prior long, before int"
 
 
-def chain_table(found: DataFrame) -> DataFrame:
-    """CHAINS of each text, and rows with LISTS and th, from its MATCHES."""
-    dealt = found.withColumn("seen", F.col("src").isNull().cast("int")).repartition("th").sortWithinPartitions("th", "src", "at")
-    names = ["th", "src", "a", "b", "sa", "sb", "anchors", "h", "at", "company"]
-    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+def chain_table(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """CHAINS of each text, and rows with LISTS and th, from its MATCHES and its ``word_bytes``."""
+    rows = found.withColumn("words", F.lit(None).cast("binary"))
+    if texts is not None:
+        rows = rows.unionByName(texts.withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
+    dealt = rows.withColumn("seen", F.col("src").isNull().cast("int")).repartition("th").sortWithinPartitions("th", "src", "at")
+    names = ["th", "src", "a", "b", "sa", "sb", "anchors", "h", "at", "company", "around", "reach", "prior", "before"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32()]
 
     def chained(th: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         """Of whole texts."""
@@ -478,34 +673,57 @@ def chain_table(found: DataFrame) -> DataFrame:
                 rows.append((int(th[of]), int(src[of]), int(x[c[0]]), int((x[c] + size[c]).max()), int(y[c[0]]), int((y[c] + size[c]).max()), np.stack([x[c], y[c], size[c]], 1).astype(np.int32).tobytes()))
         return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], types[k]) for k in range(7)), *(pa.nulls(len(rows), t) for t in types[7:])], names)
 
-    def listed(h: np.ndarray, th: np.ndarray, at: np.ndarray, mth: np.ndarray, src: np.ndarray, mat: np.ndarray) -> pa.RecordBatch:
+    def listed(h: np.ndarray, th: np.ndarray, at: np.ndarray, mth: np.ndarray, src: np.ndarray, mat: np.ndarray, words: dict[int, bytes]) -> pa.RecordBatch:
         short = mat & 1 == 0
-        row, other = company(h, th, at >> 1, at & 1 > 0, mth[short], src[short], mat[short] >> 32, mat[short] >> 1 & 0x7FFFFFFF)
+        pos, busy = at >> 1, at & 1 > 0
+        row, other, alone = company(h, th, pos, busy, mth[short], src[short], mat[short] >> 32, mat[short] >> 1 & 0x7FFFFFFF)
+        reach = pos + K  # end of the company
+        np.maximum.at(reach, row, pos[other] + K)
+        prior, before = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        step = np.diff(np.unique(th, return_inverse=True)[1] << 32 | pos)
+        after = np.flatnonzero((step <= K) & (step > 0) & busy[:-1] & busy[1:] & (h[:-1] != h[1:])) + 1
+        prior[after], before[after] = h[after - 1] & ~np.int64(15) | step[after - 1], reach[after - 1]
         first = np.flatnonzero(changes(row[None]))
         pairs = np.empty(len(row), PAIR)
-        pairs["key"], pairs["step"] = h[other], (at[other] >> 1) - (at[row] >> 1)
+        pairs["key"], pairs["step"] = h[other], (pos[other] - pos[row]) << 1 | alone
         lists = [pairs[a:b].tobytes() for a, b in itertools.pairwise([*first.tolist(), len(row)])]
         k = row[first]
-        return pa.RecordBatch.from_arrays([pa.array(th[k]), *(pa.nulls(len(k), t) for t in types[1:7]), pa.array(h[k]), pa.array((at[k] >> 1).astype(np.int32)), pa.array(lists, pa.binary())], names)
+        near = [x for a, b in itertools.pairwise([*np.flatnonzero(changes(th[k][None])).tolist(), len(k)]) for x in around(words[int(th[k[a]])], pos[k[a:b]].tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(th[k]), *(pa.nulls(len(k), t) for t in types[1:7]), pa.array(h[k]), pa.array(pos[k].astype(np.int32)), pa.array(lists, pa.binary()), pa.array(near, pa.binary())]
+            + [pa.array(reach[k].astype(np.int32)), pa.array(prior[k]), pa.array(before[k].astype(np.int32))],
+            names,
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for th, src, at, h, seen in whole(batches, ("th", "src", "at", "h", "seen")):
+        words: dict[int, bytes] = {}  # of the texts that are held
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column("words").is_valid()
+                texts_ = batch.filter(known)
+                words.update(zip(texts_.column("th").to_pylist(), texts_.column("words").to_pylist(), strict=True))
+                yield batch.filter(pc.invert(known))
+
+        for th, src, at, h, seen in whole(noted(), ("th", "src", "at", "h", "seen")):
             s, m = (seen > 0) & changes(np.stack([th, at, seen])), seen == 0
             yield chained(th[m], src[m], at[m])
             if s.any():
-                yield listed(h[s], th[s], at[s], th[m], src[m], at[m])
+                yield listed(h[s], th[s], at[s], th[m], src[m], at[m], words)
+            for t in [t for t in words if t <= th[-1]]:
+                del words[t]
 
     return dealt.mapInArrow(tidied(run), f"{CHAINS}, {LISTS}")
 
 
-def all_chains(docs: DataFrame) -> DataFrame:
-    """CHAINS of all texts, written; those of matches by pairs of seeds too."""
-    first = materialize(chain_table(matches(seed_table(docs))), "chains")
-    names = [c.split()[0] for c in CHAINS.split(", ")]
-    more = chain_table(pair_matches(first.where(F.col("h").isNotNull()))).select(names)
-    found = materialize(first.where(F.col("h").isNull()).select(names).unionByName(more), "chains")
-    discard(first)
-    return found
+CHAIN_NAMES = [c.split()[0] for c in CHAINS.split(", ")]
+
+
+def all_chains(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CHAINS of all texts, those of matches by pairs of seeds too, and the table with the rows with LISTS; both written."""
+    first = materialize(chain_table(matches(seed_table(docs)), word_bytes(docs)), "chains")
+    more = chain_table(pair_matches(first.where(F.col("h").isNotNull()))).select(CHAIN_NAMES)
+    return materialize(first.where(F.col("h").isNull()).select(CHAIN_NAMES).unionByName(more), "chains"), first
 
 
 def spans(requests: DataFrame, docs: DataFrame) -> DataFrame:
@@ -580,10 +798,8 @@ def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> tuple[int, int, int, int, int]:
     """Begin and end in a and in b of the aligned chain, and its matching words."""
-    x, y, _ = anchors[0].tolist()
-    left, sleft, matched = extension(a[:x][::-1], b[:y][::-1])
-    begin, sbegin = x - left, y - sleft
-    x_end, y_end = x, y
+    begin, sbegin, _ = anchors[0].tolist()
+    x_end, y_end, matched = begin, sbegin, 0
     for x, y, n in anchors.tolist():
         over = max(0, x_end - x, y_end - y)  # words of it that the one before has
         x, y, n = x + over, y + over, n - over
@@ -591,8 +807,12 @@ def align(a: np.ndarray, b: np.ndarray, anchors: np.ndarray) -> tuple[int, int,
             continue
         matched += common(a[x_end:x], b[y_end:y]) + n
         x_end, y_end = x + n, y + n
-    right, sright, more = extension(a[x_end:], b[y_end:])
-    return int(begin), int(x_end + right), int(sbegin), int(y_end + sright), matched + more
+    left, sleft, before = extension(a[:begin][::-1], b[:sbegin][::-1])
+    right, sright, after = extension(a[x_end:], b[y_end:])
+    least, most = sorted((x_end - begin, y_end - sbegin))
+    if least >= MIN_WORDS and matched >= IDENTITY * most and matched + before + after < IDENTITY * max(x_end - begin + left + right, y_end - sbegin + sleft + sright):
+        return int(begin), int(x_end), int(sbegin), int(y_end), matched  # its extension would cost it its identity
+    return int(begin - left), int(x_end + right), int(sbegin - sleft), int(y_end + sright), matched + before + after
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
@@ -645,10 +865,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     return grouped.select("th", "rep.doc_id", "rep.row", F.when(F.col("one"), F.col("n")).otherwise(0).alias("n"))
 
 
-def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Passages (th, src, begin, end, src_begin, src_end, identity; texts by hash), and ``representatives``."""
-    reps = materialize(representatives(docs), "texts")
-    found = all_chains(docs)
+def passages_of(found: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Passages of CHAINS, written."""
     floor_, ceil_ = (lambda c: (F.floor((F.col(c) - PAD) / STEP) * STEP).cast("int")), (lambda c: (F.ceil((F.col(c) + PAD) / STEP) * STEP).cast("int"))
     wide = found.withColumns({"lo": floor_("a"), "hi": ceil_("b"), "slo": floor_("sa"), "shi": ceil_("sb")})
     asked = wide.select("th", "lo", "hi").unionByName(wide.select(F.col("src").alias("th"), F.col("slo").alias("lo"), F.col("shi").alias("hi"))).distinct()
@@ -656,7 +874,18 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = words.select(F.col("th").alias("src"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), F.col("words").alias("swords"))
     result = materialize(outermost(aligned(wide.join(words, ["th", "lo", "hi"]).join(source, ["src", "slo", "shi"]))), "passages")
     discard(found, words)
-    return result, reps
+    return result
+
+
+def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Passages (th, src, begin, end, src_begin, src_end, identity; texts by hash), and ``representatives``."""
+    reps = materialize(representatives(docs), "texts")
+    found, lists = all_chains(docs)
+    result = passages_of(found, reps, docs)
+    rest = materialize(chain_table(rest_matches(lists.where(F.col("h").isNotNull()), result)).select(CHAIN_NAMES), "chains")
+    discard(lists)
+    more = passages_of(rest, reps, docs)
+    return outermost(result.unionByName(more)), reps
 
 
 N_WORDS = r"[^\x20\x09-\x0D]+"

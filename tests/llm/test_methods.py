@@ -200,6 +200,40 @@ def test_passages_of_busy_pieces(spark):
         assert sum(p in got for p in wanted) >= 0.9 * len(wanted)
 
 
+def test_passages_whose_seeds_a_common_source_has(spark):
+    """All seeds of a passage of two texts are those of two pieces that 12 other texts quote at the same distance."""
+    rng = random.Random(21)
+    texts: list[str] = []
+    pairs = []
+    for _ in range(8):
+        one, two, gap, tail = words(rng, 10), words(rng, 10), words(rng, 10), words(rng, 12)
+        other = [[w if k % 4 else words(rng, 1)[0] for k, w in enumerate(x)] for x in (gap, tail)]
+        texts.append(" ".join(words(rng, 50) + one + gap + two + tail + words(rng, 50)))
+        texts.append(" ".join(words(rng, 60) + one + other[0] + two + other[1] + words(rng, 40)))
+        pairs.append((len(texts) - 2, len(texts) - 1))
+        texts += [" ".join(words(rng, 50) + one + words(rng, 10) + two + words(rng, 50)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    found, reps = passages.repeated_passages(docs)
+    ids = reps.select("th", "doc_id")
+    met = found.join(ids, "th").join(ids.select(F.col("th").alias("src"), F.col("doc_id").alias("source")), "src").select("doc_id", "source").collect()
+    assert {tuple(sorted(r)) for r in met} >= set(pairs)
+
+
+def test_parts_of_a_frequent_seed_meet(spark, monkeypatch):
+    """However many texts have a seed, an open place is compared with those of all texts of smaller hash."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(passages, "COMPARED", 64)
+    monkeypatch.setattr(passages, "BLOCK", 256)
+    n, side = 300, passages.SIDE + passages.DRIFT
+    words_ = rng.integers(1, 256, (2 * side, n)).astype(np.uint8)
+    words_[side : side + 10] = 7  # the seed's own words
+    words_[:, 250] = words_[:, 40]
+    words_[:, 260] = words_[:, 120]
+    closed, prior = np.arange(n) == 260, np.zeros(n, np.int64)
+    got = lambda part: {(int(b), int(a)) for x, y in passages.rest_pairs(np.arange(n), part, closed, prior, words_) for b, a in zip(x, y, strict=True)}
+    assert got(np.zeros(n, np.int64)) == {(250, 40)} == got((np.arange(n) < 100).astype(np.int64)) and not got((np.arange(n) % 100 < 5).astype(np.int64))
+
+
 def test_each_shared_pair_of_seeds_has_a_source(monkeypatch):
     monkeypatch.setattr(passages, "BLOCK", 50)
     rng = np.random.default_rng(3)
