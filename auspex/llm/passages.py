@@ -51,6 +51,7 @@ whatever their names.
 from __future__ import annotations
 
 import itertools
+import operator
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -58,10 +59,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auspex.llm import words as W
 from auspex.llm.rows import identity, own_names, tidied
-from auspex.sources.shared import discard, join_keyed, materialize
+from auspex.sources.shared import discard, join_keyed, materialize, swept
 
 K, WINDOW = 5, 4
 MIN_WORDS = 40
@@ -80,8 +82,14 @@ HEAVY, LOW, HEAVY_LEAST = 4096, 64, 16
 MIN_SEEDS, MIN_SPAN = 2, 8
 #: Words on either side of a busy seed that are compared, and by how many a word may be moved there.
 SIDE, DRIFT = 40, 8
+#: Same words at both ends of a passage that is certain.
+ENDS = 4
 #: Places of a busy seed that are compared in one go with as many others.
-PART = 2048
+PART = 32768
+#: Of so many pairs of places, all are compared; of more, those with PAIRED word pairs in common beside COMMON words around the seed that many have.
+FEW, COMMON, PAIRED = 1 << 13, 20, 2
+#: The most frequent word pairs around a place that may be among COMMON words.
+FREQUENT = 32
 #: Pairs of places that are compared at once.
 COMPARED = 4096
 #: What a word of a gap costs, in either text; a match is worth its new words.
@@ -89,6 +97,7 @@ GAP_COST = 0.1
 #: Words around a chain that are fetched for its extension, and the steps of such a request.
 PAD, STEP = 40, 32
 MISMATCH, DROP = 1.5, 6.0
+FALLEN = int(DROP / MISMATCH) + 1
 #: Words that an extension may skip in either text.
 SKIPS = ((1, 0), (0, 1), (2, 0), (0, 2), (3, 0), (0, 3), (2, 1), (1, 2))
 
@@ -145,8 +154,8 @@ def hashed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("th"), "text")
 
 
-def heavy_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, source and place there of the heavy seeds, sorted by hash; HEAVY at most."""
+def heavy_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hash, source and place there of the heavy seeds, sorted by hash; HEAVY at most; and about how many places all seeds have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, texts in new_texts(batches):
@@ -155,32 +164,70 @@ def heavy_seeds(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     low = hashed_texts(docs).where(F.col("th") < -(2**63) + 2**64 // LOW)
     found = materialize(low.mapInArrow(tidied(run), "h long, th long, pos int").groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("th", "pos")).alias("s")), "low-seeds")
-    least = max(HEAVY_LEAST, (found.agg(F.sum("n")).first()[0] or 0) / HEAVY)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    least = max(HEAVY_LEAST, total / HEAVY)
     rows = sorted((r["h"], r["s"]["th"], r["s"]["pos"]) for r in found.where(F.col("n") >= least).collect())
     discard(found)
-    return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
+    return (*(np.array([r[k] for r in rows], np.int64) for k in range(3)), LOW * total)
 
 
-#: src and spos for heavy seeds only.
-SEEDS = "h long, th long, pos int, src long, spos int"
+#: Hash, text and place of the seeds of a slice of texts in one bucket: int64, int64 and the two halves of int32; places of heavy seeds are inverted (below 0).
+SEEDS = "bucket int, h binary, th binary, low binary, high binary"
+#: Seeds in a bucket, about, and how many buckets there are at least and at most.
+BUCKET, BUCKETS = 1 << 17, (64, 4096)
 
 
-def seed_table(docs: DataFrame) -> DataFrame:
-    """SEEDS of all texts: those of heavy seeds with their source, others without."""
-    known, source, place = heavy_seeds(docs)
+def looked_up(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash among the ``known`` ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return at, known[at] == h
+
+
+def seed_table(docs: DataFrame, known: np.ndarray, total: int) -> DataFrame:
+    """SEEDS of all texts, about ``total``; the ``known`` ones are heavy and lie in any bucket, all others of a hash in one."""
+    buckets = np.uint64(min(BUCKETS[1], max(BUCKETS[0], total // BUCKET)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, texts in new_texts(batches):
             h, of, pos = seeds(texts)
-            th = th[of]
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.int64)
-            heavy = known[at] == h if len(known) else np.zeros(len(h), bool)
-            src, spos = (np.where(heavy, x[at], 0) if len(known) else np.zeros(len(h), np.int64) for x in (source, place))
-            yield pa.RecordBatch.from_pydict({"h": h, "th": th, "pos": pos, "src": pa.array(src, mask=~heavy), "spos": pa.array(spos.astype(np.int32), mask=~heavy)})
+            th, heavy = th[of], looked_up(h, known)[1]
+            bucket = (np.where(heavy, W.mix64(th.view(np.uint64) + pos.astype(np.uint64)), h.view(np.uint64) >> np.uint64(20)) % buckets).astype(np.int16)
+            order = np.argsort(bucket, kind="stable")
+            count = np.bincount(bucket)
+            some = np.flatnonzero(count)
+            at, pos = W.prefix(count[some]), np.where(heavy, ~pos, pos)[order]
+
+            def cut(x: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])  # noqa: B023
+
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(h[order]), cut(th[order]), cut(pos.astype(np.uint16)), cut((pos >> 16).astype(np.int16))], ["bucket", "h", "th", "low", "high"])
 
     return hashed_texts(docs).mapInArrow(tidied(run), SEEDS)
 
 
+def bucket_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hash, text and place (rows of an array) of the seeds of each bucket, sorted, each once; SEEDS come sorted by bucket."""
+
+    def joined(parts: list[pa.RecordBatch]) -> np.ndarray:
+        h, th, low, high = (np.frombuffer(b"".join(x for p in parts for x in p.column(c).to_pylist()), kind) for c, kind in (("h", np.int64), ("th", np.int64), ("low", np.uint16), ("high", np.int16)))
+        rows = np.stack([h, th, high.astype(np.int64) << 16 | low])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        return rows[:, changes(rows)]  # equal texts of several tasks once
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        for lo, hi in itertools.pairwise([*np.flatnonzero(changes(bucket[None])).tolist(), len(bucket)]):
+            if held and held[0].column("bucket")[0].as_py() != bucket[lo]:
+                yield joined(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield joined(held)
+
+
 def changes(x: np.ndarray) -> np.ndarray:
     """Which columns differ from the one before."""
     return np.append(np.ones(min(1, x.shape[1]), bool), (np.diff(x) != 0).any(0))
@@ -232,22 +279,25 @@ def match_rows(th: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.nulls(len(th), pa.int64()), pa.array(th), pa.array(src), pa.array(at)], ["h", "th", "src", "at"])
 
 
-def matches(seeds_: DataFrame) -> DataFrame:
+def matches(seeds_: DataFrame, heavy: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> DataFrame:
     """MATCHES: a text's k-mer and its place in a source of that seed; ``at`` has both places and whether the seed is a long one.
 
     And each place of a short seed that several texts have; ``at`` has the place and whether
     the seed is busy.  The rows of a seed come in a row and are matched once all are there;
-    heavy ones are matched already and pass through.
+    heavy ones (see ``heavy_seeds``) have their source wherever they are.
     """
-    key = F.when(F.col("src").isNull(), F.col("h")).otherwise(F.xxhash64("th", "pos"))
-    dealt = seeds_.withColumn("heavy", F.col("src").isNotNull().cast("int")).repartition(key).sortWithinPartitions("h", "th", "pos")
+    dealt = seeds_.repartition("bucket").sortWithinPartitions("bucket")
+    known, sources, places, _ = heavy
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole(batches, ("h", "th", "pos", "src", "spos", "heavy")):
-            h, th, pos, src, spos, heavy = part[:, changes(part[:3])]  # equal texts of several tasks once
-            done = heavy > 0
-            met = done & (src != th)
-            yield match_rows(th[met], src[met], pos[met] << 32 | spos[met] << 1 | h[met] & 1)
+        for h, th, pos in bucket_seeds(batches):
+            done = pos < 0
+            pos = np.where(done, ~pos, pos)
+            if done.any():
+                met = np.flatnonzero(done)
+                at = looked_up(h[met], known)[0]
+                met, at = met[sources[at] != th[met]], at[sources[at] != th[met]]
+                yield match_rows(th[met], sources[at], pos[met] << 32 | places[at] << 1 | h[met] & 1)
             busy = done.copy()
             seen = done & (h & 1 == 0)
             if not done.all():
@@ -382,12 +432,12 @@ def pair_matches(lists: DataFrame) -> DataFrame:
 
 
 def word_bytes(docs: DataFrame) -> DataFrame:
-    """th and words (a byte from 1 on for each) of each text; not each text once."""
+    """th and words (two bytes for each, a number from 1 on) of each text; not each text once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, texts in new_texts(batches):
             w = W.find_words(texts)
-            data = np.maximum(W.mix64(w.hashes()) >> np.uint64(56), 1).astype(np.uint8)
+            data = np.maximum(W.mix64(w.hashes()) >> np.uint64(48), 1).astype(np.uint16)
             k = np.flatnonzero(np.diff(w.first) >= MIN_WORDS)
             words = [data[w.first[i] : w.first[i + 1]].tobytes() for i in k.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(th[k]), pa.array(words, pa.binary())], ["th", "words"])
@@ -397,13 +447,13 @@ def word_bytes(docs: DataFrame) -> DataFrame:
 
 def around(words: bytes, places: list[int]) -> list[bytes]:
     """The words up to SIDE + DRIFT before and behind each place, zeros where the text has none."""
-    side = SIDE + DRIFT
+    side = 2 * (SIDE + DRIFT)
     padded = bytes(side) + words + bytes(side)
-    return [padded[p : p + 2 * side] for p in places]
+    return [padded[2 * p : 2 * p + 2 * side] for p in places]
 
 
 def passable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words around pairs of places (columns of bytes) of ``b`` that ``a`` has, whether they allow a passage there, and make one for sure.
+    """Words around pairs of places (columns of words) of ``b`` that ``a`` has, whether they allow a passage there, and make one for sure.
 
     A word of ``b`` that ``a`` lacks within DRIFT words of its place is missed; a passage of
     MIN_WORDS words and more that has the place must miss no more than its identity allows.
@@ -428,7 +478,10 @@ def passable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for n in range(SIDE + 1):
         allowed[some] |= left[n] + best[min(SIDE, max(K, MIN_WORDS - n))] >= 0
     same = np.concatenate([zero, np.cumsum((a[DRIFT:-DRIFT, some] == own) & (own > 0), 0, dtype=np.int16)])
-    certain[some] = allowed[some] & ((same[MIN_WORDS:] - same[:-MIN_WORDS])[K : SIDE + 1].max(0) >= MIN_WORDS - 2)
+    # an extension goes on behind two other words for ENDS same ones
+    ends = same[ENDS:] - same[:-ENDS] == ENDS
+    sure_ = ((same[MIN_WORDS:] - same[:-MIN_WORDS]) >= MIN_WORDS - 2) & ends[: -MIN_WORDS + ENDS] & ends[MIN_WORDS - ENDS :]
+    certain[some] = allowed[some] & sure_[K : SIDE + 1].any(0)
     return hit, allowed, certain
 
 
@@ -446,6 +499,77 @@ def fewest(b: np.ndarray, hit: np.ndarray, certain: np.ndarray) -> np.ndarray:
     return stays
 
 
+def rarer(freq: np.ndarray) -> np.ndarray:
+    """Which word pairs around places (columns, from SIDE words before on) are looked up: not those of the seed, nor the most frequent of all that make up COMMON words with it."""
+    kept, columns = freq > 0, np.arange(freq.shape[1])
+    kept[SIDE : SIDE + K - 1] = False
+    common = np.zeros((len(freq) + 1, freq.shape[1]), bool)
+    common[SIDE : SIDE + K] = True
+    left = np.full(freq.shape[1], COMMON - K)
+    for k in np.argsort(np.where(kept, -freq, 1), 0, kind="stable")[:FREQUENT]:
+        new = 2 - common[k, columns].astype(np.int64) - common[k + 1, columns]
+        goes = kept[k, columns] & (new <= left)
+        left -= np.where(goes, new, 0)
+        k, of = k[goes], columns[goes]
+        kept[k, of] = False
+        common[k, of] = common[k + 1, of] = True
+    return kept
+
+
+def near_pairs(b: np.ndarray, n: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of ``b``, one of the first ``n`` places) that may lie in one passage, by ``words`` around the places (columns), those of a ``b`` in a row.
+
+    A passage has MIN_WORDS words, of which no more than a fifth are missed, so it has words
+    beyond COMMON ones, and these aren't all single: an extension goes on for two words or
+    more only, and the misses are too few to part all others.  Its word pairs there are
+    looked up.  Where that isn't less work than all pairs of places, these are given.
+    """
+
+    def blocks(of: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+        """Ranges of the entries of ``count``, never cut within an ``of``, of about ``most`` in all."""
+        total = W.prefix(count)
+        edges = np.append(np.flatnonzero(changes(of[None])), len(of))
+        lo = 0
+        while lo < len(of):
+            hi = int(max(edges[np.searchsorted(edges, lo, "right")], edges[np.searchsorted(edges, np.searchsorted(total, total[lo] + most, "right") - 1, "right") - 1]))
+            yield lo, hi
+            lo = hi
+
+    def each(of: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(of, count), np.repeat(start - W.prefix(count)[:-1], count) + np.arange(count.sum())
+
+    def paired(columns: np.ndarray) -> np.ndarray:
+        """Two words in a row as one number, 0 if there are not two."""
+        first, second = columns[:-1].astype(np.int64), columns[1:]
+        return np.where((first > 0) & (second > 0), first << 16 | second, 0)
+
+    if n.sum() <= FEW:
+        yield each(b, np.zeros(len(b), np.int64), n)
+        return
+    # each word pair with the places that have it
+    codes = paired(words)
+    entries = (codes << 31 | np.arange(words.shape[1])).T.ravel()[codes.T.ravel() > 0]
+    entries.sort()
+    entries = entries[changes(entries[None])]
+    for k in range(0, len(b), COMPARED):
+        some, least = b[k : k + COMPARED], n[k : k + COMPARED]
+        codes = paired(words[DRIFT:-DRIFT, some])
+        start = np.searchsorted(entries, codes << 31)
+        count = np.searchsorted(entries, codes << 31 | least) - start
+        kept = rarer(np.where(codes > 0, count, 0))
+        dense = np.where(kept, count, 0).sum(0) > least * PAIRED
+        of, at = np.nonzero((kept & ~dense).T)
+        count, start = count[at, of], start[at, of]
+        for lo, hi in blocks(of, count, BLOCK):
+            x, y = each(of[lo:hi], start[lo:hi], count[lo:hi])
+            pair, times = np.unique(x << 31 | entries[y] & 0x7FFFFFFF, return_counts=True)
+            pair = pair[times >= PAIRED]
+            yield some[pair >> 31], pair & 0x7FFFFFFF
+        of = np.flatnonzero(dense)
+        for lo, hi in blocks(of, least[of], BLOCK // 4):
+            yield each(some[of[lo:hi]], np.zeros(hi - lo, np.int64), least[of[lo:hi]])
+
+
 def rest_pairs(th: np.ndarray, part: np.ndarray, closed: np.ndarray, prior: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(open place, place of a text of smaller hash) of a busy seed that may lie in one passage; places are sorted by text.
 
@@ -453,14 +577,8 @@ def rest_pairs(th: np.ndarray, part: np.ndarray, closed: np.ndarray, prior: np.n
     there.  If there are two parts, only places of different parts are compared.
     """
     open_ = np.flatnonzero(~closed)
-    n = np.searchsorted(th, th[open_])
     two = part.min() != part.max()
-    total = np.cumsum(n)
-    lo = 0
-    while lo < len(open_):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK // 4, "right")))
-        b = np.repeat(open_[lo:hi], n[lo:hi])
-        a = np.arange(len(b)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+    for b, a in near_pairs(open_, np.searchsorted(th, th[open_]), words):
         asked = (prior[a] != prior[b]) | (prior[a] == 0)
         if two:
             asked &= part[a] != part[b]
@@ -472,10 +590,31 @@ def rest_pairs(th: np.ndarray, part: np.ndarray, closed: np.ndarray, prior: np.n
                 k = np.flatnonzero(allowed)
                 k = k[fewest(x[k], hit[:, k], certain[k])]
                 yield x[k], y[k]
-        lo = hi
 
 
-def rest_matches(lists: DataFrame, found: DataFrame) -> DataFrame:
+def with_words(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """``places`` (of texts th) with ``around``: the words around each place ``at``."""
+    rows = places.withColumn("words", F.lit(None).cast("binary")).unionByName(word_bytes(docs).withColumn("at", F.lit(-1)), allowMissingColumns=True)
+    dealt, names = rows.repartition("th").sortWithinPartitions("th", "at"), places.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[int, bytes] = {}
+        for batch in batches:
+            known = batch.column("words").is_valid()
+            texts = batch.filter(known)
+            words.update(zip(texts.column("th").to_pylist(), texts.column("words").to_pylist(), strict=True))
+            asked = batch.filter(pc.invert(known))
+            th, at = (asked.column(c).to_numpy() for c in ("th", "at"))
+            edges = [*np.flatnonzero(changes(th[None])).tolist(), len(th)]
+            near = [x for a, b in itertools.pairwise(edges) for x in around(words[int(th[a])], at[a:b].tolist())]
+            yield pa.RecordBatch.from_arrays([*(asked.column(c) for c in names), pa.array(near, pa.binary())], [*names, "around"])
+            last = batch.column("th")[-1].as_py() if batch.num_rows else None
+            words = {t: w for t, w in words.items() if t == last or last is None}
+
+    return dealt.mapInArrow(tidied(run), T.StructType([*places.schema.fields, T.StructField("around", T.BinaryType())]))
+
+
+def rest_matches(lists: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """MATCHES of places of a busy seed that no passage ``found`` has with its company, from rows with LISTS; see ``rest_pairs``.
 
     The places of a frequent seed are dealt into parts of about PART, and each two parts meet in one group.
@@ -484,11 +623,11 @@ def rest_matches(lists: DataFrame, found: DataFrame) -> DataFrame:
     inside = lambda at, reach: F.coalesce(F.exists("have", lambda p: (p["begin"] <= at) & (p["end"] >= reach)), F.lit(False))
     slim = lists.join(have, "th", "left").withColumn("closed", inside(F.col("at"), F.col("reach")))
     before = inside(F.col("at") - F.col("prior").bitwiseAND(F.lit(15)), F.col("before"))
-    slim = slim.withColumn("prior", F.when(before == F.col("closed"), F.col("prior")).otherwise(0)).select("h", "th", "at", "company", "around", "closed", "prior")
+    slim = slim.withColumn("prior", F.when(before == F.col("closed"), F.col("prior")).otherwise(0)).select("h", "th", "at", "company", "closed", "prior")
     slim = slim.join(slim.where("not closed").select("h").distinct(), "h", "left_semi")
     big = slim.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    dealt = slim.join(F.broadcast(big), "h", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "th"), parts).cast("int"))
+    dealt = with_words(slim, docs).join(F.broadcast(big), "h", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "th"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
     dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "th", "at")
@@ -497,7 +636,7 @@ def rest_matches(lists: DataFrame, found: DataFrame) -> DataFrame:
         th, at, part, closed, prior = (rows.column(c).to_numpy().astype(np.int64) for c in ("th", "at", "part", "closed", "prior"))
         if closed.all():
             return
-        words = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(len(th), -1).T)
+        words = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint16).reshape(len(th), -1).T)
         known: dict[int, dict[int, int]] = {}
 
         def steps(k: int) -> dict[int, int]:
@@ -643,19 +782,16 @@ def text_chains(groups: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, siz
 
 #: A chain: th, src, first and last place in both, and its segments as triples (places and words) of int32.
 CHAINS = "th long, src long, a int, b int, sa int, sb int, anchors binary"
-#: A busy seed's company: h, its place at, PAIRs of the company, the words around it, the end of
-#: the company, and the busy seed that it follows at once with its distance, or 0, and the end of that one's company.
-LISTS = "h long, at int, company binary, around binary, reach int, prior long, before int"
+#: A busy seed's company: h, its place at, PAIRs of the company, the end of the company,
+#: and the busy seed that it follows at once with its distance, or 0, and the end of that one's company.
+LISTS = "h long, at int, company binary, reach int, prior long, before int"
 
 
-def chain_table(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """CHAINS of each text, and rows with LISTS and th, from its MATCHES and its ``word_bytes``."""
-    rows = found.withColumn("words", F.lit(None).cast("binary"))
-    if texts is not None:
-        rows = rows.unionByName(texts.withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
-    dealt = rows.withColumn("seen", F.col("src").isNull().cast("int")).repartition("th").sortWithinPartitions("th", "src", "at")
-    names = ["th", "src", "a", "b", "sa", "sb", "anchors", "h", "at", "company", "around", "reach", "prior", "before"]
-    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32()]
+def chain_table(found: DataFrame) -> DataFrame:
+    """CHAINS of each text, and rows with LISTS and th, from its MATCHES."""
+    dealt = found.withColumn("seen", F.col("src").isNull().cast("int")).repartition("th").sortWithinPartitions("th", "src", "at")
+    names = ["th", "src", "a", "b", "sa", "sb", "anchors", "h", "at", "company", "reach", "prior", "before"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32()]
 
     def chained(th: np.ndarray, src: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         """Of whole texts."""
@@ -673,7 +809,7 @@ def chain_table(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
                 rows.append((int(th[of]), int(src[of]), int(x[c[0]]), int((x[c] + size[c]).max()), int(y[c[0]]), int((y[c] + size[c]).max()), np.stack([x[c], y[c], size[c]], 1).astype(np.int32).tobytes()))
         return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], types[k]) for k in range(7)), *(pa.nulls(len(rows), t) for t in types[7:])], names)
 
-    def listed(h: np.ndarray, th: np.ndarray, at: np.ndarray, mth: np.ndarray, src: np.ndarray, mat: np.ndarray, words: dict[int, bytes]) -> pa.RecordBatch:
+    def listed(h: np.ndarray, th: np.ndarray, at: np.ndarray, mth: np.ndarray, src: np.ndarray, mat: np.ndarray) -> pa.RecordBatch:
         short = mat & 1 == 0
         pos, busy = at >> 1, at & 1 > 0
         row, other, alone = company(h, th, pos, busy, mth[short], src[short], mat[short] >> 32, mat[short] >> 1 & 0x7FFFFFFF)
@@ -688,30 +824,18 @@ def chain_table(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         pairs["key"], pairs["step"] = h[other], (pos[other] - pos[row]) << 1 | alone
         lists = [pairs[a:b].tobytes() for a, b in itertools.pairwise([*first.tolist(), len(row)])]
         k = row[first]
-        near = [x for a, b in itertools.pairwise([*np.flatnonzero(changes(th[k][None])).tolist(), len(k)]) for x in around(words[int(th[k[a]])], pos[k[a:b]].tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(th[k]), *(pa.nulls(len(k), t) for t in types[1:7]), pa.array(h[k]), pa.array(pos[k].astype(np.int32)), pa.array(lists, pa.binary()), pa.array(near, pa.binary())]
+            [pa.array(th[k]), *(pa.nulls(len(k), t) for t in types[1:7]), pa.array(h[k]), pa.array(pos[k].astype(np.int32)), pa.array(lists, pa.binary())]
             + [pa.array(reach[k].astype(np.int32)), pa.array(prior[k]), pa.array(before[k].astype(np.int32))],
             names,
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, bytes] = {}  # of the texts that are held
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                known = batch.column("words").is_valid()
-                texts_ = batch.filter(known)
-                words.update(zip(texts_.column("th").to_pylist(), texts_.column("words").to_pylist(), strict=True))
-                yield batch.filter(pc.invert(known))
-
-        for th, src, at, h, seen in whole(noted(), ("th", "src", "at", "h", "seen")):
+        for th, src, at, h, seen in whole(batches, ("th", "src", "at", "h", "seen")):
             s, m = (seen > 0) & changes(np.stack([th, at, seen])), seen == 0
             yield chained(th[m], src[m], at[m])
             if s.any():
-                yield listed(h[s], th[s], at[s], th[m], src[m], at[m], words)
-            for t in [t for t in words if t <= th[-1]]:
-                del words[t]
+                yield listed(h[s], th[s], at[s], th[m], src[m], at[m])
 
     return dealt.mapInArrow(tidied(run), f"{CHAINS}, {LISTS}")
 
@@ -721,7 +845,9 @@ CHAIN_NAMES = [c.split()[0] for c in CHAINS.split(", ")]
 
 def all_chains(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CHAINS of all texts, those of matches by pairs of seeds too, and the table with the rows with LISTS; both written."""
-    first = materialize(chain_table(matches(seed_table(docs)), word_bytes(docs)), "chains")
+    heavy = heavy_seeds(docs)
+    first = materialize(chain_table(matches(seed_table(docs, heavy[0], heavy[3]), heavy)), "chains")
+    swept(docs.sparkSession)  # the seeds' shuffle is the largest
     more = chain_table(pair_matches(first.where(F.col("h").isNotNull()))).select(CHAIN_NAMES)
     return materialize(first.where(F.col("h").isNull()).select(CHAIN_NAMES).unionByName(more), "chains"), first
 
@@ -783,9 +909,12 @@ def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Words of a and of b that an extension from the start of both takes in, and its matches; it goes on behind skipped words while that pays."""
     x = y = matched = 0
     steps: tuple[tuple[int, int], ...] = ((0, 0),)
+    words, others = a.tolist(), b.tolist()
     while True:
         gain, step = 0.0, None
         for da, db in steps:
+            if not any(map(operator.eq, words[x + da : x + da + FALLEN], others[y + db : y + db + FALLEN])):
+                continue  # it falls by DROP before its first match
             n, m = straight(a[x + da :], b[y + db :])
             if m - MISMATCH * (n - m) - MISMATCH * max(da, db) > gain:
                 gain, step = m - MISMATCH * (n - m) - MISMATCH * max(da, db), (da + n, db + n, m)
@@ -874,6 +1003,7 @@ def passages_of(found: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
     source = words.select(F.col("th").alias("src"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), F.col("words").alias("swords"))
     result = materialize(outermost(aligned(wide.join(words, ["th", "lo", "hi"]).join(source, ["src", "slo", "shi"]))), "passages")
     discard(found, words)
+    swept(docs.sparkSession)
     return result
 
 
@@ -882,13 +1012,15 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = materialize(representatives(docs), "texts")
     found, lists = all_chains(docs)
     result = passages_of(found, reps, docs)
-    rest = materialize(chain_table(rest_matches(lists.where(F.col("h").isNotNull()), result)).select(CHAIN_NAMES), "chains")
+    rest = materialize(chain_table(rest_matches(lists.where(F.col("h").isNotNull()), result, docs)).select(CHAIN_NAMES), "chains")
     discard(lists)
     more = passages_of(rest, reps, docs)
     return outermost(result.unionByName(more)), reps
 
 
 N_WORDS = r"[^\x20\x09-\x0D]+"
+#: Found in texts of MIN_WORDS words and more, by their beginning.
+LONG_TEXT = rf"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){{{MIN_WORDS}}}"
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -899,6 +1031,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = found.join(ids, "th").join(ids.select(F.col("th").alias("src"), F.col("doc_id").alias("source_doc_id")), "src")
     passages = passages.select("doc_id", "source_doc_id", "begin", "end", "src_begin", "src_end", "identity", F.lit("passage").alias("kind"))
     rows = docs.select("doc_id", identity("doc_id", "text").alias("row"), F.xxhash64("text").alias("th"), F.regexp_count("text", F.lit(N_WORDS)).alias("end")).where(F.col("end") >= MIN_WORDS)
+    rows = materialize(rows, "long-texts")  # read twice
     copied = reps.where("n > 1").select("th", F.col("doc_id").alias("source_doc_id"), F.col("row").alias("source_row"), "n")
     copies = join_keyed(rows, copied, "th", "n")
     same = copies.groupBy("doc_id", "row", "end", "source_doc_id", "source_row").agg(F.count("*").alias("n_same"))
@@ -933,7 +1066,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     own = own_names(docs)
     names, text = list(own), own["text"]
     renamed = docs.withColumnsRenamed(own)
-    enough = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(N_WORDS)) >= MIN_WORDS, F.lit(False))
+    enough = F.coalesce(F.col(f"`{text}`").rlike(LONG_TEXT), F.lit(False))
     # a text whose hash another text has too (n = 0) is kept whole, row by row
     plan = reps.where("n > 0").select("th", "row").join(cuts, "th", "left").select(F.col("row").alias("_row"), "cuts", F.lit(True).alias("_first"))
     unsure = F.broadcast(reps.where("n = 0").select(F.col("th").alias("_th")))  # none, or a few in 10^10 texts

@@ -234,6 +234,25 @@ def test_parts_of_a_frequent_seed_meet(spark, monkeypatch):
     assert got(np.zeros(n, np.int64)) == {(250, 40)} == got((np.arange(n) < 100).astype(np.int64)) and not got((np.arange(n) % 100 < 5).astype(np.int64))
 
 
+def test_a_frequent_line_is_not_compared_in_all_pairs(monkeypatch):
+    """Of 4,000 places of a line, those of one passage are found, with changed and moved words too, and few others are compared."""
+    rng = np.random.default_rng(9)
+    n, side = 4000, passages.SIDE + passages.DRIFT
+    often = 1 / np.arange(10, 30010)
+    words_ = (100 + rng.choice(30000, (2 * side, n), p=often / often.sum())).astype(np.uint16)
+    words_[side - 3 : side + 12] = np.arange(1, 16)[:, None]
+    planted = [(3000 + k, 40 * k) for k in range(50)]
+    for b, a in planted:
+        words_[:, b] = words_[:, a]
+        words_[side + 20 : side + 30, b] = words_[side + 19 : side + 29, a]  # a word more
+        words_[side - 38 : side - 3 : 7, b] = 60000 + np.arange(5)  # others changed
+    compared, real = [], passages.passable
+    monkeypatch.setattr(passages, "passable", lambda a, b: compared.append(a.shape[1]) or real(a, b))
+    none = np.zeros(n, np.int64)
+    found = {(int(b), int(a)) for x, y in passages.rest_pairs(np.arange(n), none, none > 0, none, words_) for b, a in zip(x, y, strict=True)}
+    assert found >= set(planted) and sum(compared) < n * n // 40
+
+
 def test_each_shared_pair_of_seeds_has_a_source(monkeypatch):
     monkeypatch.setattr(passages, "BLOCK", 50)
     rng = np.random.default_rng(3)
