@@ -1030,9 +1030,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = reps.select("th", "doc_id")
     passages = found.join(ids, "th").join(ids.select(F.col("th").alias("src"), F.col("doc_id").alias("source_doc_id")), "src")
     passages = passages.select("doc_id", "source_doc_id", "begin", "end", "src_begin", "src_end", "identity", F.lit("passage").alias("kind"))
-    rows = docs.select("doc_id", identity("doc_id", "text").alias("row"), F.xxhash64("text").alias("th"), F.regexp_count("text", F.lit(N_WORDS)).alias("end")).where(F.col("end") >= MIN_WORDS)
-    rows = materialize(rows, "long-texts")  # read twice
+    rows = materialize(docs.select("doc_id", identity("doc_id", "text").alias("row"), F.xxhash64("text").alias("th")), "rows")  # read twice
     copied = reps.where("n > 1").select("th", F.col("doc_id").alias("source_doc_id"), F.col("row").alias("source_row"), "n")
+    sources = docs.select(identity("doc_id", "text").alias("source_row"), "text").join(copied.select("source_row"), "source_row", "left_semi")
+    lengths = sources.select("source_row", F.regexp_count("text", F.lit(N_WORDS)).alias("end")).where(F.col("end") >= MIN_WORDS).distinct()
+    copied = materialize(copied.join(lengths, "source_row"), "copied-texts")
     copies = join_keyed(rows, copied, "th", "n")
     same = copies.groupBy("doc_id", "row", "end", "source_doc_id", "source_row").agg(F.count("*").alias("n_same"))
     repeats = F.col("n_same") - (F.col("row") == F.col("source_row")).cast("long")  # the source is no copy of itself, equal rows are
