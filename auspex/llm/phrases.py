@@ -26,6 +26,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ TOP = 2000
 BLOCK_BYTES = 2 << 20
 #: Frequent phrases of a level that are broadcast to the blocks at most (24 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Blocks in a task that extends phrases, about: their number grows with the input, what a task holds doesn't.
+TASK_BLOCKS = 4
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -113,20 +116,39 @@ def word_lists(docs: DataFrame, text: str, group: str) -> DataFrame:
 
 
 def phrase_lists(level: DataFrame, kept: DataFrame) -> DataFrame:
-    """PHRASE_LISTS of the phrases a word longer than those of ``level``, from its frequent ones: ``kept`` has, for each block, their places (at) and ids (id)."""
-    rows = level.select("block", "n", "lists").join(kept, "block")
+    """PHRASE_LISTS of the phrases a word longer than those of ``level``, from its frequent ones: ``kept`` has the block, place (at) and id of each.
+
+    A block's lists come before its rows of ``kept``, which are read a batch at a time.
+    """
+    lists = level.select("block", F.lit(-1).alias("at"), "n", "lists")
+    rows = kept.unionByName(lists, allowMissingColumns=True)
+    parts = max(int(level.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-level.count() // TASK_BLOCKS))
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "at")
+
+    def made(lists: pa.RecordBatch, kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, id_ = (np.concatenate([k.column(c).to_numpy() for k in kept]) if kept else np.zeros(0, np.int64) for c in ("at", "id"))
+        found = extended(at, id_, lists.column("n")[0].values.to_numpy(zero_copy_only=False), np.frombuffer(lists.column("lists")[0].as_buffer(), np.int32)) if len(at) else None
+        if found is not None:
+            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+            head, tail, n, lists_ = found
+            yield pa.RecordBatch.from_arrays([lists.column("block"), one(head, pa.int64()), one(tail, pa.int64()), one(n, pa.int32()), pa.array([lists_.tobytes()], pa.binary())], ["block", "head", "tail", "n", "lists"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, held = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                at, id_, n = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("at", "id", "n"))
-                found = extended(at, id_, n, np.frombuffer(batch.column("lists")[k].as_buffer(), np.int32))
-                if found is not None:
-                    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-                    head, tail, n, lists = found
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(k, 1), one(head, pa.int64()), one(tail, pa.int64()), one(n, pa.int32()), pa.array([lists.tobytes()], pa.binary())], ["block", "head", "tail", "n", "lists"])
+            block = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.diff(block)) + 1
+            for lo, hi in itertools.pairwise([0, *edges.tolist(), len(block)] if len(block) else []):
+                if batch.column("at")[lo].as_py() < 0:
+                    if lists is not None:
+                        yield from made(lists, held)
+                    lists, held, lo = batch.slice(lo, 1), [], lo + 1
+                if lo < hi:
+                    held.append(batch.slice(lo, hi - lo).select(["at", "id"]))
+        if lists is not None:
+            yield from made(lists, held)
 
-    return rows.mapInArrow(tidied(run), PHRASE_LISTS)
+    return dealt.mapInArrow(tidied(run), PHRASE_LISTS)
 
 
 def extended(at: np.ndarray, id_: np.ndarray, n: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -154,12 +176,10 @@ def frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
 
 
 def joined_back(level: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """For each block, the places (at) of the frequent ones among its keys, and their ids."""
+    """Block, place (at) and id of the frequent ones among each block's keys."""
     placed = level.select("block", F.posexplode(F.arrays_zip(*key))).select("block", F.col("pos").alias("at"), *(F.col("col")[k].alias(k) for k in key))
     dims = found.select(*key, "id")
-    met = placed.join(F.broadcast(dims) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dims, key)
-    # a block's distinct phrases are fewer than its words
-    return met.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("_s")).select("block", F.col("_s.at").alias("at"), F.col("_s.id").alias("id"))
+    return placed.join(F.broadcast(dims) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dims, key).select("block", "at", "id")
 
 
 def levels(docs: DataFrame, text: str, group: str, least: int, most_words: int) -> tuple[DataFrame, list[DataFrame]]:

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auspex.llm import codes, phrases, registry, sharding
+from auspex.sources.shared import materialize
 
 NAN = float("nan")
 VECTORS = [(k, [((k * 37 + j * 11) % 101 - 50) / 64 for j in range(10)], k % 3 if k % 5 else None, "x") for k in range(700)]
@@ -201,3 +202,14 @@ def test_sql_agrees(spark, name):
     found = registry.QUERIES[name](spark, home)
     order = [found.columns.index(c[0]) for c in told.description]
     assert Counter(tuple(r[k] for k in order) for r in found.collect()) == Counter(told.fetchall())
+
+
+def test_tasks_of_phrases_hold_few_blocks(spark, monkeypatch):
+    """The blocks of a task don't grow with the input."""
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 16)
+    docs = spark.createDataFrame([(f"one two three four five {k}", "en") for k in range(120)], "text string, lang string").repartition(2)
+    lists = materialize(phrases.word_lists(docs, "text", "lang"), "word-lists")
+    found = materialize(phrases.frequent(lists, ["grp", "word"], 30), "frequent-words")
+    longer = phrases.phrase_lists(lists, phrases.joined_back(lists, found, ["grp", "word"]))
+    assert lists.count() == 120 and longer.rdd.getNumPartitions() >= 120 // phrases.TASK_BLOCKS
+    assert longer.select(F.explode("n").alias("n")).agg(F.sum("n")).first()[0] == 4 * 120
