@@ -29,7 +29,8 @@
 
 5. What 2 passes over is compared as well (``rest_matches``): a busy seed and its company
    that lie in no passage of their text are compared with those of all texts of smaller
-   hash, however many, by the words around them; those that allow a passage are chained
+   hash, however many, by the words around them: where they are many, those that share
+   pairs of words beside the line that all have.  Those that allow a passage are chained
    and aligned.  Of sources whose words there are the same, one stands for the others.
 
 Very frequent (heavy) seeds aren't dealt by their hash: they are found among the texts
