@@ -9,9 +9,11 @@ the phrase without its last word, id of the phrase without its first) names the
 extension exactly.  The length of a list is the exact frequency in its block.
 
 A level's lists are a table, a row for each block.  Frequencies are sums over
-blocks, so only (pair, length) is shuffled; the frequent ones, with new ids, are joined
-back to the blocks, broadcast if they are at most ``BROADCAST_ROWS`` and by a
-shuffle else.  No task holds a phrase's occurrences in all blocks, no driver a list.
+blocks, so each block deals its keys, with the lengths and numbers of their lists, into
+buckets of bounded size, packed: a row for each block and bucket.  A bucket is counted at
+once, and what is frequent in it gets ids, which go back to the blocks, a row for each
+bucket and block.  No row is made for a key of a block.  No task holds a phrase's
+occurrences in all blocks, no driver a list.
 
 Frequencies of a phrase's first and last parts come along its chain of ids, so
 scores need joins of frequent phrases only.  Scores and shares are decimals.  The ranks
@@ -47,8 +49,10 @@ SCALE = 2_000_000
 TOP = 2000
 #: Bytes of texts in a block, about.
 BLOCK_BYTES = 2 << 20
-#: Frequent phrases of a level that are broadcast to the blocks at most (24 bytes each).
+#: Frequent phrases of a level whose ids are broadcast to the phrases before them at most (32 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Keys of all blocks in a bucket, about (under 30 bytes each).
+BUCKET = 1 << 19
 #: Blocks in a task that extends phrases, about: their number grows with the input, what a task holds doesn't.
 TASK_BLOCKS = 4
 
@@ -116,7 +120,7 @@ def word_lists(docs: DataFrame, text: str, group: str) -> DataFrame:
 
 
 def phrase_lists(level: DataFrame, kept: DataFrame) -> DataFrame:
-    """PHRASE_LISTS of the phrases a word longer than those of ``level``, from its frequent ones: ``kept`` has the block, place (at) and id of each.
+    """PHRASE_LISTS of the phrases a word longer than those of ``level``, from its frequent ones: ``kept`` has their places in each block.
 
     A block's lists come before its rows of ``kept``, which are read a batch at a time.
     """
@@ -125,8 +129,8 @@ def phrase_lists(level: DataFrame, kept: DataFrame) -> DataFrame:
     parts = max(int(level.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-level.count() // TASK_BLOCKS))
     dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "at")
 
-    def made(lists: pa.RecordBatch, kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, id_ = (np.concatenate([k.column(c).to_numpy() for k in kept]) if kept else np.zeros(0, np.int64) for c in ("at", "id"))
+    def made(lists: pa.RecordBatch, kept: list[bytes]) -> Iterator[pa.RecordBatch]:
+        at, id_ = (np.concatenate(k) for k in zip(*map(unpacked, kept), strict=True)) if kept else (np.zeros(0, np.int64),) * 2
         found = extended(at, id_, lists.column("n")[0].values.to_numpy(zero_copy_only=False), np.frombuffer(lists.column("lists")[0].as_buffer(), np.int32)) if len(at) else None
         if found is not None:
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
@@ -143,8 +147,7 @@ def phrase_lists(level: DataFrame, kept: DataFrame) -> DataFrame:
                     if lists is not None:
                         yield from made(lists, held)
                     lists, held, lo = batch.slice(lo, 1), [], lo + 1
-                if lo < hi:
-                    held.append(batch.slice(lo, hi - lo).select(["at", "id"]))
+                held += batch.column("places").slice(lo, hi - lo).to_pylist()
         if lists is not None:
             yield from made(lists, held)
 
@@ -168,18 +171,116 @@ def extended(at: np.ndarray, id_: np.ndarray, n: np.ndarray, lists: np.ndarray)
     return id_[pairs // len(at)], id_[pairs % len(at)], n, lists
 
 
+def keys_schema(key: list[str]) -> pa.Schema:
+    """A block's keys in a bucket: with the lengths of their lists and their places in the block."""
+    return pa.schema([*((k, pa.string() if k in ("grp", "word") else pa.int64()) for k in key), ("n", pa.int32()), ("at", pa.int32())])
+
+
+def hashed(column: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value of a column of strings or longs."""
+    if pa.types.is_integer(column.type):
+        return W.mix64(column.to_numpy(zero_copy_only=False).astype(np.uint64))
+    data, at = W.text_buffer(column)
+    return W.span_hashes(data, at[:-1], at[1:])
+
+
+def joint(columns: list[pa.Array]) -> np.ndarray:
+    """A number for each row of two columns: equal rows have equal ones, others don't."""
+    numbers = []
+    for c in columns:
+        v = c.to_numpy() if pa.types.is_integer(c.type) else c.dictionary_encode().indices.to_numpy()
+        if len(v) and v.max() >> 31:
+            v = np.unique(v, return_inverse=True)[1]
+        numbers.append(v.astype(np.int64))
+    return numbers[0] << 32 | numbers[1]
+
+
+def unpacked(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places (at) and ids of the frequent ones of a block in a bucket."""
+    n = len(places) // 12
+    return np.frombuffer(places, np.int32, n).astype(np.int64), np.frombuffer(places, np.int64, n, 4 * n)
+
+
+def bucket_keys(level: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    """bucket, block and the packed keys of the block that fall in the bucket."""
+    schema = keys_schema(key)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                columns = [batch.column(c)[row].values for c in (*key, "n")]
+                h = np.zeros(len(columns[0]), np.uint64)
+                for c in columns[:-1]:
+                    h = W.mix64(h + hashed(c))
+                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable").astype(np.int32)
+                at = pa.array(order)
+                packed = pa.RecordBatch.from_arrays([*(c.take(at).cast(f.type) for c, f in zip(columns, schema)), at], schema=schema)
+                some, first = np.unique(bucket[order], return_index=True)
+                keys = [packed.slice(lo, hi - lo).serialize().to_pybytes() for lo, hi in itertools.pairwise([*first.tolist(), len(order)])]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), batch.column("block")[row].as_py(), np.int64)), pa.array(keys, pa.binary())], ["bucket", "block", "keys"])
+
+    return level.select("block", *key, "n").mapInArrow(tidied(run), "bucket int, block long, keys binary")
+
+
 def frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
-    """``key``, ``f``, the sum of the lists' lengths over all blocks, and a new id, for those of ``least`` or more."""
-    # lengths are sums within blocks already: few keys meet again before the shuffle
-    counted = level.select(F.inline(F.arrays_zip(*key, "n"))).repartition(*key).groupBy(*key).agg(F.sum("n").alias("f"))
-    return counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
+    """``key``, ``f``, the sum of the lists' lengths over all blocks, and a new id, for those of ``least`` or more.
+
+    Further rows, with ``block`` and ``places`` instead, tell where these are among a block's keys.
+    """
+    total = level.agg(F.sum(F.size("n"))).first()[0] or 0
+    buckets = -(-total // BUCKET) or 1
+    parts = max(int(level.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    dealt = bucket_keys(level, key, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    schema = keys_schema(key)
+    names = [*key, "f", "id", "block", "places"]
+    kinds = [*(schema.field(k).type for k in key), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def counted(bucket: int, blocks: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        read = [pa.ipc.read_record_batch(pa.py_buffer(p), schema) for p in packed]
+        every = pa.Table.from_batches(read).combine_chunks().to_batches()[0]
+        numbers = joint([every.column(k) for k in key])
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        begin = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+        f = np.add.reduceat(every.column("n").to_numpy().astype(np.int64)[order], begin)
+        kept = f >= least
+        ids = np.full(len(begin), -1)
+        ids[kept] = bucket + buckets * np.arange(kept.sum(), dtype=np.int64)
+        if not kept.any():
+            return
+        firsts = pa.array(order[begin[kept]])
+        yield pa.RecordBatch.from_arrays([*(every.column(k).take(firsts) for k in key), pa.array(f[kept]), pa.array(ids[kept]), pa.nulls(len(firsts), pa.int64()), pa.nulls(len(firsts), pa.binary())], names)
+        id_of = np.empty(len(order), np.int64)
+        id_of[order] = np.repeat(ids, np.diff(np.concatenate([begin, [len(order)]])))
+        at, edges, places = every.column("at").to_numpy(), W.prefix(np.array([r.num_rows for r in read])), []
+        for lo, hi in itertools.pairwise(edges.tolist()):
+            some = id_of[lo:hi] >= 0
+            places.append(at[lo:hi][some].tobytes() + id_of[lo:hi][some].tobytes() if some.any() else None)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blocks), k) for k in kinds[:-2]), pa.array(blocks, pa.int64()), pa.array(places, pa.binary())], names).filter(pa.array([p is not None for p in places]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, packed = None, [], []
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            for lo, hi in itertools.pairwise([0, *edges.tolist(), len(bucket)] if len(bucket) else []):
+                if now is not None and now != bucket[lo]:
+                    yield from counted(now, blocks, packed)
+                    blocks, packed = [], []
+                now = int(bucket[lo])
+                blocks += batch.column("block").slice(lo, hi - lo).to_pylist()
+                packed += batch.column("keys").slice(lo, hi - lo).to_pylist()
+        if now is not None:
+            yield from counted(now, blocks, packed)
+
+    kind = "string" if key == ["grp", "word"] else "long"
+    return dealt.mapInArrow(tidied(run), f"{', '.join(f'{k} {kind}' for k in key)}, f long, id long, block long, places binary")
 
 
 def joined_back(level: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """Block, place (at) and id of the frequent ones among each block's keys."""
-    placed = level.select("block", F.posexplode(F.arrays_zip(*key))).select("block", F.col("pos").alias("at"), *(F.col("col")[k].alias(k) for k in key))
-    dims = found.select(*key, "id")
-    return placed.join(F.broadcast(dims) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dims, key).select("block", "at", "id")
+    """Block and packed places and ids of the frequent ones among each block's keys."""
+    return found.where("block IS NOT NULL").select("block", F.lit(0).alias("at"), "places")
 
 
 def levels(docs: DataFrame, text: str, group: str, least: int, most_words: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -193,8 +294,9 @@ def levels(docs: DataFrame, text: str, group: str, least: int, most_words: int)
     every = materialize(every, "group-words")
     key = ["grp", "word"]
     found = materialize(frequent(lists, key, least), "frequent-words")
+    words = found.where("block IS NULL")
     none = F.array().cast("array<long>")
-    out = [found.select("id", "grp", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"))]
+    out = [words.select("id", "grp", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first"), none.alias("rest"), F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"))]
     for _ in range(1, most_words):
         longer = materialize(phrase_lists(lists, joined_back(lists, found, key)), "phrase-lists")
         discard(lists)
@@ -203,7 +305,8 @@ def levels(docs: DataFrame, text: str, group: str, least: int, most_words: int)
         before = out[-1]
         heads = before.select(F.col("id").alias("head"), "grp", F.col("phrase").alias("_p"), F.concat("first", F.array("f")).alias("first"))
         tails = before.select(F.col("id").alias("tail"), "last", F.concat(F.array("f"), "rest").alias("rest"))
-        met = found.join(heads, "head").join(tails, "tail")
+        pairs = found.where("block IS NULL").select("head", "tail", "f", "id")
+        met = heads.join(F.broadcast(pairs) if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else pairs, "head").join(tails, "tail")
         out.append(materialize(met.select("id", "grp", F.concat_ws(" ", "_p", "last").alias("phrase"), "last", "f", "first", "rest", "head", "tail"), "phrases"))
     discard(lists)
     return every, out

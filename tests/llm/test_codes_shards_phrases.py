@@ -11,6 +11,7 @@ from math import floor
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,22 @@ def test_tasks_of_phrases_hold_few_blocks(spark, monkeypatch):
     longer = phrases.phrase_lists(lists, phrases.joined_back(lists, found, ["grp", "word"]))
     assert lists.count() == 120 and longer.rdd.getNumPartitions() >= 120 // phrases.TASK_BLOCKS
     assert longer.select(F.explode("n").alias("n")).agg(F.sum("n")).first()[0] == 4 * 120
+
+
+def test_keys_of_blocks_travel_packed(spark, monkeypatch):
+    """A block has one row for each bucket, not one for each of its frequent keys; sums over buckets of one key or many are the same."""
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 16)
+    docs = spark.createDataFrame([(f"one two three four five {k}", "en") for k in range(120)], "text string, lang string").repartition(2)
+    lists = materialize(phrases.word_lists(docs, "text", "lang"), "word-lists")
+    found = materialize(phrases.frequent(lists, ["grp", "word"], 30), "frequent-words")
+    assert phrases.joined_back(lists, found, ["grp", "word"]).count() == 120
+    expected = sorted(map(tuple, phrases.collocations(docs).collect()))
+    monkeypatch.setattr(phrases, "BUCKET", 7)
+    assert sorted(map(tuple, phrases.collocations(docs).collect())) == expected and expected
+
+
+def test_numbers_of_keys_are_exact_beyond_32_bits():
+    columns = [pa.array([0, 1 << 40, 0, 1 << 40, 5]), pa.array([1 << 50, 0, 1 << 50, 1, 0])]
+    numbers = phrases.joint(columns).tolist()
+    assert numbers[0] == numbers[2] and len(set(numbers)) == 4
+    assert len(set(phrases.joint([pa.array(["a", "b", "a"]), pa.array(["x", "x", "y"])]).tolist())) == 3
