@@ -64,6 +64,23 @@ def test_code_clusters_in_blocks_without_pairs(spark, monkeypatch):
     assert max(sizes) <= len(packages)
 
 
+def test_signatures_are_compared_by_most_different_positions_first(spark):
+    """Pairs equal plain comparison with any order of positions; characters of all lengths in UTF-8 give brute force's signatures."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    longs = draw.integers(0, 1 << 60, (60, 128))
+    longs[:, 64:] = 7  # the same in all: they tell nothing apart
+    longs[30:] = np.where(draw.random((30, 128)) < 0.35, draw.integers(0, 1 << 60, (30, 128)), longs[:30])
+    signed = similar.Signatures(longs)
+    assert similar.Signatures(longs[:30]).order[:64].max() < 64
+    here, there = signed.alike(similar.Signatures(longs, signed.order), 0.7)
+    plain = [(a, b) for a in range(60) for b in range(60) if (longs[a] == longs[b]).sum() >= 90]
+    assert list(zip(here.tolist(), there.tolist())) == plain and len(plain) > 60
+    for text in ("aé漢😀\x85b\u3000c", "😀" * 9, "\x00\x7f\x80\u07ff\u0800\uffff\U00010000\U0010ffff", "plain text\x1c\twith\xa0spaces"):
+        assert [int(x) for x in similar.minhash(text)] == brute_signature(text)
+
+
 def test_campaigns(spark):
     shared = spark.createDataFrame([("a", "domain", "d1"), ("b", "domain", "d1"), ("b", "wallet", "w"), ("c", "wallet", "w"), ("e", "author", "x")], "package_name string, kind string, value string")
     code = spark.createDataFrame([("a", "a"), ("b", "a"), ("m", "m"), ("n", "m"), ("o", "m"), ("r", "r"), ("s", "r")], "package_name string, cluster string")
